@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from trackledger.llm import line_dedup
+from trackledger.llm.line_dedup import op3_bloom_line_dedup
 from trackledger.llm.packing import op1_bm25_packing
+from trackledger.llm.sharding import op2_kk_sharding
+from trackledger.llm.url_filter import op4_url_template_tree
 
 QUERIES = {
     "op1_bm25_packing": op1_bm25_packing,
+    "op2_kk_sharding": op2_kk_sharding,
+    "op3_bloom_line_dedup": op3_bloom_line_dedup,
+    "op4_url_template_tree": op4_url_template_tree,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_bloom_line_dedup": line_dedup.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
