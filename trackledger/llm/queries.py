@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from trackledger.llm import line_dedup
+from trackledger.llm import decontaminate, line_dedup
+from trackledger.llm.decontaminate import op7_fm_decontamination
 from trackledger.llm.line_dedup import op3_bloom_line_dedup
 from trackledger.llm.packing import op1_bm25_packing
 from trackledger.llm.sharding import op2_kk_sharding
@@ -13,7 +14,9 @@ QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
     "op3_bloom_line_dedup": op3_bloom_line_dedup,
     "op4_url_template_tree": op4_url_template_tree,
+    "op7_fm_decontamination": op7_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_line_dedup": line_dedup.ORACLE,
+    "op7_fm_decontamination": decontaminate.ORACLE,
 }
