@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trackledger.llm import decontaminate, line_dedup
+from trackledger.llm import decontaminate, line_dedup, near_vectors
 from trackledger.llm.decontaminate import op7_fm_decontamination
 from trackledger.llm.line_dedup import op3_bloom_line_dedup
+from trackledger.llm.near_vectors import op8_spherical_dedup
 from trackledger.llm.packing import op1_bm25_packing
 from trackledger.llm.sharding import op2_kk_sharding
 from trackledger.llm.url_filter import op4_url_template_tree
@@ -15,8 +16,10 @@ QUERIES = {
     "op3_bloom_line_dedup": op3_bloom_line_dedup,
     "op4_url_template_tree": op4_url_template_tree,
     "op7_fm_decontamination": op7_fm_decontamination,
+    "op8_spherical_dedup": op8_spherical_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_line_dedup": line_dedup.ORACLE,
     "op7_fm_decontamination": decontaminate.ORACLE,
+    "op8_spherical_dedup": near_vectors.ORACLE,
 }
