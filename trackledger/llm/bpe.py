@@ -16,8 +16,6 @@ import pyarrow as pa
 import regex
 import tiktoken
 
-from trackledger.llm.common import text_buffer
-
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,21 +35,34 @@ def classes() -> np.ndarray:
     return out
 
 
-def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Byte positions at which pieces begin; every document begins one."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of every byte: that of the character it belongs to."""
     table = classes()
     kind = table[:256][data]
     lead = np.flatnonzero(data >= 0xC0)
     if len(lead):
-        b = [data[np.minimum(lead + i, n - 1)].astype(np.int64) for i in range(4)]
-        point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63))
-        own, width = table[point], np.where(b[0] < 0xE0, 2, np.where(b[0] < 0xF0, 3, 4))
+        b = data[lead].astype(np.int64)
+        own, width = table[code_points(data, lead)], np.where(b < 0xE0, 2, np.where(b < 0xF0, 3, 4))
         for i in range(4):
             at = width > i
             kind[lead[at] + i] = own[at]
+    return kind
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that begin at the given bytes."""
+    b = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) for i in range(4)]
+    two, three = (b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+    four = (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63
+    return np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
+
+
+def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Byte positions at which pieces begin; every document begins one."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = byte_classes(data)
     doc_start = np.zeros(n + 1, bool)
     doc_start[offs[:-1]] = True
     doc_start[n] = True
@@ -132,6 +143,3 @@ class Bpe:
         ids = flat[np.repeat(first[which] - (ends - per), per) + np.arange(total)]
         before = np.append(0, ends)
         return ids, before[np.searchsorted(starts, offs, "left")]
-
-
-__all__ = ["Bpe", "classes", "piece_starts", "text_buffer"]

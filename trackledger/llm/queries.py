@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from trackledger.llm import decontaminate, line_dedup, near_vectors
 from trackledger.llm.decontaminate import op7_fm_decontamination
+from trackledger.llm.langid import op5_viterbi_langid
 from trackledger.llm.line_dedup import op3_bloom_line_dedup
 from trackledger.llm.near_vectors import op8_spherical_dedup
 from trackledger.llm.packing import op1_bm25_packing
 from trackledger.llm.sharding import op2_kk_sharding
+from trackledger.llm.toxicity import op9_counterfactual_toxicity
 from trackledger.llm.url_filter import op4_url_template_tree
 
 QUERIES = {
@@ -15,8 +17,10 @@ QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
     "op3_bloom_line_dedup": op3_bloom_line_dedup,
     "op4_url_template_tree": op4_url_template_tree,
+    "op5_viterbi_langid": op5_viterbi_langid,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_spherical_dedup": op8_spherical_dedup,
+    "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_line_dedup": line_dedup.ORACLE,
