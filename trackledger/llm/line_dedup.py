@@ -14,7 +14,6 @@ just read or cut does). Columns named like a result (n_lines, n_dropped) are rep
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import NOT_SPACE, U64, bloom_has, bloom_set, byte_values, mix, pieces, span_hashes, table, with_row_id
+from trackledger.llm.common import NOT_SPACE, U64, bloom_has, byte_values, mix, pieces, span_hashes, table, with_row_id
+from trackledger.llm.twice import twice_filter
 
 FILTER_BITS = 1 << 25
-SLICE = 1 << 16
 SECOND = byte_values(True, 1234567)
 
 
@@ -61,41 +60,6 @@ def _distinct(found: dict[str, np.ndarray]) -> np.ndarray:
     return order[np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (d[1:] != d[:-1]))[: len(order)]]
 
 
-def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
-    """The packed twice filter of all lines; ``bits / 8`` bytes reach the driver, whatever the input."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for _, data, offs in pieces(batches):
-            found = lines(data, offs, min_chars)
-            h = np.sort(found["h"][_distinct(found)])
-            new = np.append(True, h[1:] != h[:-1])[: len(h)]
-            bloom_set(twice, np.unique(h[~new]))
-            h = h[new]
-            bloom_set(twice, h[bloom_has(once, h)])
-            bloom_set(once, h)
-        for i in range(max(1, bits // SLICE)):
-            part = slice(i * SLICE, (i + 1) * SLICE)
-            if once[part].any():
-                a, b = (zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (once, twice))
-                yield pa.record_batch({"slice": pa.array([i], pa.int32()), "once": pa.array([a], pa.binary()), "twice": pa.array([b], pa.binary())})
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = twice = np.zeros(min(SLICE, bits) // 8, np.uint8)
-        for batch in batches:
-            for a, b in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-                once, twice = once | a, twice | b | (once & a)
-        yield pa.record_batch({"slice": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
-
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(fill, "slice int, once binary, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
-        out[r["slice"] * SLICE // 8 :][: len(part)] = part
-    return out
-
-
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = FILTER_BITS) -> DataFrame:
     """Drop lines whose key is in at least ``min_docs`` (2 or more) documents: all of them, or with ``keep="first"`` all but the first.
 
@@ -105,7 +69,12 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
         raise ValueError("min_docs is 2 or more, keep is none or first, filter_bits a power of two")
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "_rid", "_drop")]
     docs = with_row_id(docs.select(*others, F.col("text").cast("string").alias("text")))
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, filter_bits))
+
+    def keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        found = lines(data, offs, min_chars)
+        return found["h"][_distinct(found)]
+
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, keys, filter_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in pieces(batches):

@@ -9,6 +9,7 @@ from trackledger.llm.line_dedup import op3_bloom_line_dedup
 from trackledger.llm.near_vectors import op8_spherical_dedup
 from trackledger.llm.packing import op1_bm25_packing
 from trackledger.llm.sharding import op2_kk_sharding
+from trackledger.llm.suffix_dedup import op10_suffix_dedup
 from trackledger.llm.toxicity import op9_counterfactual_toxicity
 from trackledger.llm.url_filter import op4_url_template_tree
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_spherical_dedup": op8_spherical_dedup,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_line_dedup": line_dedup.ORACLE,
