@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trackledger.llm import decontaminate, line_dedup, near_vectors
 from trackledger.llm.decontaminate import op7_fm_decontamination
+from trackledger.llm.jaccard import op6_adaptive_jaccard
 from trackledger.llm.langid import op5_viterbi_langid
 from trackledger.llm.line_dedup import op3_bloom_line_dedup
 from trackledger.llm.near_vectors import op8_spherical_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_bloom_line_dedup": op3_bloom_line_dedup,
     "op4_url_template_tree": op4_url_template_tree,
     "op5_viterbi_langid": op5_viterbi_langid,
+    "op6_adaptive_jaccard": op6_adaptive_jaccard,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_spherical_dedup": op8_spherical_dedup,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
