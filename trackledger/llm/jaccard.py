@@ -40,7 +40,8 @@ FILTER_BITS = 1 << 26
 MOST_MATCHES = 4
 BLOCK = 2048
 BIN_ROWS = 30_000
-SMALL, SMALL_BITS, LARGE_BITS = 700, 512, 4096
+SMALL, SMALL_BITS, LARGE_BITS = 1500, 512, 2048
+BROADCAST_ROWS = 500_000
 
 
 def sets_of(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -174,8 +175,10 @@ def _candidates(entries: DataFrame, threshold: Threshold, all_pairs: bool) -> Da
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """``pairs`` (ka, kb) with the nodes' row numbers and whether the two texts reach the threshold."""
-    asked = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(nodes.select("k", "rid"), "k")
-    texts = cut(docs.join(asked.hint("shuffle_hash"), docs["_rid"] == asked["rid"]).select("k", "rid", "text"))
+    asked = cut(pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(nodes.select("k", "rid"), "k"))
+    # a small list of rows goes to the texts; beyond that the texts are shuffled
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
+    texts = cut(docs.join(side, docs["_rid"] == asked["rid"]).select("k", "rid", "text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,25 +242,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     twice = sc.broadcast(twice_filter(docs, lambda data, offs: np.concatenate([np.zeros(0, U64), *(p for _, p, _ in prefixes(data, offs))]), filter_bits))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries (token, k), and for every set one row about it (token null)."""
         for _, data, offs in pieces(batches):
             found = [x for x in prefixes(data, offs) if len(x[0])]
             if not found:
                 continue
+            key = pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u, _, _ in found], pa.binary())
             size = np.fromiter((len(p) for _, p, _ in found), np.int64, len(found))
             tokens, owner = np.concatenate([p for _, p, _ in found]), np.repeat(np.arange(len(found)), size)
             keep = bloom_has(twice.value, tokens, packed=True)
-            tokens, owner = tokens[keep], pa.array(owner[keep])
-            about = pa.record_batch({
-                "k": pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u, _, _ in found], pa.binary()), "n": pa.array([len(u) for u, _, _ in found], pa.int64()),
-                "l": pa.array([m for _, _, m in found], pa.int32()), "sk": pa.array([sketch(u) for u, _, _ in found], pa.binary()),
-                "prefix": pa.array([(p & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() if m > 1 else b"" for _, p, m in found], pa.binary()),
+            tokens, owner = tokens[keep], owner[keep]
+            none = len(tokens)
+            yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "k": key.take(pa.array(owner)), "n": pa.nulls(none, pa.int64()), "l": pa.nulls(none, pa.int32()), "sk": pa.nulls(none, pa.binary()), "prefix": pa.nulls(none, pa.binary())})
+            used = np.unique(owner)
+            some = [found[i] for i in used.tolist()]
+            yield pa.record_batch({
+                "token": pa.nulls(len(some), pa.int64()), "k": key.take(pa.array(used)), "n": pa.array([len(u) for u, _, _ in some], pa.int64()), "l": pa.array([m for _, _, m in some], pa.int32()),
+                "sk": pa.array([sketch(u) for u, _, _ in some], pa.binary()), "prefix": pa.array([(p & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() if m > 1 else b"" for _, p, m in some], pa.binary()),
             })
-            yield pa.record_batch({"token": pa.array(tokens.view(np.int64))} | {c: about.column(c).take(owner) for c in about.schema.names})
 
-    entered = docs.select("text").mapInArrow(enter, "token long, k binary, n long, l int, sk binary, prefix binary")
-    entered = cut(entered.groupBy("token", "k").agg(*(F.first(c).alias(c) for c in ("n", "l", "sk", "prefix"))))
-    met = entered.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    entries = cut(entered.join(met, "token"))
+    entered = cut(docs.select("text").mapInArrow(enter, "token long, k binary, n long, l int, sk binary, prefix binary"))
+    pairs = cut(entered.where("token is not null").select("token", "k").distinct())
+    met = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    about = entered.where("token is null").groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "l", "sk", "prefix")))
+    # only what meets another set is carried on with its sketch
+    entries = cut(pairs.join(met, "token").join(about, "k").select("token", "k", "n", "l", "sk", "prefix", "sets"))
     first = _verified(cut(_candidates(entries.withColumn("comp", F.col("k")), threshold, False)), nodes, docs, k, threshold)
     links = first.where("ok").select("a", "b")
     roots = components(links)
