@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 U64 = np.uint64
 
 
@@ -173,17 +173,21 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> list[n
 
 
 # ---------------------------------------------------------------- Bloom filters
-def bloom_set(bits: np.ndarray, hashes: np.ndarray, k: int = 2) -> None:
-    """Set the k bits of each hash; ``bits`` is a boolean array whose length is a power of two."""
-    for at in bloom_at(len(bits), hashes, k):
-        bits[at] = True
-
-
-def bloom_has(bits: np.ndarray, hashes: np.ndarray, k: int = 2, packed: bool = False) -> np.ndarray:
-    """Which hashes have all their bits set; ``packed``: eight bits a byte."""
+def bloom_set(packed: np.ndarray, hashes: np.ndarray, k: int = 2) -> None:
+    """Set the k bits of each hash in ``packed``, eight bits a byte; the number of bits is a power of two."""
+    if not len(hashes):
+        return
+    at = np.sort(np.concatenate(list(bloom_at(len(packed) * 8, hashes, k))))
+    byte = at >> 3
+    first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+    packed[byte[first]] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), first)
+
+
+def bloom_has(packed: np.ndarray, hashes: np.ndarray, k: int = 2) -> np.ndarray:
+    """Which hashes have all their bits set."""
     found = np.ones(len(hashes), bool)
-    for at in bloom_at(len(bits) * (8 if packed else 1), hashes, k):
-        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) if packed else bits[at]
+    for at in bloom_at(len(packed) * 8, hashes, k):
+        found &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return found
 
 

@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, thres
     texts = cut(docs.join(side, docs["_rid"] == asked["rid"]).select("k", "rid", "text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             both = pa.chunked_array([batch.column("ta"), batch.column("tb")]).combine_chunks()
             found: list[np.ndarray] = []
             for _, data, offs in pieces(iter([pa.record_batch({"text": both})])):
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             key = pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u, _, _ in found], pa.binary())
             size = np.fromiter((len(p) for _, p, _ in found), np.int64, len(found))
             tokens, owner = np.concatenate([p for _, p, _ in found]), np.repeat(np.arange(len(found)), size)
-            keep = bloom_has(twice.value, tokens, packed=True)
+            keep = bloom_has(twice.value, tokens)
             tokens, owner = tokens[keep], owner[keep]
             none = len(tokens)
             yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "k": key.take(pa.array(owner)), "n": pa.nulls(none, pa.int64()), "l": pa.nulls(none, pa.int32()), "sk": pa.nulls(none, pa.binary()), "prefix": pa.nulls(none, pa.binary())})

@@ -80,7 +80,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
         for part, data, offs in pieces(batches):
             found = lines(data, offs, min_chars)
             at = _distinct(found)
-            at = at[bloom_has(shared.value, found["h"][at], packed=True)]
+            at = at[bloom_has(shared.value, found["h"][at])]
             rid = part.column("_rid").to_numpy()
             yield pa.record_batch({"h": pa.array(found["h"][at].view(np.int64)), "h2": pa.array(found["h2"][at].view(np.int64)), "_rid": pa.array(rid[found["doc"][at]])})
 

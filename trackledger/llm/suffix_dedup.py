@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int = FILTER
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in pieces(batches):
             at, count, v = window_runs(data, offs, length)
-            keep = bloom_has(shared.value, v, packed=True)
+            keep = bloom_has(shared.value, v)
             at, count, v = at[keep], count[keep], v[keep]
             doc = np.searchsorted(offs, at, "right") - 1
             yield pa.record_batch({

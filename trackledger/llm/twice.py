@@ -22,7 +22,7 @@ def twice_filter(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for _, data, offs in pieces(batches):
             h = np.sort(hashes(data, offs))
             new = np.append(True, h[1:] != h[:-1])[: len(h)]
@@ -31,9 +31,9 @@ def twice_filter(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.
             bloom_set(twice, h[bloom_has(once, h)])
             bloom_set(once, h)
         for i in range(max(1, bits // SLICE)):
-            part = slice(i * SLICE, (i + 1) * SLICE)
+            part = slice(i * SLICE // 8, (i + 1) * SLICE // 8)
             if once[part].any():
-                a, b = (zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (once, twice))
+                a, b = (zlib.compress(x[part].tobytes(), 1) for x in (once, twice))
                 yield pa.record_batch({"slice": pa.array([i], pa.int32()), "once": pa.array([a], pa.binary()), "twice": pa.array([b], pa.binary())})
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
