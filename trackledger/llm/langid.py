@@ -183,7 +183,7 @@ def _labelled(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, m: Model
     top, some = letters.argmax(1), letters.sum(1) > 0
     share = letters[np.arange(n), top] / np.maximum(letters.sum(1), 1)
     # how far the words' scores put the language before the next one, per word
-    total = np.stack([np.bincount(w.doc, score[:, j], n) for j in range(k)], 1)
+    total = np.stack([np.bincount(w.doc, score[:, j], n) for j in range(k)], 1).astype(np.float64)
     mine = total[np.arange(n), top]
     total[np.arange(n), top] = -np.inf
     margin = (mine - total.max(1)) if k > 1 else np.full(n, 50.0)

@@ -31,6 +31,8 @@ def difference(sums: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     ``sums``: (n, shards) bytes by slot. Returns the (n, shards) shard of each slot of each, and the shards' bytes.
     """
     n = len(sums)
+    if not n:
+        return np.zeros((0, shards), np.int64), np.zeros(shards, np.int64)
     nodes = [np.sort(s)[::-1] for s in sums]
     orders = [np.argsort(-s, kind="stable") for s in sums]  # slot at each rank
     heap = [(-int(s[0] - s[-1]), i) for i, s in enumerate(nodes)]
@@ -56,8 +58,8 @@ def difference(sums: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         where[n + k] = up[:0]
     out = np.empty((n, shards), np.int64)
     for i in range(n):
-        out[i, orders[i]] = where[i]
-    return out, nodes[-1][np.argsort(where[-1])] if n else np.zeros(shards, np.int64)
+        out[i, orders[i]] = where[i] if made else orders[i]
+    return out, nodes[-1] if made else sums[0]
 
 
 def assign(groups: DataFrame, shards: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:

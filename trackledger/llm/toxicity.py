@@ -92,12 +92,13 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
     pairs = []
     for t, count in mentions.items():
         if t in swaps:
-            for other in swaps:
+            for other in (*terms, *neutral):
                 if other != t:
                     d = np.zeros(k)
                     d[new[swaps[t]]] += 1
-                    d[new[swaps[other]]] -= 1
-                    pairs.append((count / max(1, len(swaps) - 1) / len(y), d))
+                    if other in swaps:  # else the sample doesn't know it, and it weighs nothing
+                        d[new[swaps[other]]] -= 1
+                    pairs.append((count / (len(terms) + len(neutral) - 1) / len(y), d))
     change = np.array([d for _, d in pairs]).reshape(len(pairs), k)
     much = np.array([c for c, _ in pairs])
     m = v = np.zeros(k + 1)
