@@ -154,10 +154,9 @@ _STEM = r"regexp_replace(file_name, '\.[^.]*$', '')"
 _REC = rf"coalesce(TRY_CAST(regexp_replace(regexp_extract({_STEM}, '_(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}-\d{{2}}-\d{{2}})$', 1), '^(\d{{4}}-\d{{2}}-\d{{2}})T(\d{{2}})-(\d{{2}})-(\d{{2}})$', '\1 \2:\3:\4') AS TIMESTAMP), mtime, TIMESTAMP '0001-01-01 00:00:00')"
 
 
-@query("recorder_time", f"SELECT event_id, strftime({_REC}, '%Y-%m-%d %H:%M:%S') AS recorder_time FROM rec_files WHERE event_id % 147 <> 0", "rec_files")
+@query("recorder_time", f"SELECT event_id, strftime({_REC}, '%Y-%m-%d %H:%M:%S') AS recorder_time FROM rec_files", "rec_files")
 def _(rec_files: DataFrame) -> DataFrame:
-    # files with neither time get the earliest one, which the two engines print differently
-    return rec_files.where("event_id % 147 <> 0").select("event_id", F.date_format(N.recorder_time(c("file_name"), c("mtime")), "yyyy-MM-dd HH:mm:ss").alias("recorder_time"))
+    return rec_files.select("event_id", F.date_format(N.recorder_time(c("file_name"), c("mtime")), "yyyy-MM-dd HH:mm:ss").alias("recorder_time"))
 
 
 @query("recorder_camera", "SELECT event_id, split_part(file_name, '_', 1) AS cam FROM rec_files", "rec_files")
