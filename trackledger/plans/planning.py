@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.functions.names import prefix_route, recorder_camera, recorder_time
+from trackledger.sources.shared import scratch
 
 
 def not_queued(units: DataFrame, queue: DataFrame, key: str) -> DataFrame:
@@ -16,10 +17,14 @@ def not_queued(units: DataFrame, queue: DataFrame, key: str) -> DataFrame:
 def number_rows(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """Global row numbers from 1 without one task that holds all rows.
 
-    The rows are range-partitioned by the order; each partition is numbered by itself, behind the sizes of those before it.
+    The rows are range-partitioned by the order; each partition is numbered by itself, behind the sizes of those before it. The
+    ranges come from a sample, so the partitioned rows are written once: sizes and rows must see the same ranges.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     local = ranged.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))
+    path = scratch(df.sparkSession)
+    local.write.parquet(path)
+    local = df.sparkSession.read.schema(local.schema).parquet(path)
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
