@@ -13,7 +13,7 @@ import pytest
 
 from trackledger.llm.common import shingles, text_buffer, with_row_id
 from trackledger.llm.components import components
-from trackledger.llm.decontaminate import FMIndex, find_benchmark, remove_spans, suffix_order
+from trackledger.llm.decontaminate import FMIndex, find_benchmark, suffix_order
 from trackledger.llm.jaccard import near_duplicates, spanning
 from trackledger.llm.line_dedup import drop_lines
 from trackledger.llm.suffix_dedup import kasai, remove_repeats, suffix_sort, window_runs
@@ -102,7 +102,7 @@ def test_benchmark(spark, tmp_path, block):
                     hit |= set(range(k, k + n))
                     ids |= win[tuple(w[k : k + n])]
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) == (len(w), len(hit), sorted(ids)), t
-    clean = {r["doc_id"]: r for r in remove_spans(find_benchmark(docs, bench, 6)).collect()}
+    clean = {r["doc_id"]: r for r in find_benchmark(docs, bench, 6, remove=True).collect()}
     assert all((clean[i]["text"] == t) == (not got[i]["n_hit"]) for i, t in enumerate(texts))
     assert find_benchmark(docs, bench.limit(0), 6).where("n_hit > 0").count() == 0
 

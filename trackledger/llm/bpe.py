@@ -108,7 +108,7 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Bpe:
     """Ids of texts under a ``.tiktoken`` rank file; distinct pieces seen before are kept up to ``most``."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe

@@ -6,6 +6,9 @@ about ``PIECE`` bytes, and all hashing below works on the piece's bytes at once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Texts go to Python in batches of so many rows at most, unless the session has chosen a number itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def partitions(df: DataFrame, least: int = 1) -> int:
     """As many partitions as the session shuffles into, or ``least`` if that is more."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -67,14 +76,24 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``size`` bytes (a longer document stands alone), with the bytes and offsets of ``column``."""
-    for batch in batches:
-        data, offs = text_buffer(batch.column(column))
-        at, n = 0, len(offs) - 1
-        while at < n:
-            end = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
-            end = min(end, at + 4096)
-            yield batch.slice(at, end - at), data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
-            at = end
+    try:
+        for batch in batches:
+            data, offs = text_buffer(batch.column(column))
+            at, n = 0, len(offs) - 1
+            while at < n:
+                end = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
+                end = min(end, at + 4096)
+                yield batch.slice(at, end - at), data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
+                at = end
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks, and theirs counts as the executor's."""
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def binary_column(parts: list[bytes]) -> pa.Array:

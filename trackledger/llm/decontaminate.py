@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import ALNUM, pieces, span_hashes, table, text_buffer, words
+from trackledger.llm.common import ALNUM, pieces, small_batches, span_hashes, table, text_buffer, words
 
 SAMPLE = 8
 BLOCK_BYTES = 64 << 20
@@ -175,12 +175,13 @@ class Windows:
         return origin[index.locate(rank)], which
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_words, n_hit, item_ids (array of strings, sorted) and spans (of bytes to remove, merged).
 
     ``benchmark`` has item_id and text. It is read in blocks of at most ``block_bytes`` (at least one item); with more than one
-    block the documents go through one pass for each, side by side in one task.
+    block the documents go through one pass for each, side by side in one task. With ``remove`` the spans are cut out of the texts.
     """
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "item_ids", "spans")]
     sc = docs.sparkSession.sparkContext
     blocks, block, size = [], [], 0
@@ -214,7 +215,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 hit |= np.cumsum(cover)[:-1] > 0
                 for d, k in np.unique(np.stack([doc[first], which], 1), axis=0).tolist():
                     items[d].update(str(w.ids[i]) for i in w.owners[k])
-            yield _found(part, start, end, doc, hit, items, offs)
+            found = _found(part, start, end, doc, hit, items, offs)
+            yield _without_spans(found) if remove else found
 
     return docs.mapInArrow(run, schema)
 
@@ -234,23 +236,17 @@ def _found(part: pa.RecordBatch, start: np.ndarray, end: np.ndarray, doc: np.nda
     })
 
 
-def remove_spans(found: DataFrame) -> DataFrame:
-    """``find_benchmark``'s rows without its columns, the spans cut out of the texts; texts without spans stay as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw, out, at = texts[i].encode(), [], 0
-                    for s in spans:
-                        out.append(raw[at : s["start"]])
-                        at = s["end"]
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-            yield pa.record_batch({c: pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep})
-
-    keep = [c for c in found.columns if c not in ("n_words", "n_hit", "item_ids", "spans")]
-    return found.select(*keep, "spans").mapInArrow(run, found.select(*keep).schema)
+def _without_spans(found: pa.RecordBatch) -> pa.RecordBatch:
+    """The spans cut out of the texts; texts without spans stay as they are."""
+    texts = found.column("text").to_pylist()
+    for i, spans in enumerate(found.column("spans").to_pylist()):
+        if spans:
+            raw, out, at = texts[i].encode(), [], 0
+            for s in spans:
+                out.append(raw[at : s["start"]])
+                at = s["end"]
+            texts[i] = b"".join([*out, raw[at:]]).decode()
+    return found.set_column(found.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
 def op7_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

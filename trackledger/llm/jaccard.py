@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import NOT_SPACE, U64, bloom_has, cut, pieces, shingles, span_hashes, table, with_row_id, words
+from trackledger.llm.common import NOT_SPACE, U64, bloom_has, cut, pieces, shingles, small_batches, span_hashes, table, with_row_id, words
 from trackledger.llm.components import components
 from trackledger.llm.twice import twice_filter
 
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     doc_id. A row without shingles is a component by itself.
     """
     threshold = Threshold(num, den)
+    small_batches(docs.sparkSession)
     docs = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     sc = docs.sparkSession.sparkContext
     size = 1 << COUNT_BITS

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm.bpe import LETTER, byte_classes, code_points
-from trackledger.llm.common import pieces, table, words
+from trackledger.llm.common import pieces, small_batches, table, words
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 2_500
@@ -159,6 +159,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """The columns of ``docs`` with lang_pred, score (0 to 1) and spans (array of start and end byte, lang)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "spans")]
     docs = docs.select(*others, F.col("text").cast("string").alias("text"))

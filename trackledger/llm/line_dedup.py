@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import NOT_SPACE, U64, bloom_has, byte_values, mix, pieces, span_hashes, table, with_row_id
+from trackledger.llm.common import NOT_SPACE, U64, bloom_has, byte_values, mix, pieces, small_batches, span_hashes, table, with_row_id
 from trackledger.llm.twice import twice_filter
 
 FILTER_BITS = 1 << 25
@@ -67,6 +67,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
     """
     if min_docs < 2 or keep not in ("none", "first") or filter_bits & (filter_bits - 1) or filter_bits < 8:
         raise ValueError("min_docs is 2 or more, keep is none or first, filter_bits a power of two")
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "_rid", "_drop")]
     docs = with_row_id(docs.select(*others, F.col("text").cast("string").alias("text")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm.bpe import Bpe
-from trackledger.llm.common import cut, pieces, table
+from trackledger.llm.common import cut, pieces, release, small_batches, table
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
@@ -43,12 +43,16 @@ def tokenize(docs: DataFrame, ranks: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks)
-        for part, data, offs in pieces(batches):
-            ids, ends = bpe.encode(data, offs)
-            ids = np.insert(ids, ends[1:], end_id).astype("<u2")
-            ends = (ends + np.arange(len(ends))) * 2
-            column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": column})
+        try:
+            for part, data, offs in pieces(batches):
+                ids, ends = bpe.encode(data, offs)
+                ids = np.insert(ids, ends[1:], end_id).astype("<u2")
+                ends = (ends + np.arange(len(ends))) * 2
+                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": column})
+        finally:
+            bpe.known.clear()  # the worker lives on
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -155,6 +159,7 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
     doc_tokens, sequence_id, offset (in the sequence). Each id lies in exactly one piece. Each shard's last sequence
     may be short; with ``split_tail`` it is cut at powers of two.
     """
+    small_batches(docs.sparkSession)
     tokens = cut(tokenize(docs, ranks, end_id))
     found = tokens.mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most vocabulary + 2 rows
     counts = {r["id"]: r["n"] for r in found}
@@ -199,6 +204,8 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
                     ids, held, size = [], [], 0
         if held:
             yield from flush()
+        ids, held = [], []
+        release()
 
     return tokens.mapInArrow(run, OUT)
 

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import U64, bloom_has, byte_values, cut, mix, pieces, span_hashes, table, with_row_id
+from trackledger.llm.common import U64, bloom_has, byte_values, cut, mix, pieces, small_batches, span_hashes, table, with_row_id
 from trackledger.llm.twice import twice_filter
 
 FILTER_BITS = 1 << 26
@@ -240,6 +240,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int = FILTER
     """The columns of ``docs`` (text without its repeated bytes) with n_bytes, n_removed, n_spans and ``kept`` (the bytes left)."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} or more")
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept", "_rid", "_runs", "_spans")]
     docs = with_row_id(docs.select(*others, F.col("text").cast("string").alias("text")))
     texts = docs.select("_rid", "text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import ALNUM, U64, mix, pieces, span_hashes, table, words
+from trackledger.llm.common import ALNUM, U64, mix, pieces, small_batches, span_hashes, table, words
 
 SAMPLE_ROWS = 12_000
 PREFIX = 4
@@ -114,6 +114,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options: float) -> Model:
     """Fit on ``labels`` (doc_id, toxic): at most ``sample_rows`` of them, so what is broadcast and collected is bounded."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     hashes = {int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]): t for t in terms}
@@ -153,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and ``score`` (0 to 1; a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("text", "score")]
     docs = docs.select(*others, F.col("text").cast("string").alias("text"))
