@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm.common import cut, table, with_row_id
-from trackledger.llm.decontaminate import find_benchmark, remove_spans
+from trackledger.llm.decontaminate import find_benchmark
 from trackledger.llm.jaccard import near_duplicates
 from trackledger.llm.line_dedup import drop_lines
 from trackledger.llm.packing import pack, ranks_path
@@ -60,8 +60,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ten benchmark words or more are cut out of the texts."""
     own, back = _aside(docs, {"n_words", "n_hit", "item_ids", "spans"})
-    found = find_benchmark(own, table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
-    return _as_before(docs, remove_spans(found.withColumn("_hit", F.col("n_hit") > 0)), back, "_hit")
+    found = find_benchmark(own, table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10, remove=True)
+    return _as_before(docs, found, back, "n_hit > 0")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
