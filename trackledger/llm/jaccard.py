@@ -293,3 +293,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def op6_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, g FROM (SELECT rid, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), common AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.rid < y.rid GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b WHERE 100 * c >= 90 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rid AS node, rid AS other FROM d UNION SELECT node, b FROM reach JOIN both_ways ON other = a
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach ON d.rid = node JOIN d o ON o.rid = other LEFT JOIN sizes ON sizes.rid = d.rid GROUP BY d.rid, d.doc_id
+"""

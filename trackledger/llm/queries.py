@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackledger.llm import decontaminate, line_dedup, near_vectors
+from trackledger.llm import decontaminate, jaccard, line_dedup, near_vectors, suffix_dedup
 from trackledger.llm.decontaminate import op7_fm_decontamination
 from trackledger.llm.jaccard import op6_adaptive_jaccard
 from trackledger.llm.langid import op5_viterbi_langid
@@ -28,6 +28,8 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_line_dedup": line_dedup.ORACLE,
+    "op6_adaptive_jaccard": jaccard.ORACLE,
     "op7_fm_decontamination": decontaminate.ORACLE,
     "op8_spherical_dedup": near_vectors.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -319,3 +319,27 @@ def _removed(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, others: l
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, encode(coalesce(text, '')) AS h FROM documents
+), windows AS (
+  SELECT rid, p, md5(array_slice(h, p + 1, p + 200)) AS k FROM (SELECT rid, h, unnest(range(octet_length(h) - 199)) AS p FROM d WHERE octet_length(h) >= 200)
+), repeats AS (
+  SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+), hits AS (
+  SELECT rid, p FROM windows SEMI JOIN repeats USING (k)
+), bytes AS (
+  SELECT rid, q, hex(array_slice(h, q + 1, q + 1)) AS b FROM (SELECT rid, h, unnest(range(octet_length(h))) AS q FROM d)
+), marked AS (
+  SELECT rid, q, b, coalesce(max(p) OVER (PARTITION BY rid ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > q - 200, false) AS gone
+  FROM (SELECT bytes.rid, q, b, p FROM bytes LEFT JOIN hits ON bytes.rid = hits.rid AND q = p)
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY q), false) AS begins FROM marked
+), done AS (
+  SELECT rid, count(*) AS n, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE begins) AS s, string_agg(b, '' ORDER BY q) FILTER (WHERE NOT gone) AS kept FROM edges GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN done USING (rid)
+"""
