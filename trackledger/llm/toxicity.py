@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import ALNUM, U64, mix, pieces, small_batches, span_hashes, table, words
+from trackledger.llm.common import ALNUM, U64, mix, pieces, release, small_batches, span_hashes, table, words
 
 SAMPLE_ROWS = 12_000
 PREFIX = 4
@@ -64,16 +64,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms: tuple[str, ...], neutral: tuple[str, ...], ridge: float = 2e-5, swap: float = 1.0, g_least: float = 12.0) -> Model:
+def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms: tuple[str, ...], neutral: tuple[str, ...], ridge: float | None = None, swap: float = 1.0, g_least: float = 12.0) -> Model:
     """``found``: each labelled document's distinct features; ``mentions``: labelled sentences that hold each term."""
     none = np.zeros(0, U64)
+    ridge = max(2e-5, 0.1 / max(1, len(y))) if ridge is None else ridge  # small samples hold more features by chance
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(p / (1 - p))))
     size = np.fromiter(map(len, found), np.int64, len(found))
-    flat, doc = np.concatenate([none, *found]), np.repeat(np.arange(len(found)), size)
-    keys, at = np.unique(flat, return_inverse=True)
-    n, ones = np.bincount(at, minlength=len(keys)), np.bincount(at, y[doc], len(keys))
+    flat, doc = np.concatenate([none, *found]), np.repeat(np.arange(len(found), dtype=np.int32), size)
+    found.clear()
+    ranked = np.sort(flat)
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    n = np.diff(np.append(first, len(ranked)))
+    known = n >= 3
+    for t in (*terms, *neutral):
+        known |= np.isin(ranked[first], term_features(t))
+    keys, n = ranked[first][known], n[known]
+    del ranked, first
+    if not len(keys):
+        return Model(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
+    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    there = keys[at] == flat
+    at, doc = at[there].astype(np.int32), doc[there]
+    del flat, there
+    ones = np.bincount(at, y[doc], len(keys))
     share = y.mean()
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -112,7 +127,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
     return Model(keys[keep], w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options: float | None) -> Model:
     """Fit on ``labels`` (doc_id, toxic): at most ``sample_rows`` of them, so what is broadcast and collected is bounded."""
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
@@ -144,12 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
     got = sample.mapInArrow(read, "y int, f binary, terms array<string>").limit(2 * sample_rows).toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
-    found = [np.frombuffer(x.as_buffer(), U64) for x in got.column("f")]
+    found = [np.frombuffer(x.as_buffer(), U64).copy() for x in got.column("f")]
     mentions: dict[str, int] = {}
     for some in got.column("terms").to_pylist():
         for t in some:
             mentions[t] = mentions.get(t, 0) + 1
-    return fit(found, y, mentions, terms, neutral, **options)
+    del got
+    model = fit(found, y, mentions, terms, neutral, **options)
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
