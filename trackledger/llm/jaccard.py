@@ -9,8 +9,8 @@ A document is its set of distinct k-word shingles (64-bit hashes, 128 bits for a
    dropped by a twice-seen filter and then an exact count.
 3. *Candidates.* Prefix entries with a parity sketch of their set meet by shingle in bins of bounded size; a shingle with
    more than ``BLOCK`` sets is cut into blocks, and pairs of blocks meet. A pair passes if sizes and the sketches' difference
-   (never more than the sets') allow the threshold and the prefixes share enough. Of the pairs that pass, a bin returns a
-   spanning forest.
+   (never more than the sets') allow the threshold. Of the pairs that pass, a bin returns a spanning forest; those whose
+   prefixes share too little go.
 4. *Verification* compares the shingles of the two whole texts. Verified links make components; then the bins are asked
    again for all pairs that pass between different components, which are verified too. Links inside a component change
    nothing, so components are exact.
@@ -98,9 +98,9 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def passing(t: pa.Table, threshold: Threshold, all_pairs: bool) -> pa.Table:
-    """Pairs of one bin that pass the filters; rows are (token, k, n, l, sk, prefix, side, comp)."""
+    """Pairs of one bin whose sizes and sketches allow the threshold; rows are (token, k, n, sk, side, comp)."""
     t = t.combine_chunks().sort_by([("token", "ascending"), ("n", "ascending")])
-    token, n, least, side = (t.column(c).to_numpy() for c in ("token", "n", "l", "side"))
+    token, n, side = (t.column(c).to_numpy() for c in ("token", "n", "side"))
     node = t.column("k").combine_chunks().dictionary_encode()
     name, comp = node.indices.to_numpy(), t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
     sides = len(np.unique(side)) > 1
@@ -142,14 +142,6 @@ def passing(t: pa.Table, threshold: Threshold, all_pairs: bool) -> pa.Table:
         got_b.append(j)
         row = stop
     i, j = np.concatenate([np.zeros(0, np.int64), *got_a]), np.concatenate([np.zeros(0, np.int64), *got_b])
-    need = np.minimum(least[i], least[j])
-    if (need > 1).any():
-        prefix = t.column("prefix").to_pylist()
-        ok = np.ones(len(i), bool)
-        for p in np.flatnonzero(need > 1).tolist():
-            x, y = (np.frombuffer(prefix[q], np.uint32) for q in (i[p], j[p]))
-            ok[p] = len(np.intersect1d(x, y)) >= need[p]  # 32 bits of a shingle: never too few
-        i, j = i[ok], j[ok]
     a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
     if len(a):
         once = np.unique(a * np.int64(len(node.dictionary)) + b)
@@ -162,17 +154,24 @@ def passing(t: pa.Table, threshold: Threshold, all_pairs: bool) -> pa.Table:
 
 
 def _candidates(entries: DataFrame, threshold: Threshold, all_pairs: bool) -> DataFrame:
-    """(ka, kb) from ``entries`` (token, k, n, l, sk, prefix, comp, sets)."""
+    """(ka, kb) from ``entries`` (token, k, n, sk, comp, sets)."""
     bins = max(1, -(-entries.count() // BIN_ROWS))
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     e = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    cold = e.where("blocks = 1").select(F.pmod(F.xxhash64("token"), F.lit(bins)).alias("bin"), F.lit(0).alias("i"), F.lit(0).alias("j"), "token", "k", "n", "l", "sk", "prefix", "comp", F.lit(0).alias("side"))
+    cold = e.where("blocks = 1").select(F.pmod(F.xxhash64("token"), F.lit(bins)).alias("bin"), F.lit(0).alias("i"), F.lit(0).alias("j"), "token", "k", "n", "sk", "comp", F.lit(0).alias("side"))
     hot = e.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("token").alias("bin"), F.least("own", "other").alias("i"), (F.greatest("own", "other") + 1).alias("j"), "token", "k", "n", "l", "sk", "prefix", "comp", F.col("own").alias("side")
+        F.col("token").alias("bin"), F.least("own", "other").alias("i"), (F.greatest("own", "other") + 1).alias("j"), "token", "k", "n", "sk", "comp", F.col("own").alias("side")
     )
     return cold.union(hot).groupBy("bin", "i", "j").applyInArrow(lambda t: passing(t, threshold, all_pairs), "ka binary, kb binary").distinct()
 
 
+def _enough_matches(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs whose prefixes share as many shingles as the smaller of their two numbers of matches (one, unless both say more)."""
+    one, two = (about.select(F.col("k").alias(x), F.col("l").alias(f"l{x}"), F.col("prefix").alias(f"p{x}")) for x in ("ka", "kb"))
+    need = F.least("lka", "lkb")
+    return pairs.join(one, "ka").join(two, "kb").where((need == 1) | (F.size(F.array_intersect("pka", "pkb")) >= need)).select("ka", "kb")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """``pairs`` (ka, kb) with the nodes' row numbers and whether the two texts reach the threshold."""
     asked = cut(pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(nodes.select("k", "rid"), "k"))
@@ -254,28 +253,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             keep = bloom_has(twice.value, tokens)
             tokens, owner = tokens[keep], owner[keep]
             none = len(tokens)
-            yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "k": key.take(pa.array(owner)), "n": pa.nulls(none, pa.int64()), "l": pa.nulls(none, pa.int32()), "sk": pa.nulls(none, pa.binary()), "prefix": pa.nulls(none, pa.binary())})
+            yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "k": key.take(pa.array(owner)), "n": pa.nulls(none, pa.int64()), "l": pa.nulls(none, pa.int32()), "sk": pa.nulls(none, pa.binary()), "prefix": pa.nulls(none, pa.list_(pa.int64()))})
             used = np.unique(owner)
             some = [found[i] for i in used.tolist()]
             yield pa.record_batch({
                 "token": pa.nulls(len(some), pa.int64()), "k": key.take(pa.array(used)), "n": pa.array([len(u) for u, _, _ in some], pa.int64()), "l": pa.array([m for _, _, m in some], pa.int32()),
-                "sk": pa.array([sketch(u) for u, _, _ in some], pa.binary()), "prefix": pa.array([(p & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() if m > 1 else b"" for _, p, m in some], pa.binary()),
+                "sk": pa.array([sketch(u) for u, _, _ in some], pa.binary()), "prefix": pa.array([p.view(np.int64) if m > 1 else p[:0].view(np.int64) for _, p, m in some], pa.list_(pa.int64())),
             })
 
-    entered = cut(docs.select("text").mapInArrow(enter, "token long, k binary, n long, l int, sk binary, prefix binary"))
+    entered = cut(docs.select("text").mapInArrow(enter, "token long, k binary, n long, l int, sk binary, prefix array<long>"))
     pairs = cut(entered.where("token is not null").select("token", "k").distinct())
     met = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    about = entered.where("token is null").groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "l", "sk", "prefix")))
-    # only what meets another set is carried on with its sketch
-    entries = cut(pairs.join(met, "token").join(about, "k").select("token", "k", "n", "l", "sk", "prefix", "sets"))
-    first = _verified(cut(_candidates(entries.withColumn("comp", F.col("k")), threshold, False)), nodes, docs, k, threshold)
+    about = cut(entered.where("token is null").drop("token").dropDuplicates(["k"]))
+    # only what meets another set is carried on with its sketch; prefixes wait for the pairs
+    entries = cut(pairs.join(met, "token").join(about.select("k", "n", "sk"), "k").select("token", "k", "n", "sk", "sets"))
+    first = _verified(cut(_enough_matches(_candidates(entries.withColumn("comp", F.col("k")), threshold, False), about)), nodes, docs, k, threshold)
     links = first.where("ok").select("a", "b")
     roots = components(links)
     named = nodes.join(roots, F.col("rid") == F.col("node")).select("k", F.encode(F.col("root").cast("string"), "utf-8").alias("root"))
     split = entries.join(named, "k", "left").withColumn("comp", F.coalesce("root", "k")).drop("root")
-    split = cut(split.select("token", "k", "n", "l", "sk", "prefix", "sets", "comp"))
+    split = cut(split.select("token", "k", "n", "sk", "sets", "comp"))
     open_tokens = split.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    again = cut(_candidates(split.join(open_tokens, "token", "left_semi"), threshold, True).join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"))
+    again = cut(_enough_matches(_candidates(split.join(open_tokens, "token", "left_semi"), threshold, True).join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"), about))
     if not again.isEmpty():
         roots = components(links.union(_verified(again, nodes, docs, k, threshold).where("ok").select("a", "b")))
     comp = nodes.join(roots, F.col("rid") == F.col("node"), "left").select("k", "rid", "doc_id", F.coalesce("root", "rid").alias("comp"))

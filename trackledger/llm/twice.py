@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackledger.llm.common import bloom_has, bloom_set, pieces
+from trackledger.llm.common import bloom_has, bloom_set, pieces, release
 
 SLICE = 1 << 16
 
@@ -49,4 +49,5 @@ def twice_filter(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.
     for r in parts.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
         out[r["slice"] * SLICE // 8 :][: len(part)] = part
+    release()
     return out
