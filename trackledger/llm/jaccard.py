@@ -35,7 +35,7 @@ from trackledger.llm.common import NOT_SPACE, U64, bloom_has, cut, pieces, shing
 from trackledger.llm.components import components
 from trackledger.llm.twice import twice_filter
 
-COUNT_BITS = 20
+COUNT_BITS = 22
 FILTER_BITS = 1 << 26
 MOST_MATCHES = 4
 BLOCK = 2048
@@ -68,12 +68,15 @@ class Threshold:
         return -(-self.num * (a + b) // (self.num + self.den))
 
 
-def ordered_prefix(u: np.ndarray, level: np.ndarray, excess: np.ndarray, t: Threshold) -> tuple[np.ndarray, int]:
-    """The set's prefix, rare shingles first, and its number of matches."""
-    at = (u & U64(len(level) - 1)).astype(np.int64)
-    by = np.argsort(level[at], kind="stable")
+def ordered_prefix(u: np.ndarray, level: np.ndarray, mean: float, t: Threshold) -> tuple[np.ndarray, int]:
+    """The set's prefix, rare shingles first, and its number of matches.
+
+    ``level`` is four times the binary logarithm of a bucket's count, ``mean`` the mean count: three means are put down to chance.
+    """
+    own = level[(u & U64(len(level) - 1)).astype(np.int64)]
+    by = np.argsort(own, kind="stable")
     first = t.prefix(len(u), 1)
-    cost = float(excess[at[by[:first]]].sum()) / first
+    cost = float(np.maximum(np.exp2(own[by[:first]] / 4.0) - 1 - 3 * mean, 0).sum()) / first
     matches = 1 + min(MOST_MATCHES - 1, int(np.log2(1 + cost / 32)))
     while matches > 1 and t.prefix(len(u), matches) - t.prefix(len(u), 1) < matches - 1:
         matches -= 1  # the set is too small
@@ -211,10 +214,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     part_size = size // 16
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size, np.int32)
         for part, data, offs in pieces(batches):
             found = sets_of(data, offs, k)
-            seen += np.bincount((np.concatenate(found) & U64(size - 1)).astype(np.int64), minlength=size)
+            np.add.at(seen, (np.concatenate(found) & U64(size - 1)).astype(np.int64), 1)
             keys = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None for u in found]
             n = part.num_rows
             yield pa.record_batch({"rid": part.column("_rid"), "doc_id": part.column("doc_id"), "n": pa.array([len(u) for u in found], pa.int64()), "k": pa.array(keys, pa.binary()), "part": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
@@ -225,16 +228,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         total = np.zeros(part_size, np.int64)
         for batch in batches:
             for raw in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), np.int64)
+                total += np.frombuffer(zlib.decompress(raw), np.int32)
         yield pa.record_batch({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     described = cut(docs.mapInArrow(describe, "rid long, doc_id long, n long, k binary, part int, counts binary"))
-    counts = np.zeros(size, np.int64)
+    counts = np.zeros(size, np.int32)
     for r in described.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a table of fixed size
-        counts[r["part"] * part_size :][:part_size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+        counts[r["part"] * part_size :][:part_size] = np.minimum(np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64), (1 << 31) - 2)
     rows = described.where("part is null").select("rid", "doc_id", "n", "k")
     nodes = cut(rows.where("k is not null").groupBy("k").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id")))
-    shared = sc.broadcast((np.ceil(4 * np.log2(1 + counts)).astype(np.uint8), np.maximum(counts - 3 * counts.mean(), 0).astype(np.float32)))
+    shared = sc.broadcast((np.ceil(4 * np.log2(counts + 1, dtype=np.float32)).astype(np.uint8), float(counts.mean())))
+    del counts
 
     def prefixes(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
         return [(u, *ordered_prefix(u, *shared.value, threshold)) if len(u) else (u, u, 1) for u in sets_of(data, offs, k)]
