@@ -145,6 +145,19 @@ def test_vectors_equal_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_links_across_borders_of_cells(spark):
+    """Points on a circle in 64 dimensions: all differences across a border point the same way."""
+    rng = np.random.default_rng(11)
+    angle = rng.uniform(0, 2 * np.pi, 300)
+    plane = np.linalg.qr(rng.normal(size=(64, 2)))[0]
+    x = np.stack([np.cos(angle), np.sin(angle)], 1) @ plane.T
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(df, 0.95, cell_points=30, block=16).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+
+
 RULES = [("com/", "allow"), ("bad.com/x/", "block"), ("net/", "block")]
 
 

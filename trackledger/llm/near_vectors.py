@@ -1,11 +1,11 @@
 """Embedding near-dedup (8): spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
 Equal vectors are one *point* with a multiplicity. Centroids are fitted on a bounded sample of points; every point
-has a home cell (largest cosine). A point also visits each cell whose border with its home lies near: a linked vector
-that lives there is at most sin(angle of the threshold) nearer to that border, and that only if the two differ just
-across it. Differences spread over the dimensions, so a visit is made within ``spread / sqrt(dimensions)`` of that
-distance (all of it where that is 1 or more): with 3.5 standard deviations, recall against brute force was 1.0 on all
-given tables. The links of a point are found in its home cell, between points that live there and all that live or visit there.
+has a home cell (largest cosine). The way between two linked points in different cells crosses the border of these
+cells, so one of the two lies within half the threshold's angle of it: a point visits each cell whose border with its
+home is that near, and every link is found in the home cell of one of its ends, where the other lives or visits; recall
+is 1 by construction. A point carries the list of its visits: a link found in both homes counts for the home's point in
+each of them, one found in a single home counts for both ends there.
 A cell is cut into blocks of ``BLOCK`` points, and each pair of blocks is one task: it returns a link count per point
 and a spanning forest of the links, never the links themselves.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS, block: int = BLOCK, spread: float = 3.5) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS, block: int = BLOCK) -> DataFrame:
     """``vectors`` (vec_id, embedding) -> (vec_id, n_links, component_id, kept), cosines in double precision."""
     spark = vectors.sparkSession
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
@@ -73,7 +74,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int =
     x = _unit(sample)
     centroids = spherical_kmeans(x, max(1, min(MOST_CELLS, n // cell_points, len(x))))
     shared = spark.sparkContext.broadcast(centroids)
-    reach = (np.sqrt(1 - cosine**2) if cosine > 0 else 1.0) * min(1.0, spread / np.sqrt(dim)) + 1e-9
+    reach = np.sqrt(max(0.0, (1 - cosine) / 2)) + 1e-9  # sine of half the angle
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as exact as they came
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +87,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int =
             home = d.argmax(1)
             gap = d[np.arange(len(d)), home][:, None] - d
             apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))[home]
-            visit = gap <= reach * apart
+            visit = gap <= reach * apart + 1e-9
             visit[np.arange(len(d)), home] = True
             i, cell = np.nonzero(visit)
+            lists = [x.astype("<i2").tobytes() for x in np.split(cell, np.cumsum(visit.sum(1))[:-1])]
             values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(sub), -1).astype(kind)
             yield pa.record_batch({
-                "cell": pa.array(cell, pa.int32()), "home": pa.array(cell == home[i]), "p": batch.column("p").take(pa.array(i)), "copies": batch.column("copies").take(pa.array(i)),
+                "cell": pa.array(cell, pa.int32()), "lives": pa.array(home[i], pa.int32()), "visits": pa.array([lists[k] if lived else None for k, lived in zip(i.tolist(), (cell == home[i]).tolist(), strict=True)], pa.binary()), "p": batch.column("p").take(pa.array(i)), "copies": batch.column("copies").take(pa.array(i)),
                 "u": pa.array([values[k].tobytes() for k in i.tolist()], pa.binary()),
             })
 
@@ -99,31 +101,39 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int =
         for batch in batches:
             for k in range(batch.num_rows):
                 u = batch.column("v").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
-                yield pa.record_batch({"cell": pa.array([-len(u)], pa.int32()), "home": pa.array([True]), "p": batch.column("p").slice(k, 1), "copies": batch.column("copies").slice(k, 1), "u": pa.array([u.astype(kind).tobytes()], pa.binary())})
+                yield pa.record_batch({"cell": pa.array([-len(u)], pa.int32()), "lives": pa.array([-len(u)], pa.int32()), "visits": pa.array([b""], pa.binary()), "p": batch.column("p").slice(k, 1), "copies": batch.column("copies").slice(k, 1), "u": pa.array([u.astype(kind).tobytes()], pa.binary())})
 
-    schema = "cell int, home boolean, p long, copies long, u binary"
+    schema = "cell int, lives int, visits binary, p long, copies long, u binary"
     placed = points.where(F.size("v") == dim).mapInArrow(place, schema).union(points.where(F.size("v") != dim).mapInArrow(alone, schema))
     placed = cut(placed)
-    counts = placed.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count(F.lit(1)).alias("n_all"))
+    counts = placed.groupBy("cell").agg(F.count_if(F.col("cell") == F.col("lives")).alias("n_home"), F.count(F.lit(1)).alias("n_all"))
     counts = counts.select("cell", F.ceil(F.col("n_home") / block).cast("int").alias("bh"), F.ceil(F.col("n_all") / block).cast("int").alias("ba"))
     blocked = placed.join(F.broadcast(counts), "cell")  # at most MOST_CELLS rows and one for each odd length
     part = F.xxhash64("p")
-    own = blocked.where("home").select("cell", F.pmod(part, F.col("bh")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(True).alias("home"), "p", "copies", "u")
-    other = blocked.select("cell", F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("i"), F.pmod(part, F.col("ba")).cast("int").alias("j"), F.lit(False).alias("home"), "p", "copies", "u")
+    own = blocked.where("cell = lives").select("cell", F.pmod(part, F.col("bh")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(True).alias("home"), "lives", "visits", "p", "copies", "u")
+    other = blocked.select("cell", F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("i"), F.pmod(part, F.col("ba")).cast("int").alias("j"), F.lit(False).alias("home"), "lives", F.lit(None).cast("binary").alias("visits"), "p", "copies", "u")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         home = t.column("home").to_numpy()
         p, copies = t.column("p").to_numpy(), t.column("copies").to_numpy()
         u = _unit_rows(np.frombuffer(b"".join(t.column("u").to_pylist()), kind).reshape(len(p), -1).astype(np.float64))
-        links = np.zeros(int(home.sum()), np.int64)
+        links, back = np.zeros(int(home.sum()), np.int64), np.zeros(int((~home).sum()), np.int64)
         pa_, pb = p[home], p[~home]
         a, b = [], []
-        uh, uo, co = u[home], u[~home], copies[~home]
+        uh, uo, ch, co = u[home], u[~home], copies[home], copies[~home]
+        lives = t.column("lives").to_numpy()[~home]
+        guest = np.flatnonzero(lives != key[0].as_py())
+        met = np.zeros((len(uh), MOST_CELLS), bool)
+        if len(guest):
+            seen = [np.frombuffer(x, "<i2") for x in pc.filter(t.column("visits"), t.column("home")).to_pylist()]
+            met[np.repeat(np.arange(len(uh)), [len(x) for x in seen]), np.concatenate([*seen, np.zeros(0, "<i2")])] = True
         for s in range(0, len(uh), block):
             near = uh[s : s + block] @ uo.T >= cosine
             near &= pa_[s : s + block, None] != pb[None, :]
             links[s : s + block] = near @ co
+            # guests whose home the other end does not visit meet it only here
+            back[guest] += ch[s : s + block] @ (near[:, guest] & ~met[s : s + block][:, lives[guest]])
             i, j = np.nonzero(near)
             a.append(pa_[s + i])
             b.append(pb[j])
@@ -133,10 +143,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int =
             low = nodes[forest(at[: len(ea)], at[len(ea) :])]
             keep = low != nodes
             ea, eb = nodes[keep], low[keep]
-        some = links > 0
+        ids, n = np.concatenate([pa_, pb]), np.concatenate([links, back])
+        ids, n = ids[n > 0], n[n > 0]
         return pa.table({
-            "a": pa.array(np.concatenate([pa_[some], ea]), pa.int64()), "b": pa.array(np.concatenate([pa_[some], eb]), pa.int64()),
-            "n": pa.array(np.concatenate([links[some], np.zeros(len(ea), np.int64)]), pa.int64()),
+            "a": pa.array(np.concatenate([ids, ea]), pa.int64()), "b": pa.array(np.concatenate([ids, eb]), pa.int64()),
+            "n": pa.array(np.concatenate([n, np.zeros(len(ea), np.int64)]), pa.int64()),
         })
 
     found = cut(own.union(other).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, n long"))
