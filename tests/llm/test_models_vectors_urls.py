@@ -70,6 +70,32 @@ def test_one_language_test_is_exact():
         assert value(mine) == pytest.approx(value(langid.viterbi(s, 4.0)))
 
 
+def test_labels_of_several_languages_equal_viterbi():
+    """Two languages can cover a text better than a third, though neither stretch alone gains the penalty."""
+    rng = np.random.default_rng(12)
+    for n_lang in (3, 5):
+        model = langid.Model([str(k) for k in range(n_lang)], np.ones((n_lang, langid.BUCKETS)), np.ones((n_lang, len(langid.SCRIPTS))))
+
+        class Fake:
+            doc = np.repeat(np.arange(300), rng.integers(1, 30, 300))
+            script = np.zeros(len(doc), np.int64)
+            scores = rng.normal(size=(len(doc), n_lang)) * 4
+
+            def sums(self, _):
+                return self.scores
+
+        w = Fake()
+        label, score = model.label(w, 300, 15.0)
+        assert label.tolist() == np.concatenate([langid.viterbi(score[w.doc == d], 15.0) for d in range(300)]).tolist()
+
+    class Two(Fake):
+        doc, script = np.zeros(8, np.int64), np.zeros(8, np.int64)
+        scores = np.array([[3.0, -6.0, 0.0]] * 4 + [[-6.0, 3.0, 0.0]] * 4)
+
+    three = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPTS))))
+    assert three.label(Two(), 1, 15.0)[0].tolist() == [0] * 4 + [1] * 4
+
+
 def test_no_language_labels(spark):
     docs = langs(spark, random.Random(4), 9).withColumn("lang", F.lit(None).cast("string"))
     model = langid.train(docs)

@@ -3,9 +3,9 @@
 A word is a run of letters. Its score in a language is the sum of the log probabilities of its byte trigrams (word
 ends are blanks), from tables of ``BUCKETS`` hashed trigrams per language; languages seldom written in the word's script
 (by its first letter's range) are ruled out, unless all are. Viterbi labels the words with one switching penalty for
-every change of language. Where in no language any stretch of words gains more than the penalty over the text's best
-single language, that language is the best path (tested for all texts of a batch at once); the other texts are walked
-word by word. Runs of one label are spans; the language with most letters is the text's.
+every change of language. A path with k stretches in other languages than the text's best single one changes k - 1
+times at least; where no stretch of words gains half the penalty in any language, the best single language is the best
+path (tested for all texts of a batch at once). The other texts are walked word by word, side by side. Runs of one label are spans; the language with most letters is the text's.
 
 Models are fitted on about ``per_language`` labelled rows of each language, drawn by a hash of doc_id, so that the
 rows read for training are bounded by that and the number of languages.
@@ -93,10 +93,9 @@ class Model:
         wide = np.abs(own).max(initial=0) * 2 + 1
         fall = -wide * w.doc[:, None]
         least = np.minimum.accumulate(np.minimum(own - gain, 0) + fall, axis=0) - fall
-        mixed = np.unique(w.doc[(own - least > penalty).any(1)])
-        for d in mixed.tolist():
-            a, b = first[d], first[d + 1] if d + 1 < n_docs else len(score)
-            label[a:b] = viterbi(score[a:b], penalty)
+        # a little less, for the rounding of the sums: walking a text for nothing changes nothing
+        mixed = np.unique(w.doc[(own - least > penalty / 2 - 1e-3).any(1)])
+        walk(score, first[mixed], np.append(first, len(score))[mixed + 1], penalty, label)
         return label, score
 
 
@@ -118,6 +117,34 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def walk(score: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float, label: np.ndarray) -> None:
+    """``viterbi`` of the rows from each start to its end, into ``label``: one step moves all texts that have so many words."""
+    if not len(starts):
+        return
+    order = np.argsort(starts - ends, kind="stable")  # the longest first: those still walked stay in front
+    starts, size = starts[order], (ends - starts)[order]
+    live = np.searchsorted(-size, -np.arange(size[0]))  # texts with more than t words
+    came = np.empty(score.shape, np.int32)
+    value = score[starts]
+    stay = np.arange(score.shape[1])
+    for t in range(1, size[0]):
+        n = live[t]
+        v = value[:n]
+        top = v.argmax(1)
+        switched = v[np.arange(n), top][:, None] - penalty
+        switch = switched > v
+        at = starts[:n] + t
+        came[at] = np.where(switch, top[:, None], stay)
+        value[:n] = np.where(switch, switched, v) + score[at]
+    now = value.argmax(1)
+    label[starts + size - 1] = now
+    for t in range(size[0] - 1, 0, -1):
+        n = live[t]
+        at = starts[:n] + t
+        now[:n] = came[at, now[:n]]
+        label[at - 1] = now[:n]
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows (doc_id, text, lang) with text and lang: about ``per_language`` of each language."""
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
