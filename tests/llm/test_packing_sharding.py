@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -66,6 +67,19 @@ def test_neighbours_share_rare_ids(spark):
     assert [[d for d, _, _ in w] for w in shard.windows(8)] == [[0, 2], [1, 3]]
 
 
+def test_related_documents_of_distant_splits_meet(spark):
+    """Pairs that share rare words lie at the two ends of a table of many splits and shards."""
+    rnd = random.Random(3)
+    common = [f"{a}{b}" for a in ("stone", "river", "house", "light") for b in ("s", " and", " of", " the")]
+    rare = "volcano penguin algebra trumpet harvest cathedral magnet pepper dragon velvet copper walnut cricket lantern puzzle saddle mirror glacier turtle violin ribbon cactus anchor barley".split()
+    texts = [" ".join([*rnd.choices(common, k=20), *[r] * 6]) for r in rare * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(16, "doc_id")
+    got = pack(docs, ranks_path(), window=128, shard_tokens=300).toPandas()
+    held = got.groupby("doc_id").sequence_id.agg(lambda s: set(s.to_numpy() >> 33))
+    assert len(set.union(*held)) > 4
+    assert sum(bool(held[i] & held[i + 24]) for i in range(24)) >= 16
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert pack(empty, ranks_path()).count() == 0

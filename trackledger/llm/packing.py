@@ -1,12 +1,17 @@
 """Packing (1): lexical retrieval packing with a sharded BM25 index.
 
-Three passes. Documents become id arrays (a written table); document frequencies of all ids are counted over
-the whole corpus (as many rows as the vocabulary, so they can be broadcast); then every partition cuts its
-documents into shards of about ``shard_tokens`` ids, indexes each shard (postings by id, BM25 weights with the
-corpus-wide statistics) and fills windows: a seed document, then its best unused neighbours, the last one cut
-where the window ends; what is left of it is the next seed. No text or id array is shuffled.
-
-Defined results: null or empty text is the end id alone; equal scores go by the order of rows; repeated rows and
+Documents become id arrays (a written table); document frequencies of all ids are counted over the whole corpus (as
+many rows as the vocabulary, so they can be broadcast). A document's *signature* is the ranks of its ``SIGNATURE``
+rarest ids that another document has too. Signatures are cut into ranges of about ``shard_tokens`` ids (bounds from a
+sample, equal signatures salted), and each range is one shard: id arrays are shuffled, so documents with the same
+rarest ids meet wherever they lay, at any size. A shard is indexed (postings by id, BM25 weights with the corpus-wide
+statistics) and fills windows: a seed document, then its best unused neighbours, the last one cut where the window
+ends; what is left of it is the next seed.
+
+What still cannot meet: a document lies in one shard only, so two related documents whose rarest shared ids differ
+(or whose signature is so common that it spans shards) may lie in two.
+
+Defined results: null or empty text is the end id alone; equal scores go by signature, then salt; repeated rows and
 null ids are packed as they are; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm.bpe import Bpe
-from trackledger.llm.common import cut, pieces, release, small_batches, table
+from trackledger.llm.common import cut, mix, pieces, release, small_batches, table
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+SIGNATURE = 4
+#: Documents from which the bounds of shards are taken: so many for each shard, and so many at least.
+SHARD_SAMPLE, LEAST_SAMPLE = 64, 20_000
+KEY = np.dtype([("sig", np.uint64), ("salt", np.uint64)])
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -70,6 +79,50 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(seen[at], [n_docs, n_ids]), pa.int64())})
 
 
+def ranks_of(df: np.ndarray) -> np.ndarray:
+    """For every id its place among ids that two documents or more have, the rarest last; 0 for others."""
+    shared = np.flatnonzero(df >= 2)
+    rank = np.zeros(len(df), np.uint16)
+    rank[shared[np.lexsort((shared, -df[shared]))]] = np.minimum(np.arange(1, len(shared) + 1), 65_535)
+    return rank
+
+
+def signatures(flat: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The ranks of each document's rarest shared ids, rarest first; no document is empty."""
+    r = rank[flat]
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    sig = np.zeros(len(ends), np.uint64)
+    for _ in range(SIGNATURE):
+        top = np.maximum.reduceat(r, starts) if len(starts) else r[:0]
+        sig = (sig << np.uint64(16)) | top.astype(np.uint64)
+        r[r == np.repeat(top, sizes)] = 0
+    return sig
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with their documents' keys and numbers of ids."""
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw = [x.as_buffer() for x in batch.column("ids")]
+        size = np.fromiter((x.size // 2 for x in raw), np.int64, len(raw))
+        key = np.empty(len(raw), KEY)
+        key["sig"] = signatures(np.frombuffer(b"".join(raw), "<u2"), np.cumsum(size), rank)
+        key["salt"] = mix(np.arange(row, row + len(raw), dtype=np.uint64))
+        row += len(raw)
+        yield batch, key, size
+
+
+def shard_bounds(key: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
+    """The first keys of all shards but the first, which have about equally many ids in this sample."""
+    order = np.argsort(key, order=("sig", "salt"))
+    full = np.cumsum(size[order])
+    at = np.searchsorted(full, full[-1] / shards * np.arange(1, shards)) if len(full) else []
+    return np.unique(key[order][at]) if len(at) else key[:0]
+
+
 class Shard:
     """A BM25 index over some documents' ids, and the windows filled from it."""
 
@@ -167,53 +220,63 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
     df = np.zeros(1 << 16)
     for i, n in counts.items():
         df[i] = n
-    shared = docs.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
+    sc = docs.sparkSession.sparkContext
+    shared, rank = sc.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5))), sc.broadcast(ranks_of(df))
     mean = max(1.0, n_ids / max(1, n_docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id = TaskContext.get().partitionId() << 33
-        ids: list[int | None] = []
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal next_id
-            rows: list[tuple] = []
-            full = Shard(held, shared.value, mean).windows(window)
-            for w in full:
+    shards = max(1, -(-n_ids // shard_tokens))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, size in _keyed(batches, rank.value):
+            yield pa.record_batch({"key": pa.array([key.tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
+
+    bounds = np.zeros(0, KEY)
+    if shards > 1:
+        drawn = tokens.sample(min(1.0, max(LEAST_SAMPLE, SHARD_SAMPLE * shards) / n_docs), seed=5).mapInArrow(sample, "key binary, size binary").collect()
+        bounds = shard_bounds(np.frombuffer(b"".join(r["key"] for r in drawn), KEY), np.frombuffer(b"".join(r["size"] for r in drawn), np.int64), shards)
+    cuts = sc.broadcast(bounds)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, key, _ in _keyed(batches, rank.value):
+            shard = np.searchsorted(cuts.value, key, "right") if len(cuts.value) else np.zeros(len(key), np.int64)
+            yield pa.record_batch({"shard": pa.array(shard, pa.int64()), "sig": pa.array(key["sig"].view(np.int64)), "salt": pa.array(key["salt"].view(np.int64)), "doc_id": batch.column("doc_id"), "ids": batch.column("ids")})
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        order = np.lexsort((t.column("salt").to_numpy().view(np.uint64), t.column("sig").to_numpy().view(np.uint64)))
+        next_id = key[0].as_py() << 33
+        ids, raw = t.column("doc_id").to_pylist(), t.column("ids").to_pylist()
+        ids, docs = [ids[i] for i in order.tolist()], [np.frombuffer(raw[i], "<u2") for i in order.tolist()]
+        parts, rows = [_batch([])], []
+        # bounds come from a sample: what has grown to several shards is cut
+        ends = np.cumsum([len(d) for d in docs])
+        n_cuts = max(1, round(int(ends[-1]) / shard_tokens))
+        edges = [0, *np.searchsorted(ends, ends[-1] / n_cuts * np.arange(1, n_cuts)).tolist(), len(docs)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            held = docs[a:b]
+            for w in Shard(held, shared.value, mean).windows(window):
                 short = split_tail and sum(x[2] for x in w) < window
                 for sequence in _powers_of_two(w) if short else (w,):
                     offset = 0
                     for d, at, n in sequence:
-                        rows.append((ids[d], at, n, held[d][at : at + n].astype("<u4").tobytes(), len(held[d]), next_id, offset))
+                        rows.append((ids[a + d], at, n, held[d][at : at + n].astype("<u4").tobytes(), len(held[d]), next_id, offset))
                         offset += n
                     next_id += 1
                 if len(rows) >= 2000:
-                    yield _batch(rows)
+                    parts.append(_batch(rows))
                     rows = []
-            if rows:
-                yield _batch(rows)
-
-        for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids.append(doc_id)
-                held.append(np.frombuffer(raw.as_py(), "<u2"))
-                size += len(held[-1])
-                if size >= shard_tokens:
-                    yield from flush()
-                    ids, held, size = [], [], 0
-        if held:
-            yield from flush()
-        ids, held = [], []
-        release()
+        parts.append(_batch(rows))
+        return pa.Table.from_batches(parts)
 
-    return tokens.mapInArrow(run, OUT)
+    routed = tokens.mapInArrow(route, "shard long, sig long, salt long, doc_id long, ids binary")
+    return routed.groupBy("shard").applyInArrow(run, OUT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     names = [c.split()[0] for c in OUT.split(", ")]
-    return pa.record_batch({k: pa.array(c, t) for k, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.record_batch({k: pa.array(c, t) for k, t, c in zip(names, kinds, columns, strict=True)})
 
 
 def ranks_path() -> str:
