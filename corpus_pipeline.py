@@ -51,9 +51,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by a Jaccard similarity of 0.8 over five-word shingles."""
-    kept = near_duplicates(docs, k=5, num=80, den=100).where("kept").select(F.col("rid").alias("_kept"))
     own, back = _aside(docs, {"_rid", "_kept"})
     numbered = with_row_id(own)
+    kept = near_duplicates(numbered, k=5, num=80, den=100, rid="_rid").where("kept").select(F.col("rid").alias("_kept"))
     return _as_before(docs, numbered.join(kept.hint("shuffle_hash"), F.col("_rid") == F.col("_kept"), "left_semi"), back)
 
 

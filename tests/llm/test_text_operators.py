@@ -226,3 +226,17 @@ def test_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "none"))
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert drop_lines(docs).count() == find_benchmark(docs, bench).count() == near_duplicates(docs).count() == remove_repeats(docs).count() == 0
+
+
+def test_row_numbers_outlive_other_splits(spark, tmp_path):
+    """The size of splits follows the cores of the moment: numbers must not change with it."""
+    path = str(tmp_path / "rows")
+    spark.range(400).repartition(8).write.parquet(path)
+    numbered = with_row_id(spark.read.parquet(path))
+    before = {r["id"]: r["_rid"] for r in numbered.collect()}
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert {r["id"]: r["_rid"] for r in numbered.select("id", "_rid").where("id >= 0").collect()} == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)

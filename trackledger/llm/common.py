@@ -41,8 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows. The same files give the same numbers, so rows stay apart even where doc_id repeats or is null."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows, so that they stay apart even where doc_id repeats or is null.
+
+    Rows and numbers are written once: a number holds the file partition, and another scan may be split otherwise
+    (the size of splits follows the cores that are registered), so no later job may number the rows again.
+    """
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

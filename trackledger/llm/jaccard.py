@@ -200,15 +200,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, thres
     return cut(pairs.join(one, "ka").join(two, "kb").mapInArrow(compare, "ka binary, kb binary, a long, b long, ok boolean"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, filter_bits: int = FILTER_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, filter_bits: int = FILTER_BITS, rid: str | None = None) -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, kept) for every row: components of the links with Jaccard >= num / den.
 
-    ``rid`` is ``with_row_id``'s number, component_id the smallest doc_id of the component, and ``kept`` marks its first row by
+    ``rid`` is the number in the column of that name, or else ``with_row_id``'s, component_id the smallest doc_id of the component, and ``kept`` marks its first row by
     doc_id. A row without shingles is a component by itself.
     """
     threshold = Threshold(num, den)
     small_batches(docs.sparkSession)
-    docs = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    columns = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    docs = docs.select(*columns, F.col(rid).alias("_rid")) if rid else with_row_id(docs.select(*columns))
     sc = docs.sparkSession.sparkContext
     size = 1 << COUNT_BITS
     part_size = size // 16
