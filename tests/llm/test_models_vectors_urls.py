@@ -209,6 +209,15 @@ def test_templates_learn_from_labelled_hosts(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(df, []).collect()} == {"allow"}
 
 
+def test_templates_tell_deep_branches_apart(spark):
+    rules = [("deep.com/a/b/c/d/ads/x/", "block"), ("deep.com/a/b/c/d/docs/x/", "allow")]
+    urls = [f"http://deep.com/a/b/c/d/{kind}/{more}page{i}" for kind in ("ads", "docs") for more in ("x/", "") for i in range(30)] + ["http://deep.com/", "http://deep.com/" + "s/" * 12]
+    got = {r["page_id"]: r for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    assert got[0]["template"].startswith("/a/b/c/d/ads/x/") and got[121]["template"] == "/s" * 12
+    assert len({got[i]["template"] for i in (0, 30, 60, 90)}) == 4
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(8)
     docs, labels = toxic(spark, rnd, 120)

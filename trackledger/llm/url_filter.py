@@ -1,8 +1,7 @@
 """URL filters (4): rules, and for the rest a path-template tree per host. DataFrame functions only.
 
-A path's segments become a *leaf*: numbers, hex strings, dates and ids give way to classes, and segments beyond
-``depth`` to one mark. Counting leaves per host (all URLs, with the labels that rules give) leaves a table as large as
-the number of different leaves. On it the tree is built level by level: under one parent a segment becomes ``*`` where
+A path's segments, all of them, become a *leaf*: numbers, hex strings, dates and ids give way to classes. Counting leaves per host (all URLs, with the labels that rules give) leaves a table as large as
+the number of different leaves. On it the tree is built level by level, for as long as a leaf has a further segment: under one parent a segment becomes ``*`` where
 its parent has more than ``max_children`` different segments and the segment has less than ``min_share`` of the
 parent's URLs. Sibling branches whose share of blocked URLs does not differ from that of all siblings together (a
 two-sided z test on smoothed counts) are merged and judged as one. A branch's purity is its share of blocked among
@@ -44,8 +43,8 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def leaf_segments(path: Column, depth: int) -> Column:
-    """The path's segments, with classes for numbers and their like; those beyond ``depth`` are one mark."""
+def leaf_segments(path: Column) -> Column:
+    """The path's segments, with classes for numbers and their like."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def classed(s: Column) -> Column:
@@ -56,37 +55,39 @@ def leaf_segments(path: Column, depth: int) -> Column:
             tail,
         )
 
-    kept = F.transform(F.slice(parts, 1, depth), classed)
-    return F.when(F.size(parts) > depth, F.concat(kept, F.array(F.lit("<more>")))).otherwise(kept)
+    return F.transform(parts, classed)
 
 
-def template_tree(leaves: DataFrame, depth: int, max_children: int, min_share: float) -> DataFrame:
+def template_tree(leaves: DataFrame, max_children: int, min_share: float) -> DataFrame:
     """``leaves`` (host, leaf, segs, n, ...) with ``parent`` and ``template`` after generalising segments, level by level."""
     t = leaves.withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    for i in range(depth):
-        t = t.withColumn("seg", F.try_element_at("segs", F.lit(i + 1)))
-        seen = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
+    deepest = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
+    done = t.where(F.size("segs") == 0)
+    for i in range(deepest):
+        t = t.where(F.size("segs") > i).withColumn("seg", F.try_element_at("segs", F.lit(i + 1)))
+        seen = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
         under = seen.groupBy("host", "template").agg(F.sum("seg_n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
         named = seen.join(under, ["host", "template"]).select(
             "host", "template", "seg",
             F.when((F.col("kinds") > max_children) & (F.col("seg_n") < min_share * F.col("all_n")), "*").otherwise(F.col("seg")).alias("name"),
         )
-        t = cut(t.join(named, ["host", "template", "seg"], "left").withColumns({
-            "parent": F.when(F.col("name").isNull(), F.col("parent")).otherwise(F.col("template")),
-            "template": F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")),
+        t = cut(t.join(named, ["host", "template", "seg"]).withColumns({
+            "parent": F.col("template"),
+            "template": F.concat("template", F.lit("/"), "name"),
         }).drop("seg", "name"))  # else every level would compute the one before twice
-    return t
+        done = done.unionByName(t.where(F.size("segs") == i + 1))
+    return done
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], depth: int = 4, max_children: int = 20, min_share: float = 0.05, strength: float = 4.0, z: float = 1.96, reject: float = 0.5) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], max_children: int = 20, min_share: float = 0.05, strength: float = 4.0, z: float = 1.96, reject: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity); the rule's verdict, else the tree's."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), leaf_segments(F.col("path"), depth).alias("segs")).withColumn("leaf", F.array_join("segs", "/"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), leaf_segments(F.col("path")).alias("segs")).withColumn("leaf", F.array_join("segs", "/"))
     blocked, labelled = F.coalesce((F.col("says") == "block").cast("long"), F.lit(0)), F.col("says").isNotNull().cast("long")
     leaves = cut(rows.groupBy("host", "leaf").agg(F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.sum(blocked).alias("bad"), F.sum(labelled).alias("known")))
-    tree = cut(template_tree(leaves, depth + 1, max_children, min_share).select("host", "leaf", "parent", "template", "n", "bad", "known"))
+    tree = cut(template_tree(leaves, max_children, min_share).select("host", "leaf", "parent", "template", "n", "bad", "known"))
     branch = tree.groupBy("host", "parent", "template").agg(*(F.sum(c).alias(c) for c in ("bad", "known")))
     siblings = branch.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
     share, pooled = (F.col("bad") + 0.5) / (F.col("known") + 1), (F.col("all_bad") + 0.5) / (F.col("all_known") + 1)
