@@ -31,7 +31,6 @@ from trackledger.llm.common import cut, mix, pieces, release, small_batches, tab
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 SIGNATURE = 4
 #: Documents from which the bounds of shards are taken: so many for each shard, and so many at least.
 SHARD_SAMPLE, LEAST_SAMPLE = 64, 20_000
@@ -126,8 +125,8 @@ def shard_bounds(key: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
 class Shard:
     """A BM25 index over some documents' ids, and the windows filled from it."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.docs = docs
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = None):
+        self.docs, self.query_terms = docs, query_terms
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
         size = np.fromiter(map(len, terms), np.int64, len(docs))
         self.ends = np.cumsum(size)
@@ -144,16 +143,16 @@ class Shard:
         """Unused documents, best first; those that share none of the query's ids come last, in order."""
         a, b = self.ends[doc - 1] if doc else 0, self.ends[doc]
         weight, term = self.weight[a:b], self.term[a:b]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        if self.query_terms and len(term) > self.query_terms:
+            term = term[np.argsort(-weight, kind="stable")[: self.query_terms]]
         spans = [slice(self.ptr[t], self.ptr[t + 1]) for t in term.tolist()]
         score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), len(self.docs))
         score[~self.unused] = -1
         take = 16
         if len(score) > take:
-            best = np.argpartition(-score, take)[:take]
-            best = best[np.lexsort((best, -score[best]))]
-            yield from best[score[best] > 0].tolist()
+            # all that score as well as the last of them are put in order, so that ties go by place
+            best = np.flatnonzero(score >= max(np.partition(score, -take)[-take], np.nextafter(0, 1)))
+            yield from best[np.lexsort((best, -score[best]))].tolist()
         rest = np.flatnonzero(self.unused)
         yield from rest[np.lexsort((rest, -score[rest]))].tolist()
 
@@ -205,12 +204,13 @@ def _powers_of_two(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[in
                 out, room = [], 1 << left.bit_length() - 1 if left else 0
 
 
-def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, shard_tokens: int = 2_000_000, split_tail: bool = True) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, shard_tokens: int = 2_000_000, split_tail: bool = True, query_terms: int | None = None) -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` ids; one row for each piece of a document.
 
     Columns: doc_id, start (ids of its document before the piece), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (in the sequence). Each id lies in exactly one piece. Each shard's last sequence
-    may be short; with ``split_tail`` it is cut at powers of two.
+    may be short; with ``split_tail`` it is cut at powers of two. A seed is searched with all its ids, or with the
+    ``query_terms`` that weigh most in it.
     """
     small_batches(docs.sparkSession)
     tokens = cut(tokenize(docs, ranks, end_id))
@@ -254,7 +254,7 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
             if a == b:
                 continue
             held = docs[a:b]
-            for w in Shard(held, shared.value, mean).windows(window):
+            for w in Shard(held, shared.value, mean, query_terms).windows(window):
                 short = split_tail and sum(x[2] for x in w) < window
                 for sequence in _powers_of_two(w) if short else (w,):
                     offset = 0
