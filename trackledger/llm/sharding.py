@@ -3,8 +3,8 @@
 Rows with equal text are one group and stay in one shard. Groups (hash, bytes) are dealt to buckets by hash; every
 bucket runs the differencing on its own groups: each group is a partial partition (its bytes in one of ``shards``
 slots), and the two partial partitions of largest spread are combined, the fullest slots of one with the emptiest
-of the other, until one is left. Buckets' partitions, ``shards`` sums each, are then combined in the same way: that
-step sees buckets, not groups, so its size is ``shards`` times the number of buckets.
+of the other, until one is left. Buckets' partitions, ``shards`` sums each, are then combined in the same way,
+``FAN`` in a task, level by level until one is left; nothing but a count reaches the driver.
 
 Defined results: null text is a group with empty text and has 8 bytes; equal spreads go by order of the group's
 hash; repeated rows are rows of one group; an empty table gives no rows; other columns are ignored. No group is
@@ -23,6 +23,8 @@ from trackledger.llm.common import cut, partitions, table
 
 SHARDS = 24
 BUCKET_GROUPS = 50_000
+#: Partitions that one task combines.
+FAN = 1_000
 
 
 def difference(sums: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def difference(sums: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return out, nodes[-1] if made else sums[0]
 
 
-def assign(groups: DataFrame, shards: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+def assign(groups: DataFrame, shards: int, n_buckets: int, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """``groups`` (g, bytes) -> (g, bucket, slot) and (bucket, slot, shard)."""
 
     def bucket(key: tuple, t: pa.Table) -> pa.Table:
@@ -75,23 +77,38 @@ def assign(groups: DataFrame, shards: int, n_buckets: int) -> tuple[DataFrame, D
             "bucket": pa.array(np.full(len(size), key[0].as_py()), pa.int32()), "g": t.column("g"), "slot": pa.array(slot[:, 0], pa.int32()), "bytes": t.column("bytes"),
         })
 
-    placed = cut(groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int")).groupBy("bucket").applyInArrow(bucket, "bucket int, g string, slot int, bytes long"))
-    sums = placed.groupBy("bucket", "slot").agg(F.sum("bytes").alias("bytes")).collect()  # shards x buckets numbers
-    by = {b: i for i, b in enumerate(sorted({r["bucket"] for r in sums}))}
-    m = np.zeros((len(by), shards), np.int64)
-    for r in sums:
-        m[by[r["bucket"]], r["slot"]] = r["bytes"]
-    shard, _ = difference(m, shards)
-    rows = [(b, s, int(shard[i, s])) for b, i in by.items() for s in range(shards)]
-    return placed.select("g", "bucket", "slot"), groups.sparkSession.createDataFrame(rows, "bucket int, slot int, shard int")
-
+    def combine(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bucket", "ascending"), ("slot", "ascending")])
+        name, at = np.unique(t.column("bucket").to_numpy(), return_inverse=True)
+        slot = t.column("slot").to_numpy()
+        sums = np.zeros((len(name), shards), np.int64)
+        sums[at, slot] = t.column("bytes").to_numpy()
+        shard, total = difference(sums, shards)
+        node, size = key[0].as_py(), len(name) * shards
+        return pa.table({
+            "node": pa.array(np.full(size, node), pa.int32()), "bucket": pa.array(np.repeat(name, shards), pa.int32()), "slot": pa.array(np.tile(np.arange(shards), len(name)), pa.int32()),
+            "up": pa.array(shard.ravel(), pa.int32()), "bytes": pa.array(total[shard.ravel()], pa.int64()),
+        })
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
+    placed = cut(groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int")).groupBy("bucket").applyInArrow(bucket, "bucket int, g string, slot int, bytes long"))
+    sums = placed.groupBy("bucket", "slot").agg(F.sum("bytes").alias("bytes"))
+    shard_of, n = placed.select("bucket", "slot").distinct().withColumns({"node": F.col("bucket"), "shard": F.col("slot")}), n_buckets
+    while n > 1:
+        # some partitions a task, until one is left; a slot of a partition becomes a slot of the combined one
+        n = -(-n // fan)
+        made = cut(sums.withColumn("node", F.floor(F.col("bucket") / fan).cast("int")).groupBy("node").applyInArrow(combine, "node int, bucket int, slot int, up int, bytes long"))
+        step = made.select(F.col("bucket").alias("node"), F.col("slot").alias("shard"), F.col("node").alias("above"), "up")
+        shard_of = cut(shard_of.join(step, ["node", "shard"]).select("bucket", "slot", F.col("above").alias("node"), F.col("up").alias("shard")))
+        sums = made.select(F.col("node").alias("bucket"), F.col("up").alias("slot"), "bytes").distinct()
+    return placed.select("g", "bucket", "slot"), shard_of.select("bucket", "slot", "shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS, fan: int = FAN) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): groups of equal texts in shards of nearly equal bytes, slots gapless from 0."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("part")))
     groups = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
-    placed, shard_of = assign(groups, shards, max(1, -(-groups.count() // bucket_groups)))
+    placed, shard_of = assign(groups, shards, max(1, -(-groups.count() // bucket_groups)), fan)
     n = partitions(rows)
     done = cut(rows.join(placed, "g").join(shard_of, ["bucket", "slot"]).select("doc_id", "size", "text_crc32", "shard", (F.col("part") % n).alias("part")))
     # slots: rows before a part of the shard, then the row's place in that part
