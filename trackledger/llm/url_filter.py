@@ -1,7 +1,7 @@
 """URL filters (4): rules, and for the rest a path-template tree per host. DataFrame functions only.
 
 A path's segments, all of them, become a *leaf*: numbers, hex strings, dates and ids give way to classes. Counting leaves per host (all URLs, with the labels that rules give) leaves a table as large as
-the number of different leaves. On it the tree is built level by level, for as long as a leaf has a further segment: under one parent a segment becomes ``*`` where
+the number of different leaves. Classes and wildcards begin with a slash, which no segment of a URL can hold. On it the tree is built level by level, for as long as a leaf has a further segment: under one parent a segment becomes ``/*`` where
 its parent has more than ``max_children`` different segments and the segment has less than ``min_share`` of the
 parent's URLs. Sibling branches whose share of blocked URLs does not differ from that of all siblings together (a
 two-sided z test on smoothed counts) are merged and judged as one. A branch's purity is its share of blocked among
@@ -51,7 +51,7 @@ def leaf_segments(path: Column) -> Column:
         tail = F.lower(F.regexp_extract(s, r"(\.[A-Za-z]{2,5})$", 1))
         body = F.regexp_replace(s, r"\.[A-Za-z]{2,5}$", "")
         return F.concat(
-            F.when(body.rlike(r"^\d+$"), "<n>").when(body.rlike(r"^\d{4}-\d{2}-\d{2}$"), "<date>").when(body.rlike(r"^(?=.*\d)[0-9a-fA-F-]{8,}$"), "<hex>").when(body.rlike(r"\d{4,}"), "<id>").otherwise(body),
+            F.when(body.rlike(r"^\d+$"), "/n").when(body.rlike(r"^\d{4}-\d{2}-\d{2}$"), "/date").when(body.rlike(r"^(?=.*\d)[0-9a-fA-F-]{8,}$"), "/hex").when(body.rlike(r"\d{4,}"), "/id").otherwise(body),
             tail,
         )
 
@@ -69,7 +69,7 @@ def template_tree(leaves: DataFrame, max_children: int, min_share: float) -> Dat
         under = seen.groupBy("host", "template").agg(F.sum("seg_n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
         named = seen.join(under, ["host", "template"]).select(
             "host", "template", "seg",
-            F.when((F.col("kinds") > max_children) & (F.col("seg_n") < min_share * F.col("all_n")), "*").otherwise(F.col("seg")).alias("name"),
+            F.when((F.col("kinds") > max_children) & (F.col("seg_n") < min_share * F.col("all_n")), "/*").otherwise(F.col("seg")).alias("name"),
         )
         t = cut(t.join(named, ["host", "template", "seg"]).withColumns({
             "parent": F.col("template"),
@@ -93,7 +93,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], max_children: i
     share, pooled = (F.col("bad") + 0.5) / (F.col("known") + 1), (F.col("all_bad") + 0.5) / (F.col("all_known") + 1)
     apart = F.abs(share - pooled) / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("known") + 1)))
     # branches without labels are not evidence of likeness: they stay by themselves
-    judged = branch.join(siblings, ["host", "parent"]).withColumn("merged", F.when(F.col("known") == 0, F.col("template")).when(apart < z, F.concat("parent", F.lit("/~"))).otherwise(F.col("template")))
+    judged = branch.join(siblings, ["host", "parent"]).withColumn("merged", F.when(F.col("known") == 0, F.col("template")).when(apart < z, F.concat("parent", F.lit("//~"))).otherwise(F.col("template")))
     group = judged.groupBy("host", "merged").agg(F.sum("bad").alias("g_bad"), F.sum("known").alias("g_known"))
     overall = branch.agg(((F.sum("bad") + 0.5) / (F.sum("known") + 1)).alias("base"), F.sum("known").alias("any_known"))
     alike = branch.groupBy("template").agg(F.sum("bad").alias("t_bad"), F.sum("known").alias("t_known"))
