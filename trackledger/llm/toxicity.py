@@ -8,7 +8,8 @@ neutral word. Terms thus share one weight, near that of the neutral words, and n
 All whole texts are then scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no features and get the base score; a null label is no label; a document
-with several labels has their mean, 0.5 or more counting as 1; repeated rows are scored alike; without labels of both
+with several labels has their mean, 0.5 or more counting as 1; of rows with one doc_id the least text is learned from;
+repeated rows are scored alike; without labels of both
 kinds every score is the share of label 1 (0 without labels); an empty table gives no rows; other columns are ignored.
 """
 
@@ -156,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
                 held.append([hashes[int(x)] for x in np.unique(np.stack([sentence[mine].astype(U64), own[mine]]), axis=1)[1]] if mine.any() else [])
             yield pa.record_batch({"y": part.column("y"), "f": pa.array(lists, pa.binary()), "terms": pa.array(held, pa.list_(pa.string()))})
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
-    got = sample.mapInArrow(read, "y int, f binary, terms array<string>").limit(2 * sample_rows).toArrow()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of rows with one doc_id the least text counts: no more rows than were chosen
+    sample = sample.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
+    got = sample.mapInArrow(read, "y int, f binary, terms array<string>").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     found = [np.frombuffer(x.as_buffer(), U64).copy() for x in got.column("f")]
     mentions: dict[str, int] = {}
