@@ -6,8 +6,10 @@ cells, so one of the two lies within half the threshold's angle of it: a point v
 home is that near, and every link is found in the home cell of one of its ends, where the other lives or visits; recall
 is 1 by construction. A point carries the list of its visits: a link found in both homes counts for the home's point in
 each of them, one found in a single home counts for both ends there.
-A cell is cut into blocks of ``BLOCK`` points, and each pair of blocks is one task: it returns a link count per point
-and a spanning forest of the links, never the links themselves.
+A cell is one task, to which each point travels once; only where it has more than ``HOME`` points at home or ``ALL`` in all is
+it cut into blocks, and each pair of blocks is a task. Inside, products are taken ``STEP`` by ``STEP``. A task returns a link count
+per point and a spanning forest of the links, never the links themselves. Points of every vector length with enough of them have
+cells of their own, the others one cell for each length.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing and is kept;
 vectors of different length link never; repeated rows are linked copies; a null vec_id links with nothing; an empty
@@ -30,7 +32,9 @@ from trackledger.llm.components import components, forest
 SAMPLE_POINTS = 20_000
 CELL_POINTS = 1_500
 MOST_CELLS = 1_024
-BLOCK = 1_024
+HOME, ALL, STEP = 8_192, 65_536, 1_024
+#: Vector lengths that get centroids, the commonest first.
+MOST_LENGTHS = 8
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -60,101 +64,101 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS, home: int = HOME, all_points: int = ALL, step: int = STEP) -> DataFrame:
     """``vectors`` (vec_id, embedding) -> (vec_id, n_links, component_id, kept), cosines in double precision."""
     spark = vectors.sparkSession
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
-    points = cut(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("p"), F.count(F.lit(1)).alias("copies")))
-    sizes = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not sizes:
+    # 128 bits name a vector from here on
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), F.reverse("v"))})
+    points = cut(rows.where("good").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("p"), F.count(F.lit(1)).alias("copies")))
+    lengths = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS).collect()
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = sizes[0]["dim"], sizes[0]["count"]
-    sample = points.where(F.size("v") == dim).orderBy(F.xxhash64("p")).limit(sample_points).select("v").toArrow().column(0).combine_chunks()
-    x = _unit(sample)
-    centroids = spherical_kmeans(x, max(1, min(MOST_CELLS, n // cell_points, len(x))))
+    centroids: dict[int, np.ndarray] = {}
+    for r in lengths:
+        if not centroids or r["count"] > cell_points:
+            x = _unit(points.where(F.size("v") == r["dim"]).orderBy(F.xxhash64("p")).limit(sample_points).select("v").toArrow().column(0).combine_chunks())
+            centroids[r["dim"]] = spherical_kmeans(x, max(1, min(MOST_CELLS, r["count"] // cell_points, len(x))))
     shared = spark.sparkContext.broadcast(centroids)
     reach = np.sqrt(max(0.0, (1 - cosine) / 2)) + 1e-9  # sine of half the angle
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as exact as they came
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sub = _unit(batch.column("v"))
-            d = sub @ c.T
-            home = d.argmax(1)
-            gap = d[np.arange(len(d)), home][:, None] - d
-            apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))[home]
-            visit = gap <= reach * apart + 1e-9
-            visit[np.arange(len(d)), home] = True
-            i, cell = np.nonzero(visit)
-            lists = [x.astype("<i2").tobytes() for x in np.split(cell, np.cumsum(visit.sum(1))[:-1])]
-            values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(sub), -1).astype(kind)
-            yield pa.record_batch({
-                "cell": pa.array(cell, pa.int32()), "lives": pa.array(home[i], pa.int32()), "visits": pa.array([lists[k] if lived else None for k, lived in zip(i.tolist(), (cell == home[i]).tolist(), strict=True)], pa.binary()), "p": batch.column("p").take(pa.array(i)), "copies": batch.column("copies").take(pa.array(i)),
-                "u": pa.array([values[k].tobytes() for k in i.tolist()], pa.binary()),
-            })
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                u = batch.column("v").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
-                yield pa.record_batch({"cell": pa.array([-len(u)], pa.int32()), "lives": pa.array([-len(u)], pa.int32()), "visits": pa.array([b""], pa.binary()), "p": batch.column("p").slice(k, 1), "copies": batch.column("copies").slice(k, 1), "u": pa.array([u.astype(kind).tobytes()], pa.binary())})
-
-    schema = "cell int, lives int, visits binary, p long, copies long, u binary"
-    placed = points.where(F.size("v") == dim).mapInArrow(place, schema).union(points.where(F.size("v") != dim).mapInArrow(alone, schema))
-    placed = cut(placed)
-    counts = placed.groupBy("cell").agg(F.count_if(F.col("cell") == F.col("lives")).alias("n_home"), F.count(F.lit(1)).alias("n_all"))
-    counts = counts.select("cell", F.ceil(F.col("n_home") / block).cast("int").alias("bh"), F.ceil(F.col("n_all") / block).cast("int").alias("ba"))
-    blocked = placed.join(F.broadcast(counts), "cell")  # at most MOST_CELLS rows and one for each odd length
-    part = F.xxhash64("p")
-    own = blocked.where("cell = lives").select("cell", F.pmod(part, F.col("bh")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(True).alias("home"), "lives", "visits", "p", "copies", "u")
-    other = blocked.select("cell", F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("i"), F.pmod(part, F.col("ba")).cast("int").alias("j"), F.lit(False).alias("home"), "lives", F.lit(None).cast("binary").alias("visits"), "p", "copies", "u")
+            size = pc.list_value_length(batch.column("v"))
+            for dim in pc.unique(size).to_pylist():
+                some = batch.filter(pc.equal(size, dim))
+                sub = _unit(some.column("v"))
+                c = shared.value.get(dim, np.zeros((1, dim)))
+                d = sub @ c.T
+                own = d.argmax(1)
+                gap = d[np.arange(len(d)), own][:, None] - d
+                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))[own]
+                visit = gap <= reach * apart + 1e-9
+                visit[np.arange(len(d)), own] = True
+                i, cell = np.nonzero(visit)
+                lists = [x.astype("<i2").tobytes() for x in np.split(cell, np.cumsum(visit.sum(1))[:-1])]
+                values = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(sub), -1).astype(kind)
+                yield pa.record_batch({
+                    "dim": pa.array(np.full(len(i), dim), pa.int32()), "cell": pa.array(cell, pa.int32()), "lives": pa.array(own[i], pa.int32()),
+                    "visits": pa.array([lists[k] if lived else None for k, lived in zip(i.tolist(), (cell == own[i]).tolist(), strict=True)], pa.binary()),
+                    "p": some.column("p").take(pa.array(i)), "copies": some.column("copies").take(pa.array(i)), "u": pa.array([values[k].tobytes() for k in i.tolist()], pa.binary()),
+                })
+
+    placed = cut(points.select("v", "p", "copies").mapInArrow(place, "dim int, cell int, lives int, visits binary, p long, copies long, u binary"))
+    counts = placed.groupBy("dim", "cell").agg(F.count_if(F.col("cell") == F.col("lives")).alias("n_home"), F.count(F.lit(1)).alias("n_all"))
+    counts = counts.select("dim", "cell", F.greatest(F.ceil(F.col("n_home") / home), F.lit(1)).cast("int").alias("bh"), F.ceil(F.col("n_all") / all_points).cast("int").alias("ba"))
+    blocked = placed.join(counts, ["dim", "cell"]).withColumn("part", F.xxhash64("p"))
+    inside = ["dim", "cell", "lives", "visits", "p", "copies", "u"]
+    lives = F.col("cell") == F.col("lives")
+    # a cell of one block has each point once, as both sides of its products
+    whole = blocked.where("bh = 1 and ba = 1").select(*inside, F.lit(0).alias("i"), F.lit(0).alias("j"), lives.alias("home"), F.lit(True).alias("other"))
+    large = blocked.where("bh > 1 or ba > 1")
+    own = large.where(lives).select(*inside, F.pmod("part", "bh").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(True).alias("home"), F.lit(False).alias("other"))
+    other = large.select(*inside, F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("i"), F.pmod("part", "ba").cast("int").alias("j"), F.lit(False).alias("home"), F.lit(True).alias("other"))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        home = t.column("home").to_numpy()
-        p, copies = t.column("p").to_numpy(), t.column("copies").to_numpy()
+        p, copies, lives, is_home, is_other = (t.column(c).to_numpy() for c in ("p", "copies", "lives", "home", "other"))
         u = _unit_rows(np.frombuffer(b"".join(t.column("u").to_pylist()), kind).reshape(len(p), -1).astype(np.float64))
-        links, back = np.zeros(int(home.sum()), np.int64), np.zeros(int((~home).sum()), np.int64)
-        pa_, pb = p[home], p[~home]
-        a, b = [], []
-        uh, uo, ch, co = u[home], u[~home], copies[home], copies[~home]
-        lives = t.column("lives").to_numpy()[~home]
-        guest = np.flatnonzero(lives != key[0].as_py())
-        met = np.zeros((len(uh), MOST_CELLS), bool)
-        if len(guest):
-            seen = [np.frombuffer(x, "<i2") for x in pc.filter(t.column("visits"), t.column("home")).to_pylist()]
-            met[np.repeat(np.arange(len(uh)), [len(x) for x in seen]), np.concatenate([*seen, np.zeros(0, "<i2")])] = True
-        for s in range(0, len(uh), block):
-            near = uh[s : s + block] @ uo.T >= cosine
-            near &= pa_[s : s + block, None] != pb[None, :]
-            links[s : s + block] = near @ co
-            # guests whose home the other end does not visit meet it only here
-            back[guest] += ch[s : s + block] @ (near[:, guest] & ~met[s : s + block][:, lives[guest]])
-            i, j = np.nonzero(near)
-            a.append(pa_[s + i])
-            b.append(pb[j])
-        ea, eb = np.concatenate([*a, pa_[:0]]), np.concatenate([*b, pb[:0]])
-        if len(ea):
-            nodes, at = np.unique(np.concatenate([ea, eb]), return_inverse=True)
-            low = nodes[forest(at[: len(ea)], at[len(ea) :])]
-            keep = low != nodes
-            ea, eb = nodes[keep], low[keep]
-        ids, n = np.concatenate([pa_, pb]), np.concatenate([links, back])
-        ids, n = ids[n > 0], n[n > 0]
+        h, o, cell = np.flatnonzero(is_home), np.flatnonzero(is_other), key[1].as_py()
+        # the other cells that points at home visit
+        seen = [np.frombuffer(x, "<i2") for x in t.column("visits").take(pa.array(h)).to_pylist()]
+        met = np.zeros((len(h), MOST_CELLS), bool)
+        met[np.repeat(np.arange(len(h)), [len(x) for x in seen]), np.concatenate([*seen, np.zeros(0, "<i2")])] = True
+        links, edges = np.zeros(len(p), np.int64), []
+        for x in (slice(s, s + step) for s in range(0, len(h), step)):
+            for y in (o[s : s + step] for s in range(0, len(o), step)):
+                i, j = np.nonzero(u[h[x]] @ u[y].T >= cosine)
+                keep = p[h[x][i]] != p[y[j]]
+                i, j = i[keep], j[keep]
+                a, b = h[x][i], y[j]
+                np.add.at(links, a, copies[b])
+                # a guest whose home the other end does not visit meets it only here
+                only = (lives[b] != cell) & ~met[x][i, lives[b]]
+                np.add.at(links, b[only], copies[a[only]])
+                if len(a):
+                    nodes, at = np.unique(np.concatenate([p[a], p[b]]), return_inverse=True)
+                    low = nodes[forest(at[: len(a)], at[len(a) :])]
+                    edges.append(np.stack([nodes, low], 1)[low != nodes])
+        e = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+        if len(e):
+            nodes, at = np.unique(e, return_inverse=True)
+            at = at.reshape(e.shape)
+            low = nodes[forest(at[:, 0], at[:, 1])]
+            e = np.stack([nodes, low], 1)[low != nodes]
+        some = np.flatnonzero(links)
         return pa.table({
-            "a": pa.array(np.concatenate([ids, ea]), pa.int64()), "b": pa.array(np.concatenate([ids, eb]), pa.int64()),
-            "n": pa.array(np.concatenate([n, np.zeros(len(ea), np.int64)]), pa.int64()),
+            "a": pa.array(np.concatenate([p[some], e[:, 0]]), pa.int64()), "b": pa.array(np.concatenate([p[some], e[:, 1]]), pa.int64()),
+            "n": pa.array(np.concatenate([links[some], np.zeros(len(e), np.int64)]), pa.int64()),
         })
 
-    found = cut(own.union(other).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, n long"))
+    found = cut(whole.union(own).union(other).groupBy("dim", "cell", "i", "j").applyInArrow(compare, "a long, b long, n long"))
     links = found.where("a = b").groupBy(F.col("a").alias("p")).agg(F.sum("n").alias("n"))
     roots = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("p"), "root")
-    named = points.join(links, "p", "left").join(roots, "p", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "p").alias("component_id"), F.lit(True).alias("good"))
-    return rows.join(named, ["v", "good"], "left").select(
+    named = points.join(links, "p", "left").join(roots, "p", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "p").alias("component_id"), F.lit(True).alias("good"))
+    return rows.drop("v").join(named, ["h1", "h2", "good"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept")
     )
 
