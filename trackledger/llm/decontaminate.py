@@ -1,30 +1,36 @@
 """Benchmark decontamination (7): an FM-index per training shard, searched backwards for the benchmark's windows.
 
 A window is ``window`` consecutive words of a benchmark item (all of a shorter item's). Words are numbered by the
-benchmark's own vocabulary; any other document word is 0 and can't be in a window. A shard is a few megabytes of
-documents: of it the runs of numbered words long enough for a window go into the index (suffix order by doubling,
+benchmark's own vocabulary; any other document word is 0 and can't be in a window. A shard is about a megabyte of
+documents (or one longer document): of it the runs of numbered words long enough for a window go into the index (suffix order by doubling,
 Burrows-Wheeler transform in a wavelet tree with rank sums, every eighth suffix position kept). All windows are
 searched backwards at once; ranges that stay open are located by walking to a kept position. Hit words are merged to
-spans. Documents are read once and never shuffled; the benchmark goes to the tasks in blocks of bounded size.
+spans. Documents are never shuffled for a benchmark of one block; each block of a larger one is searched in a pass of its own.
 
-Defined results: null or empty texts have no words; an item without words is never found; repeated rows are separate
-documents, repeated items are found together; an empty benchmark leaves all texts as they are. Columns named like a
+Defined results: null or empty texts have no words; an item without words is never found; the words of an item without
+item_id are hit, but it is not named or counted; repeated rows are separate documents, repeated items are found together;
+an empty benchmark leaves all texts as they are. Columns named like a
 result (n_words, n_hit, item_ids, spans) are replaced; other columns stay.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import ALNUM, pieces, small_batches, span_hashes, table, text_buffer, words
+from trackledger.llm.common import ALNUM, cut, pieces, small_batches, span_hashes, table, text_buffer, with_row_id, words
 
 SAMPLE = 8
-BLOCK_BYTES = 64 << 20
+ROW = "__row"
+BLOCK_BYTES = 8 << 20
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -127,23 +133,31 @@ class FMIndex:
 class Windows:
     """The distinct windows of a block of items, over the block's own vocabulary."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        data, offs = text_buffer(pa.array([t for _, t in items], pa.string()))
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int):
+        data, offs = text_buffer(texts)
         start, end, item = words(data, offs, ALNUM)
         self.vocabulary, number = np.unique(span_hashes(data, start, end), return_inverse=True)
-        bounds = np.searchsorted(item, np.arange(len(items) + 1))
-        found: dict[tuple[int, ...], set[int]] = {}
-        for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            own = (number[s:e] + 2).tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + window]), set()).add(i)
-        self.ids = [i for i, _ in items]
-        self.length = np.array([len(w) for w in found], np.int64)
-        self.phrases = np.zeros((len(found), window), np.int64)
-        for r, w in enumerate(found):
-            self.phrases[r, window - len(w) :] = w
-        self.owners = [sorted(x) for x in found.values()]
-        self.least = int(self.length.min()) if len(found) else 0
+        size = np.bincount(item, minlength=len(ids))
+        first = np.cumsum(size) - size
+        # a window from every word that has enough words after it, and one from the first word of a shorter item
+        left = np.repeat(first + size, size) - np.arange(len(item))
+        at = np.flatnonzero((left >= window) | (np.arange(len(item)) == first[item]))
+        length = np.minimum(left[at], window)
+        phrases = np.zeros((len(at), window), np.int32)
+        for j in range(window):  # right-aligned
+            own = np.flatnonzero(length > j)
+            phrases[own, window - 1 - j] = number[at[own] + length[own] - 1 - j] + 2
+        self.phrases, which = np.unique(phrases, axis=0, return_inverse=True)
+        self.length = (self.phrases > 0).sum(1)
+        # the items of each window
+        pair = np.unique(np.stack([which.ravel(), item[at]], 1), axis=0)
+        self.owner, self.bounds = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.phrases) + 1))
+        self.ids = ids
+        self.least = int(self.length.min()) if len(self.length) else 0
+
+    def owners(self, which: int) -> list[str]:
+        """Ids of the items that have a window; items without an id are not named."""
+        return [self.ids[i] for i in self.owner[self.bounds[which] : self.bounds[which + 1]] if self.ids[i] is not None]
 
     def hits(self, number: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of every occurrence among the words of a shard."""
@@ -175,53 +189,109 @@ class Windows:
         return origin[index.locate(rank)], which
 
 
+_held: dict[tuple[str, int], Windows] = {}
+
+
+def _windows(block: Broadcast, window: int) -> Windows:
+    """The windows of a broadcast block; a worker keeps those of one block for its next tasks."""
+    name, ids, texts = block.value
+    if (name, window) not in _held:
+        _held.clear()
+        _held[name, window] = Windows(ids, pa.array(texts, pa.string()), window)
+    return _held[name, window]
+
+
+def _occurrences(w: Windows, data: np.ndarray, offs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The words (start, end, document) of a piece, and first word and window of every occurrence in it."""
+    found = words(data, offs, ALNUM)
+    hashes = span_hashes(data, found[0], found[1])
+    if not len(w.vocabulary) or not len(hashes):
+        return found, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(w.vocabulary, hashes), len(w.vocabulary) - 1)
+    return found, *w.hits(np.where(w.vocabulary[at] == hashes, at + 1, 0), found[2])
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in any run of words from ``first`` to before ``last``."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, last, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
+def _named(w: Windows, doc: np.ndarray, which: np.ndarray, n_docs: int) -> list[list[str]]:
+    items: list[set[str]] = [set() for _ in range(n_docs)]
+    for d, k in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+        items[d].update(w.owners(k))
+    return [sorted(x) for x in items]
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_words, n_hit, item_ids (array of strings, sorted) and spans (of bytes to remove, merged).
 
-    ``benchmark`` has item_id and text. It is read in blocks of at most ``block_bytes`` (at least one item); with more than one
-    block the documents go through one pass for each, side by side in one task. With ``remove`` the spans are cut out of the texts.
+    ``benchmark`` has item_id and text. It is dealt to blocks of about ``block_bytes`` by a hash (at least one item each): a block at a
+    time goes through the driver to the tasks. With one block the documents go through one pass; with more, each block's pass leaves a
+    table of hits, and these are merged by document. With ``remove`` the spans are cut out of the texts.
     """
-    small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "item_ids", "spans")]
-    sc = docs.sparkSession.sparkContext
-    blocks, block, size = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        if block and size + len(r["text"] or "") > block_bytes:
-            blocks.append(sc.broadcast(block))
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += 4 * len(r["text"] or "")
-    blocks.append(sc.broadcast(block))
+    spark = docs.sparkSession
+    small_batches(spark)
+    others = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "item_ids", "spans", ROW)]
     docs = docs.select(*others, F.col("text").cast("string").alias("text"))
+    bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))  # one row
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Windows(blocks[0].value, window) if len(blocks) == 1 else None
+    def block(b: int) -> Broadcast:
+        rows = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()  # about block_bytes
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [r["id"] for r in rows], [r["text"] for r in rows]))
+
+    if blocks == 1:
+        only = block(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = _windows(only, window)
+            for part, data, offs in pieces(batches):
+                (start, end, doc), first, which = _occurrences(w, data, offs)
+                found = _found(part, start, end, doc, _covered(first, first + w.length[which], len(start)), _named(w, doc[first], which, part.num_rows), offs)
+                yield _without_spans(found) if remove else found
+
+        return docs.mapInArrow(run, schema)
+
+    docs = with_row_id(docs, ROW)
+    hits = []
+    for b in range(blocks):
+        one = block(b)
+
+        def search(batches: Iterator[pa.RecordBatch], one: Broadcast = one) -> Iterator[pa.RecordBatch]:
+            w = _windows(one, window)
+            for part, data, offs in pieces(batches):
+                (start, _, doc), first, which = _occurrences(w, data, offs)
+                items = _named(w, doc[first], which, part.num_rows)
+                hit = np.flatnonzero(_covered(first, first + w.length[which], len(start)))
+                n = np.bincount(doc[hit], minlength=part.num_rows)
+                some = np.flatnonzero(n)
+                before = np.searchsorted(doc, np.arange(part.num_rows))
+                at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[some])).astype(np.int32)), pa.array(hit - before[doc[hit]], pa.int64()))
+                yield pa.record_batch({"__rid": part.column(ROW).take(pa.array(some)), "hit": at, "items": pa.array([items[i] for i in some.tolist()], pa.list_(pa.string()))})
+
+        hits.append(cut(docs.select(ROW, "text").mapInArrow(search, "__rid long, hit array<long>, items array<string>")))
+        one.destroy()
+    merged = functools.reduce(DataFrame.union, hits).groupBy("__rid").agg(F.flatten(F.collect_list("hit")).alias("__hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in pieces(batches):
             start, end, doc = words(data, offs, ALNUM)
-            hashes = span_hashes(data, start, end)
-            hit = np.zeros(len(start), bool)
-            items: list[set[str]] = [set() for _ in range(part.num_rows)]
-            for b in blocks:
-                w = held or Windows(b.value, window)
-                if not len(w.vocabulary):
-                    continue
-                at = np.minimum(np.searchsorted(w.vocabulary, hashes), len(w.vocabulary) - 1)
-                number = np.where(w.vocabulary[at] == hashes, at + 1, 0) if len(hashes) else at
-                first, which = w.hits(number, doc)
-                cover = np.zeros(len(start) + 1, np.int64)
-                np.add.at(cover, first, 1)
-                np.add.at(cover, first + w.length[which], -1)
-                hit |= np.cumsum(cover)[:-1] > 0
-                for d, k in np.unique(np.stack([doc[first], which], 1), axis=0).tolist():
-                    items[d].update(str(w.ids[i]) for i in w.owners[k])
-            found = _found(part, start, end, doc, hit, items, offs)
+            listed, hit = part.column("__hit"), np.zeros(len(start), bool)
+            size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit[np.repeat(np.searchsorted(doc, np.arange(part.num_rows)), size) + listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
+            found = _found(part.select([*others, "text"]), start, end, doc, hit, [x or [] for x in part.column("__items").to_pylist()], offs)
             yield _without_spans(found) if remove else found
 
-    return docs.mapInArrow(run, schema)
+    joined = docs.join(merged.hint("shuffle_hash"), F.col(ROW) == F.col("__rid"), "left").select(*others, "text", "__hit", "__items")
+    return joined.mapInArrow(merge, schema)
 
 
-def _found(part: pa.RecordBatch, start: np.ndarray, end: np.ndarray, doc: np.ndarray, hit: np.ndarray, items: list[set[str]], offs: np.ndarray) -> pa.RecordBatch:
+def _found(part: pa.RecordBatch, start: np.ndarray, end: np.ndarray, doc: np.ndarray, hit: np.ndarray, items: list[list[str]], offs: np.ndarray) -> pa.RecordBatch:
     n = part.num_rows
     first = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (doc[1:] != doc[:-1]))[: len(hit)])
     last = np.flatnonzero(hit & np.append(~hit[1:] | (doc[1:] != doc[:-1]), True)[: len(hit)])
@@ -231,7 +301,7 @@ def _found(part: pa.RecordBatch, start: np.ndarray, end: np.ndarray, doc: np.nda
     return pa.record_batch({name: part.column(name) for name in part.schema.names} | {
         "n_words": pa.array(np.bincount(doc, minlength=n), pa.int64()),
         "n_hit": pa.array(np.bincount(doc[hit], minlength=n), pa.int64()),
-        "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        "item_ids": pa.array(items, pa.list_(pa.string())),
         "spans": spans,
     })
 
@@ -273,7 +343,7 @@ WITH dw AS (
 ), marked AS (
   SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hits) GROUP BY rid
 ), named AS (
-  SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
+  SELECT rid, count(item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
