@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
+import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +29,61 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- Spark side
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only where all is one process (tests) may the session name none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if (made := _recorded.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``cut`` wrote, and forget them."""
+    sc = spark.sparkContext
+    while paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are cut inside."""
+    made: list[str] = []
+    token = _recorded.set(made)
+    try:
+        yield made
+    finally:
+        _recorded.reset(token)
+
+
+def finished(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work``, written; the tables that it cut on the way are deleted."""
+    with recorded() as made:
+        try:
+            result = work()
+            with recorded() as last:
+                result = cut(result)
+        finally:
+            drop_tables(spark, made)
+    if (outer := _recorded.get()) is not None:
+        outer.extend(last)
+    return result
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows, so that they stay apart even where doc_id repeats or is null.
 
@@ -49,6 +93,28 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def with_chunks(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``with_row_id`` (_rid), and for runs of rows with about ``size`` bytes of ``text`` the number of their first row (_chunk)."""
+    numbered = df.withColumn("_rid", F.monotonically_increasing_id())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, full = -1, 0
+        for batch in batches:
+            offs, rid = text_buffer(batch.column("text"))[1], batch.column("_rid").to_numpy()
+            chunk, at, n = np.empty(len(rid), np.int64), 0, len(rid)
+            while at < n:
+                if first < 0 or full >= size:
+                    first, full = int(rid[at]), 0
+                end = min(n, max(at + 1, int(np.searchsorted(offs, offs[at] + size - full, "right"))))
+                chunk[at:end] = first
+                full += int(offs[end] - offs[at])
+                at = end
+            yield batch.append_column("_chunk", pa.array(chunk))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in numbered.dtypes) + ", _chunk long"
+    return cut(numbered.mapInArrow(deal, schema))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,22 +171,6 @@ def binary_column(parts: list[bytes]) -> pa.Array:
 
 
 # ---------------------------------------------------------------- hashing
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, PIECE + 4096)
-        a = np.full(size, base, U64)
-        a[0] = 1
-        _powers[base] = have = np.multiply.accumulate(a)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -128,15 +178,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def byte_values(lower: bool, seed: int = 7) -> np.ndarray:
-    """A random 64-bit value for each byte; with ``lower``, A-Z have the values of a-z."""
-    values = mix(np.arange(256, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
-LOWER_VALUES = byte_values(True)
+#: What every byte becomes where A-Z count as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: Of eight bytes the first 0 to 7.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(8)], U64)
+#: Spans beyond so many bytes are hashed one by one.
+LONG_SPAN = 4096
 #: Bytes of words: all but white space; and ASCII digits, letters and all non-ASCII bytes.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -164,11 +212,32 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span; by default A-Z count as a-z."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 7) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span; with ``lower``, A-Z count as a-z.
+
+    Eight bytes at a time are mixed into the state of all spans that go on; the mixing isn't linear, so no pattern of bytes
+    collides by its form. Other seeds give independent hashes.
+    """
+    size = ends - starts
+    state = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    if not len(data) or not len(starts):
+        return state
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = FOLD[data] if lower else data
+    word = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left, h = starts[live], size[live], state[live]
+    while len(live):
+        w = word[at]
+        short = np.flatnonzero(left < 8)
+        w[short] &= _FIRST[left[short]]
+        h = mix(h ^ w * U64(0xD6E8FEB86659FD93))
+        more = left > 8
+        state[live[~more]] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return state
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> list[np.ndarray]:

@@ -3,13 +3,12 @@
 Pass 1 fills, in every task, a filter of hashes seen and a filter of hashes seen again; the tasks' filters are cut into
 slices and merged by slice (twice = either's twice, or both's once). Pass 2 looks every line up in the merged twice
 filter: only suspected repeats, as (128-bit key, row), are shuffled, counted exactly and given a first occurrence.
-Pass 3 brings each document the keys that it loses. The filters have a fixed size, ``filter_bits``; where they fill
-up, more lines count as suspects, and the result stays the same.
+Pass 3 brings each document the keys that it loses. The filters' size follows the bytes of text, up to 64 MB; beyond that
+(some 4 GB of text) they fill up, and more lines count as suspects, up to all; the result stays the same.
 
 A line's key is the line without white space (blank, tab to carriage return) at both ends, with A-Z in lower case.
 Defined results: null or empty text is one empty line; empty keys are never dropped; repeated rows are separate
-documents; an empty table gives no rows. Rows are told apart by their place, so ``docs`` must read files (as a table
-just read or cut does). Columns named like a result (n_lines, n_dropped) are replaced; others stay.
+documents; an empty table gives no rows; of equal keys the first document in order of rows counts as first. Columns named like a result (n_lines, n_dropped) are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -21,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import NOT_SPACE, U64, bloom_has, byte_values, mix, pieces, small_batches, span_hashes, table, with_row_id
-from trackledger.llm.twice import twice_filter
+from trackledger.llm.common import NOT_SPACE, U64, bloom_has, cut, mix, pieces, small_batches, span_hashes, table, with_row_id
+from trackledger.llm.twice import filter_size, twice_filter
 
-FILTER_BITS = 1 << 25
-SECOND = byte_values(True, 1234567)
+SECOND = 1234567
 
 
 def lines(data: np.ndarray, offs: np.ndarray, min_chars: int) -> dict[str, np.ndarray]:
@@ -49,7 +47,7 @@ def lines(data: np.ndarray, offs: np.ndarray, min_chars: int) -> dict[str, np.nd
         lo = hi = start
     chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
     ok = (hi > lo) & (chars[hi] - chars[lo] >= min_chars)
-    return {"start": start, "end": end, "doc": doc, "ok": ok, "h": span_hashes(data, lo, hi), "h2": span_hashes(data, lo, hi, SECOND)}
+    return {"start": start, "end": end, "doc": doc, "ok": ok, "h": span_hashes(data, lo, hi), "h2": span_hashes(data, lo, hi, seed=SECOND)}
 
 
 def _distinct(found: dict[str, np.ndarray]) -> np.ndarray:
@@ -60,12 +58,12 @@ def _distinct(found: dict[str, np.ndarray]) -> np.ndarray:
     return order[np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (d[1:] != d[:-1]))[: len(order)]]
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = FILTER_BITS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int | None = None) -> DataFrame:
     """Drop lines whose key is in at least ``min_docs`` (2 or more) documents: all of them, or with ``keep="first"`` all but the first.
 
     Returns the columns of ``docs`` with the new text, and n_lines (before) and n_dropped.
     """
-    if min_docs < 2 or keep not in ("none", "first") or filter_bits & (filter_bits - 1) or filter_bits < 8:
+    if min_docs < 2 or keep not in ("none", "first") or (filter_bits is not None and (filter_bits & (filter_bits - 1) or filter_bits < 8)):
         raise ValueError("min_docs is 2 or more, keep is none or first, filter_bits a power of two")
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "_rid", "_drop")]
@@ -75,7 +73,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
         found = lines(data, offs, min_chars)
         return found["h"][_distinct(found)]
 
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, keys, filter_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, keys, filter_bits or filter_size(docs, 0.125)))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in pieces(batches):
@@ -85,8 +83,9 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
             rid = part.column("_rid").to_numpy()
             yield pa.record_batch({"h": pa.array(found["h"][at].view(np.int64)), "h2": pa.array(found["h2"][at].view(np.int64)), "_rid": pa.array(rid[found["doc"][at]])})
 
-    seen = docs.select("_rid", "text").mapInArrow(suspects, "h long, h2 long, _rid long")
-    repeated = seen.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_rid").alias("first")).where(F.col("n") >= min_docs).drop("n")
+    # two tables of their own: the join of suspects with common keys can then be split where one key has very many rows
+    seen = cut(docs.select("_rid", "text").mapInArrow(suspects, "h long, h2 long, _rid long"))
+    repeated = cut(seen.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_rid").alias("first")).where(F.col("n") >= min_docs).drop("n"))
     lost = seen.join(repeated, ["h", "h2"]).groupBy("_rid").agg(F.collect_list(F.struct("h", "h2", (F.col("first") == F.col("_rid")).alias("first"))).alias("_drop"))
     joined = docs.join(lost.hint("shuffle_hash"), "_rid", "left").select(*others, "text", F.col("_drop.h").alias("_h"), F.col("_drop.h2").alias("_h2"), F.col("_drop.first").alias("_first"))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*others).dtypes) + (", " if others else "") + "text string, n_lines long, n_dropped long"

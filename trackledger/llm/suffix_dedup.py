@@ -13,8 +13,7 @@
 4. Repeats go back to all runs of their kind and, merged to spans, to their documents.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all bytes; equal texts of at least ``length``
-bytes lose everything; repeated rows are separate documents; an empty table gives no rows. Rows are told apart by their
-place, so ``docs`` must read files. Where a cut falls inside a character, the kept text shows a replacement character; the
+bytes lose everything; repeated rows are separate documents; an empty table gives no rows. Where a cut falls inside a character, the kept text shows a replacement character; the
 kept bytes are exact. Columns named like a result (n_bytes, n_removed, n_spans, kept) are replaced; other columns stay.
 """
 
@@ -28,12 +27,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import U64, bloom_has, byte_values, cut, mix, pieces, small_batches, span_hashes, table, with_row_id
-from trackledger.llm.twice import twice_filter
+from trackledger.llm.common import U64, bloom_has, cut, mix, pieces, small_batches, span_hashes, table, with_row_id
+from trackledger.llm.twice import filter_size, twice_filter
 
-FILTER_BITS = 1 << 26
 SHARD_RUNS = 2_000
-RAW, RAW2 = byte_values(False), byte_values(False, 99)
 GRAM = 16
 BLOCK = 1 << 23
 
@@ -194,7 +191,7 @@ def _shard(length: int):
         if hot.any():
             lead = order[~same]  # one of each distinct window
             lead = lead[hot[run[lead]]]
-            d1, d2 = (span_hashes(data, lead, lead + length, values).view(np.int64) for values in (RAW, RAW2))
+            d1, d2 = (span_hashes(data, lead, lead + length, False, seed).view(np.int64) for seed in (7, 99))
             by = np.lexsort((d2, d1))
             lead, d1, d2 = lead[by], d1[by], d2[by]
             first = lead - starts[run[lead]]
@@ -236,7 +233,7 @@ def _merge(key: tuple, t: pa.Table) -> pa.Table:
     return t.filter(pa.array(hit)).select(["v", "s", "t0", "t1"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int = FILTER_BITS, shard_runs: int = SHARD_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int | None = None, shard_runs: int = SHARD_RUNS) -> DataFrame:
     """The columns of ``docs`` (text without its repeated bytes) with n_bytes, n_removed, n_spans and ``kept`` (the bytes left)."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} or more")
@@ -244,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int = FILTER
     others = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept", "_rid", "_runs", "_spans")]
     docs = with_row_id(docs.select(*others, F.col("text").cast("string").alias("text")))
     texts = docs.select("_rid", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, lambda data, offs: window_runs(data, offs, length)[2], filter_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, lambda data, offs: window_runs(data, offs, length)[2], filter_bits or filter_size(docs, 0.125)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in pieces(batches):
@@ -253,7 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int = FILTER
             at, count, v = at[keep], count[keep], v[keep]
             doc = np.searchsorted(offs, at, "right") - 1
             yield pa.record_batch({
-                "v": pa.array(v.view(np.int64)), "s": pa.array(span_hashes(data, at, at + count + length - 1, RAW).view(np.int64)),
+                "v": pa.array(v.view(np.int64)), "s": pa.array(span_hashes(data, at, at + count + length - 1, False).view(np.int64)),
                 "rid": pa.array(part.column("_rid").to_numpy()[doc]), "at": pa.array(at - offs[doc], pa.int64()), "n": pa.array(count, pa.int32()),
             })
 
