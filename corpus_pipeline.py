@@ -7,12 +7,13 @@ results are set aside and come back unchanged. ``n_chars`` follows the text wher
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import cut, table, with_row_id
+from trackledger.llm.common import cut, drop_tables, recorded, table, with_chunks
 from trackledger.llm.decontaminate import find_benchmark
 from trackledger.llm.jaccard import near_duplicates
 from trackledger.llm.line_dedup import drop_lines
@@ -20,6 +21,22 @@ from trackledger.llm.packing import pack, ranks_path
 from trackledger.llm.toxicity import score_toxicity, train
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Work tables that the rows of the last stage called are read from.
+_work: list[str] = []
+
+
+def _stage(stage: Stage) -> Stage:
+    """A stage's rows are written before the next one begins: then the tables that it worked with are deleted."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _work)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _work.extend(made)
+        return out
+
+    return run
 
 
 def _aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -36,6 +53,7 @@ def _as_before(docs: DataFrame, done: DataFrame, back: dict[str, str], changed:
     return done.drop(*results).withColumnsRenamed(back).select(*docs.columns)
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go. The classifier learns from ``labels`` of documents that are here."""
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -43,20 +61,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_before(docs, score_toxicity(own, model).where("score < 0.7"), back)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first of them only."""
     own, back = _aside(docs, {"n_lines", "n_dropped", "_rid", "_drop"})
     return _as_before(docs, drop_lines(own, min_docs=10, keep="first"), back, "n_dropped > 0")
 
 
+@_stage
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by a Jaccard similarity of 0.8 over five-word shingles."""
-    own, back = _aside(docs, {"_rid", "_kept"})
-    numbered = with_row_id(own)
-    kept = near_duplicates(numbered, k=5, num=80, den=100, rid="_rid").where("kept").select(F.col("rid").alias("_kept"))
+    own, back = _aside(docs, {"_rid", "_chunk", "_kept"})
+    numbered = with_chunks(own.withColumn("text", F.col("text").cast("string")))
+    kept = near_duplicates(numbered, k=5, num=80, den=100, numbered=True).where("kept").select(F.col("rid").alias("_kept"))
     return _as_before(docs, numbered.join(kept.hint("shuffle_hash"), F.col("_rid") == F.col("_kept"), "left_semi"), back)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ten benchmark words or more are cut out of the texts."""
     own, back = _aside(docs, {"n_words", "n_hit", "item_ids", "spans"})
@@ -64,6 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _as_before(docs, found, back, "n_hit > 0")
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids, each a seed and its lexical neighbours; ``ids`` are unsigned 32-bit, little-endian."""
     return pack(docs, ranks_path())
