@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from trackledger import queries as own
 from trackledger.functions import names as N
 from trackledger.functions import numbers as M
 from trackledger.operators import accounting, audit, detections, rollup, windows
@@ -178,3 +185,61 @@ def test_errors_are_kept_with_their_rows(spark, tmp_path):
     (tmp_path / "empty").write_bytes(b"")
     paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("good", "empty", "gone")], "path string")
     assert {r["path"].rsplit("/", 1)[1]: r["valid"] for r in detections.validate_files(paths, lambda b: b == b"ok").collect()} == {"good": True, "empty": False, "gone": False}
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1_000_000])
+def test_slices_carry_what_comes_before(spark, slice_rows):
+    rnd = random.Random(slice_rows)
+    rows = [(s % 2, s, t(0, 0, rnd.randrange(50)) if rnd.random() < 0.9 else None, rnd.randrange(5)) for s in range(100)]
+    df = spark.createDataFrame(rows, "cam int, seq long, frame_ts timestamp_ntz, frame_id long")
+    kept, number = set(), {}
+    for cam in (0, 1):
+        most, last, n = None, None, 0
+        for _, s, ts, i in (r for r in rows if r[0] == cam):
+            n += last is not None and i < last
+            last, number[s] = i, n
+            if most is None or (ts is not None and ts > most):
+                kept.add(s)
+                most = ts if ts is not None else most
+    assert {r["seq"] for r in audit.monotonic_frames(df, ["cam"], slice_rows=slice_rows).collect()} == kept
+    assert {r["seq"]: r["container"] for r in audit.split_containers(df, ["cam"], slice_rows=slice_rows).collect()} == number
+
+
+def test_folds_of_large_groups_and_null_ends(spark):
+    rnd = random.Random(3)
+    rows = [(c, i, t(0, 0, rnd.randrange(5000)), t(0, 0, rnd.randrange(5000)) if rnd.random() < 0.9 else None) for c in (0, 1, None) for i in range(300)]
+    got = {(r["cam"], r["event_id"]): r["flagged"] for r in audit.overlapping_containers(spark.createDataFrame(rows, "cam int, event_id long, starttime timestamp_ntz, endtime timestamp_ntz"), ["cam"]).collect()}
+    for cam in (0, 1, None):
+        last = None
+        for _, i, s, e in sorted((r for r in rows if r[0] == cam), key=lambda r: (r[2], r[1])):
+            flagged = last is not None and s < last
+            assert got[cam, i] == flagged
+            last = last if flagged else e
+
+
+def test_ranks_of_groups_over_several_partitions(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(40), None if rnd.random() < 0.3 else rnd.random()) for _ in range(500)] + [("c", None, None)]
+    got = {r["g"]: r for r in accounting._ranks(spark.createDataFrame(rows, "g string, x int, y double").repartition(5), "g", ["x", "y"], {"p5": 0.05, "p50": 0.5, "max": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        for c, k in (("x", 1), ("y", 2)):
+            values = sorted(row[k] for row in rows if row[0] == g and row[k] is not None)
+            for n, q in (("p5", 0.05), ("p50", 0.5), ("max", 1.0)):
+                assert r[f"{c}_{n}"] == (values[max(0, math.ceil(q * len(values)) - 1)] if values else None)
+
+
+def test_entry_works_without_the_training_data_subpackage(tmp_path):
+    """A copy without trackledger/llm and tests/llm lists all other queries."""
+    root = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "trackledger", tmp_path / "trackledger", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for with_pipeline in (True, False):
+        shutil.copy(root / "__spark_entry__.py", tmp_path)
+        if with_pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        else:
+            (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), any(k.startswith('op') and k[2:3].isdigit() or k == 'pipeline' for k in q))"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+        assert done.stdout.split() == [str(len(own.QUERIES)), "False"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from trackledger.operators import detections
 from trackledger.plans import status
-from trackledger.sources import listing, snapshots
+from trackledger.sources import listing, shared, snapshots
 from trackledger.streaming import feeds
 
 
@@ -84,3 +86,90 @@ def test_catalog_feed(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "cat")).count() == 5
     finally:
         q.stop()
+
+
+def test_files_of_any_time_are_taken_in(spark, tmp_path):
+    """A file that is copied with its old time, and one with the time of the last one seen."""
+    root = tmp_path / "videos"
+    tree(root)
+    q = feeds.stream_catalog(spark, str(root), str(tmp_path / "cat"), str(tmp_path / "state"))
+    try:
+        q.processAllAvailable()
+        newest = max(p.stat().st_mtime_ns for p in root.rglob("*.mp4"))
+        for name, ns in (("old.mp4", 10**18), ("same.mp4", newest)):
+            time.sleep(0.05)
+            (root / "2026-07-02" / "cam-0" / name).write_bytes(b"abc")
+            os.utime(root / "2026-07-02" / "cam-0" / name, ns=(ns, ns))
+            q.processAllAvailable()
+        assert spark.read.parquet(str(tmp_path / "cat")).count() == 6
+    finally:
+        q.stop()
+
+
+def test_refresh_looks_at_files_of_changed_days_only(spark, tmp_path, monkeypatch):
+    root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
+    tree(root, n=20)
+    listing.refresh_catalog(spark, str(root), catalog)
+    seen = []
+    monkeypatch.setattr(listing.os, "stat", lambda p, stat=os.stat: seen.append(str(p)) or stat(p))
+    for top in ("20260701", "2026-07-02"):
+        listing._directory_time(str(root), top, 2)
+    assert len(seen) == 4 and not any(p.endswith(".mp4") for p in seen)  # two directories a day
+    monkeypatch.undo()
+    read = []
+    monkeypatch.setattr(listing, "read_listing", lambda s, r, tops=None, f=listing.read_listing: read.append(tops) or f(s, r, tops))
+    assert listing.refresh_catalog(spark, str(root), catalog) == [] and read == []
+    time.sleep(0.05)
+    late = root / "2026-07-02" / "cam-0" / "late.mp4"
+    late.write_bytes(b"abc")
+    os.utime(late, ns=(10**18, 10**18))
+    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260702"] and read == [["2026-07-02"]]
+    assert listing.refresh_catalog(spark, str(root), catalog, by_files=True, full=True) == ["20260701", "20260702"]
+    assert spark.read.parquet(f"{catalog}/files").count() == 41
+
+
+def test_deeper_check_lists_days_again(spark, tmp_path):
+    root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
+    tree(root, n=3)
+    deep = lambda rows: detections.validate_files(rows, lambda data: data != b"x", "full_path")
+    assert len(listing.refresh_catalog(spark, str(root), catalog)) == 2
+    assert spark.read.parquet(f"{catalog}/files").where("is_valid").count() == 4  # of each day one is empty
+    assert len(listing.refresh_catalog(spark, str(root), catalog, deep=deep)) == 2
+    assert spark.read.parquet(f"{catalog}/files").where("is_valid").count() == 2
+    assert listing.refresh_catalog(spark, str(root), catalog, deep=deep) == [] == listing.refresh_catalog(spark, str(root), catalog)
+
+
+def test_sidecar_catalog_is_kept_up_to_date(spark, tmp_path):
+    root, catalog = tmp_path / "rec", str(tmp_path / "catalog")
+    for d in ("20260701", "20260702"):
+        (root / d).mkdir(parents=True)
+        (root / d / "a.h264").write_bytes(b"x")
+    shape = lambda rows: listing.sidecar_catalog(rows, by=("day",))
+    listing.refresh_catalog(spark, str(root), catalog, shape=shape)
+    time.sleep(0.05)
+    (root / "20260702" / "a-detections-c.parquet").write_bytes(b"x")
+    assert listing.refresh_catalog(spark, str(root), catalog, shape=shape) == ["20260702"]
+    rows = spark.read.parquet(f"{catalog}/files").collect()
+    assert {(str(r["day"]), r["detections_clahe"]) for r in rows} == {("20260701", False), ("20260702", True)}
+
+
+def test_a_late_batch_that_runs_again_is_written_once(spark, tmp_path):
+    now, late = str(tmp_path / "now"), str(tmp_path / "late")
+    first = spark.sql("SELECT id, timestamp'2026-07-01 00:00:00' + make_dt_interval(id) AS ts FROM range(10)")
+    second = spark.sql("SELECT id + 100 AS id, timestamp'2026-07-01 00:00:00' + make_dt_interval(id) AS ts FROM range(12)")
+    for i, batch in ((0, first), (1, second), (1, second)):
+        feeds.stream_late(spark, batch, i, now, late, days=4)
+    assert spark.read.parquet(now).count() == 5 + 5 and spark.read.parquet(late).count() == 5 + 7
+
+
+def test_work_folders_are_shared_folders():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="all nodes share"):
+        shared.scratch(Session())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.functions.numbers import format_duration, format_kib, format_percent, memory_text, round_memory, round_minutes
+from trackledger.sources.shared import written
 
 # States that end a task; columns of an accounting line.
-TERMINAL = ("COMPLETED", "FAILED", "TIMEOUT", "OUT_OF_MEMORY", "CANCELLED", "NODE_FAIL")
+TERMINAL = ("COMPLETED", "TIMEOUT", "FAILED", "OUT_OF_MEMORY", "NODE_FAIL", "CANCELLED")
 FIELDS = 21
 # End of fixed values.
 
@@ -38,7 +39,8 @@ def merge_steps(tasks: DataFrame, steps: DataFrame) -> DataFrame:
 
 def nearest_rank(df: DataFrame, by: str, column: str, qs: dict[str, float]) -> DataFrame:
     """(by, one column for each q): nearest-rank percentiles without nulls; q of 0 or less is the least value."""
-    return df.groupBy(by).agg(*[(F.min(column) if q <= 0 else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")).alias(n) for n, q in qs.items()])
+    found = _ranks(df, by, [column], qs)
+    return found.select(by, *[F.col(f"{column}_{n}").alias(n) for n in qs])
 
 
 def state_counts(tasks: DataFrame) -> DataFrame:
@@ -47,9 +49,28 @@ def state_counts(tasks: DataFrame) -> DataFrame:
 
 
 def _ranks(df: DataFrame, by: str, columns: list[str], qs: dict[str, float]) -> DataFrame:
-    """Nearest ranks of several columns per group, by Spark's own percentile aggregate."""
-    exprs = [f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c}) AS {c}_{n}" for c in columns for n, q in qs.items()]
-    return df.groupBy(by).agg(*map(F.expr, exprs))
+    """(by, column_q, ...): nearest ranks of several columns per group, in one pass that ranks all their values.
+
+    Equal values are counted first; the counts are range-partitioned by group, column and value, and each partition adds up its
+    own, behind what the partitions before it hold of the same group and column. No task holds a group.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")
+    counts = df.select(F.col(by).alias("g"), pairs).select("g", "x.c", "x.v").where("v is not null").groupBy("g", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = written(counts.repartitionByRange("g", "c", "v").withColumn("part", F.spark_partition_id()))
+    within = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("part", "g", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = ranged.groupBy("g", "c", "part").agg(F.sum("n").alias("part_n"))
+    w = Window.partitionBy("g", "c")
+    parts = parts.select(F.col("g").alias("pg"), F.col("c").alias("pc"), F.col("part").alias("pp"), (F.sum("part_n").over(w.orderBy("part")) - F.col("part_n")).alias("before"), F.sum("part_n").over(w).alias("all"))
+    ranked = within.join(parts, F.col("g").eqNullSafe(F.col("pg")) & (F.col("c") == F.col("pc")) & (F.col("part") == F.col("pp"))).withColumn("upto", F.col("upto") + F.col("before"))
+
+    def at(i: int, q: float) -> Column:
+        wanted = F.greatest(F.lit(1.0), F.lit(float(q)) * F.col("all"))
+        return F.max(F.when((F.col("c") == i) & (F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted), F.col("v")))
+
+    kinds = dict(df.dtypes)
+    found = ranked.groupBy(F.col("g").alias("_group")).agg(*[at(i, q).cast(kinds[c]).alias(f"{c}_{n}") for i, c in enumerate(columns) for n, q in qs.items()])
+    groups = df.select(by).distinct()
+    return groups.join(found, F.col(by).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def resource_summary(tasks: DataFrame, chunks: DataFrame | None = None, default_chunk: int = 32) -> DataFrame:

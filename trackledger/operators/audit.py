@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +22,30 @@ def container_stats(points: DataFrame, path: list[str], seq: str = "seq", ts: st
     return points.groupBy(*path).agg(F.min_by(ts, seq).alias("first_ts"), F.max_by(ts, seq).alias("last_ts"), F.count(F.lit(1)).alias("n_frames"))
 
 
-def _fold(df: DataFrame, by: list[str], order: list[Column], row: list[Column], state: Column, step, keep: str) -> DataFrame:  # noqa: ANN001
-    """Rows of each group in order, folded by ``step`` over arrays; the group is one camera's day, so it is bounded."""
-    rows = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *row)))
-    folded = df.groupBy(*by).agg(rows.alias("_rows")).withColumn("_out", F.aggregate("_rows", state, step)[keep])
-    return folded.select(*by, F.explode("_out").alias("_row"))
+Rule = Callable[[int | None, int | None, int | None], tuple[bool, int | None]]
+
+
+def _folded(df: DataFrame, by: list[str], order: list[str], first: str, second: str, rule: Rule) -> DataFrame:
+    """``df`` with _mark: each group's rows in order go through ``rule`` (state, first, second) -> (mark, state); times are microseconds.
+
+    Rows are sorted by Spark and come in batches; one number is carried from row to row, so a group may have any size.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        state: int | None = None
+        for batch in batches:
+            a, b = (batch.column(c).cast(pa.int64()).to_pylist() for c in (first, second))
+            marks = []
+            for key, x, y in zip(zip(*(batch.column(c).to_pylist() for c in by), strict=True), a, b, strict=True):
+                if key != group:
+                    group, state = key, None
+                mark, state = rule(state, x, y)
+                marks.append(mark)
+            yield batch.append_column("_mark", pa.array(marks, pa.bool_()))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", _mark boolean"
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(walk, schema)
 
 
 def overlapping_containers(files: DataFrame, by: list[str], start: str = "starttime", end: str = "endtime", key: str = "event_id") -> DataFrame:
@@ -31,34 +53,23 @@ def overlapping_containers(files: DataFrame, by: list[str], start: str = "startt
 
     A flagged file doesn't move the end, so a running maximum would flag too much: the fold carries the end of what is kept.
     """
-    row = [F.col(key).alias("key"), F.col(start).alias("s"), F.col(end).alias("e")]
-    none = F.lit(None).cast(files.schema[end].dataType)
-    shape = f"array<struct<key:{files.schema[key].dataType.simpleString()},s:{files.schema[start].dataType.simpleString()},e:{files.schema[end].dataType.simpleString()},flagged:boolean>>"
-    state = F.struct(none.alias("end"), F.array().cast(shape).alias("out"))
 
-    def step(a: Column, r: Column) -> Column:
-        flagged = F.coalesce(r["s"] < a["end"], F.lit(False))
-        return F.struct(F.when(flagged, a["end"]).otherwise(r["e"]).alias("end"), F.array_append(a["out"], F.struct(r["key"].alias("key"), r["s"].alias("s"), r["e"].alias("e"), flagged.alias("flagged"))).alias("out"))
+    def rule(last: int | None, s: int | None, e: int | None) -> tuple[bool, int | None]:
+        return (True, last) if last is not None and s < last else (False, e)
 
-    out = _fold(files.where(F.col(start).isNotNull()), by, [F.col(start), F.col(key)], row, state, step, "out")
-    return out.select(*by, F.col("_row.key").alias(key), F.col("_row.s").alias(start), F.col("_row.e").alias(end), F.col("_row.flagged").alias("flagged"))
+    return _folded(files.where(F.col(start).isNotNull()).select(*by, key, start, end), by, [start, key], start, end, rule).withColumnRenamed("_mark", "flagged")
 
 
 def subsample_frames(frames: DataFrame, by: list[str], ts: str, name: str, seconds: int) -> DataFrame:
     """Frames at least ``seconds`` after the last kept one of their group, by name; those without a time are dropped."""
     if seconds <= 0:
         raise ValueError("the interval is a positive number of seconds")
-    row = [F.col(name).alias("n"), F.col(ts).alias("t")]
-    shape = f"array<struct<n:string,t:{frames.schema[ts].dataType.simpleString()}>>"
-    state = F.struct(F.lit(None).cast(frames.schema[ts].dataType).alias("last"), F.array().cast(shape).alias("out"))
-    gap = F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    gap = int(seconds * 1_000_000)
 
-    def step(a: Column, r: Column) -> Column:
-        keep = a["last"].isNull() | (r["t"] >= a["last"] + gap)
-        return F.struct(F.when(keep, r["t"]).otherwise(a["last"]).alias("last"), F.when(keep, F.array_append(a["out"], F.struct(r["n"].alias("n"), r["t"].alias("t")))).otherwise(a["out"]).alias("out"))
+    def rule(last: int | None, t: int | None, _: int | None) -> tuple[bool, int | None]:
+        return (True, t) if last is None or t >= last + gap else (False, last)
 
-    out = _fold(frames.where(F.col(ts).isNotNull()), by, [F.col(name)], row, state, step, "out")
-    return out.select(*by, F.col("_row.n").alias(name), F.col("_row.t").alias(ts))
+    return _folded(frames.where(F.col(ts).isNotNull()).select(*by, name, ts), by, [name, ts], ts, ts, rule).where("_mark").drop("_mark")
 
 
 def duplicate_copies(files: DataFrame, name: list[str], from_ts: str = "from_ts", bucket: str = "bucket_ts", path: str = "path") -> DataFrame:
@@ -69,17 +80,27 @@ def duplicate_copies(files: DataFrame, name: list[str], from_ts: str = "from_ts"
     return files.withColumns({"n_copies": F.count(F.lit(1)).over(w), "flagged": place > 1})
 
 
-def missing_bucket_copies(files: DataFrame, existing: DataFrame, minutes: int = 20, most_steps: int = 200) -> DataFrame:
+def _buckets(files: DataFrame, minutes: int) -> Column:
+    first, last = bucket_start(F.col("from_ts"), minutes), bucket_start(F.greatest("from_ts", "to_ts"), minutes)
+    return F.sequence(first, last, F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def missing_bucket_copies(files: DataFrame, existing: DataFrame, minutes: int = 20, most_steps: int | None = 200) -> DataFrame:
     """(name, bucket): buckets between a file's start and end that hold no copy of it, or an empty one.
 
-    ``files`` has name, from_ts, to_ts, size (empty ones ask for nothing); ``existing`` has name, bucket, size.
+    ``files`` has name, from_ts, to_ts, size (empty ones ask for nothing); ``existing`` has name, bucket, size. A wrong end time
+    may ask for years of buckets: a file asks for its first ``most_steps`` only (None: for all), and ``long_files`` names those cut.
     """
-    first, last = bucket_start(F.col("from_ts"), minutes), bucket_start(F.greatest("from_ts", "to_ts"), minutes)
-    step = F.make_dt_interval(mins=F.lit(minutes))
-    wanted = files.where("size > 0").select("name", F.explode(F.slice(F.sequence(first, last, step), 1, most_steps)).alias("bucket")).distinct()
+    steps = _buckets(files, minutes)
+    wanted = files.where("size > 0").select("name", F.explode(steps if most_steps is None else F.slice(steps, 1, most_steps)).alias("bucket")).distinct()
     return wanted.join(existing.where("size > 0").select("name", "bucket"), ["name", "bucket"], "left_anti")
 
 
+def long_files(files: DataFrame, minutes: int = 20, most_steps: int = 200) -> DataFrame:
+    """(name, buckets): files that span more buckets than ``missing_bucket_copies`` asks for, and how many."""
+    return files.where("size > 0").select("name", F.size(_buckets(files, minutes)).cast("long").alias("buckets")).where(F.col("buckets") > most_steps)
+
+
 def reconcile_listings(source: DataFrame, dest: DataFrame) -> DataFrame:
     """(rel, source_size, dest_size, status): match, size_differs, only_source or only_dest."""
     both = source.select("rel", F.col("size").alias("source_size")).join(dest.select("rel", F.col("size").alias("dest_size")), "rel", "full_outer")
@@ -111,17 +132,40 @@ def stray_dirs(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.select(F.substring_index(path, "/", 1).alias("dir")).where(~F.col("dir").rlike("^[0-9]+$")).distinct()
 
 
-def monotonic_frames(frames: DataFrame, by: list[str], seq: str = "seq", ts: str = "frame_ts") -> DataFrame:
-    """Frames later than all before them: a dropped frame never raises the maximum, so this equals dropping as they come."""
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return frames.withColumn("_most", F.max(ts).over(w)).where(F.col("_most").isNull() | (F.col(ts) > F.col("_most"))).drop("_most")
+#: Numbers of ``seq`` that lie together in one task; each slice of a group passes one row on to the next.
+SLICE = 1_000_000
+
+
+def _sliced(frames: DataFrame, seq: str, slice_rows: int) -> DataFrame:
+    return frames.withColumn("_slice", F.floor(F.col(seq) / slice_rows))
+
 
+def monotonic_frames(frames: DataFrame, by: list[str], seq: str = "seq", ts: str = "frame_ts", slice_rows: int = SLICE) -> DataFrame:
+    """Frames later than all before them: a dropped frame never raises the maximum, so this equals dropping as they come.
 
-def split_containers(frames: DataFrame, by: list[str], seq: str = "seq", frame_id: str = "frame_id") -> DataFrame:
-    """``frames`` with container: its number in the camera, one more whenever the frame's number falls."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    new = F.coalesce((F.col(frame_id) < F.lag(frame_id).over(w)).cast("long"), F.lit(0))
-    return frames.withColumn("_new", new).withColumn("container", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    A camera's history is cut into slices by ``seq``; what is carried on is each slice's maximum.
+    """
+    sliced = _sliced(frames, seq, slice_rows)
+    most = sliced.groupBy(*by, "_slice").agg(F.max(ts).alias("_max"))
+    before = most.select(*by, "_slice", F.max("_max").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(ts).over(Window.partitionBy(*by, "_slice").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    joined = sliced.withColumn("_inside", inside).join(before, [*by, "_slice"]).withColumn("_most", F.greatest("_inside", "_before"))
+    return joined.where(F.col("_most").isNull() | (F.col(ts) > F.col("_most"))).select(*frames.columns)
+
+
+def split_containers(frames: DataFrame, by: list[str], seq: str = "seq", frame_id: str = "frame_id", slice_rows: int = SLICE) -> DataFrame:
+    """``frames`` with container: its number in the camera, one more whenever the frame's number falls.
+
+    A slice of ``seq`` knows its own falls; the last number and the count of falls of those before it are carried on.
+    """
+    w = Window.partitionBy(*by, "_slice").orderBy(seq)
+    inside = _sliced(frames, seq, slice_rows).withColumn("_new", F.coalesce((F.col(frame_id) < F.lag(frame_id).over(w)).cast("long"), F.lit(0)))
+    ends = inside.groupBy(*by, "_slice").agg(F.min_by(frame_id, seq).alias("_first"), F.max_by(frame_id, seq).alias("_last"), F.sum("_new").alias("_falls"))
+    over = Window.partitionBy(*by).orderBy("_slice")
+    falls = F.coalesce((F.col("_first") < F.lag("_last").over(over)).cast("long"), F.lit(0))
+    ends = ends.withColumn("_edge", falls).withColumn("_before", F.sum(F.col("_edge") + F.col("_falls")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_falls"))
+    inside = inside.withColumn("_own", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(ends.select(*by, "_slice", "_before"), [*by, "_slice"]).select(*frames.columns, (F.col("_before") + F.col("_own")).alias("container"))
 
 
 def dedup_containers(containers: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.functions.names import prefix_route, recorder_camera, recorder_time
-from trackledger.sources.shared import scratch
+from trackledger.sources.shared import written
 
 
 def not_queued(units: DataFrame, queue: DataFrame, key: str) -> DataFrame:
@@ -22,9 +22,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "rn") -> DataFra
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     local = ranged.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))
-    path = scratch(df.sparkSession)
-    local.write.parquet(path)
-    local = df.sparkSession.read.schema(local.schema).parquet(path)
+    local = written(local)
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
@@ -60,7 +58,9 @@ def plan_windows(pending: DataFrame, size: int, most_jobs: int | None = None) ->
 def plan_sidecars(files: DataFrame, rules: list[tuple[str, str]], size: int, most_jobs: int | None = None) -> DataFrame:
     """(model, chunk_id, n, items) of pending recorder files (file_name, mtime), oldest first, capped for each model."""
     f = files.withColumns({"model": prefix_route(recorder_camera(F.col("file_name")), rules), "ts": recorder_time(F.col("file_name"), F.col("mtime"))})
-    numbered = f.withColumn("rn", F.row_number().over(Window.partitionBy("model").orderBy("ts", "file_name")))
+    numbered = number_rows(f, [F.col("model"), F.col("ts"), F.col("file_name")])
+    first = numbered.groupBy("model").agg(F.min("rn").alias("_first"))  # a row for each model
+    numbered = numbered.join(F.broadcast(first), "model").withColumn("rn", F.col("rn") - F.col("_first") + 1).drop("_first")
     if most_jobs is not None:
         numbered = numbered.where(F.col("rn") <= size * most_jobs)
     return _chunks(numbered, size, "file_name", ["model"])

@@ -860,10 +860,74 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     source, work = _stream(spark, sf_dir, "frame_seq")
     shifted = source.select("cam_id", "seq", F.when(c("seq") % 13 == 0, c("frame_ts") - F.expr("INTERVAL 20 DAYS")).otherwise(c("frame_ts")).alias("ts"))
-    q = shifted.writeStream.foreachBatch(lambda batch, _: feeds.stream_late(batch.sparkSession, batch, f"{work}/now", f"{work}/late", days=12)).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+    q = shifted.writeStream.foreachBatch(lambda batch, i: feeds.stream_late(batch.sparkSession, batch, i, f"{work}/now", f"{work}/late", days=12)).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/late").withColumn("ts", N.ntz(c("ts")))
+    return spark.read.parquet(f"{work}/late").drop("batch").withColumn("ts", N.ntz(c("ts")))
 
 
 QUERIES["stream_late"] = _late
 ORACLE_SQL["stream_late"] = sql("WITH x AS (SELECT cam_id, seq, CASE WHEN seq % 13 = 0 THEN frame_ts - INTERVAL 20 DAY ELSE frame_ts END AS ts FROM frame_seq) SELECT * FROM x WHERE ts < (SELECT max(ts) FROM x) - INTERVAL 12 DAY")
+
+
+# ------------------------------------------------------------------ sinks and sources, written and read again
+@query("conform", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(NULL AS DOUBLE) AS weight, CAST(value AS DOUBLE) AS value FROM events", "events")
+def _(e: DataFrame) -> DataFrame:
+    shape = e.sparkSession.createDataFrame([], "event_id string, event_type string, weight double, value double").schema
+    return snapshots.conform(e.select("value", "event_id", "event_type", "ts"), shape)
+
+
+@query("write_snapshot", "SELECT event_id, value, CASE WHEN event_id % 2 = 0 THEN '20260701' ELSE '20260702' END AS snapshot FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0", "events")
+def _(e: DataFrame) -> DataFrame:
+    path, rows = scratch(e.sparkSession), e.select("event_id", "value")
+    snapshots.write_snapshot(rows.where("event_id % 2 = 0"), path, "20260701")
+    snapshots.write_snapshot(rows, path, "20260702")
+    snapshots.write_snapshot(rows.where("event_id % 2 <> 0 and event_id % 3 = 0"), path, "20260702")  # replaces that one and no other
+    return e.sparkSession.read.parquet(path).withColumn("snapshot", c("snapshot").cast("string"))
+
+
+@query("write_report", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type || ' ' || CAST(user_id AS VARCHAR) AS tags FROM events", "events")
+def _(e: DataFrame) -> DataFrame:
+    path = scratch(e.sparkSession)
+    snapshots.write_report(e.select("event_id", F.array(c("event_type"), c("user_id").cast("string")).alias("tags")), path)
+    return e.sparkSession.read.option("header", True).csv(path)
+
+
+_STATUS = "CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_id % 7 = 0 THEN 'skipped_no_txt' ELSE 'done' END"
+
+
+@query("save_report", f"""WITH u AS (SELECT {DAY.format('ts')} AS day, {_STATUS} AS status FROM events)
+  SELECT 'frames' AS stage, day, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'pending') AS pending FROM u GROUP BY day""", "events")
+def _(e: DataFrame) -> DataFrame:
+    path, spark = scratch(e.sparkSession), e.sparkSession
+    units = e.select(N.day_of(c("ts")).alias("day"), F.expr(_STATUS).alias("status"))
+    for at, some in (("2026-07-01T10:00:00", units.where("status = 'done'")), ("2026-07-01T11:00:00", units)):
+        snapshots.save_report(status.progress_report({"frames": some}), path, at)
+    return snapshots.load_report(spark, path)["by_day"].select(c("stage").cast("string").alias("stage"), c("day").cast("string").alias("day"), "done", "pending")
+
+
+@query("write_detections", f"SELECT user_id % 8 AS cam_id, {DAY.format('ts')} AS day, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY ALL", "events")
+def _(e: DataFrame) -> DataFrame:
+    path = scratch(e.sparkSession)
+    rows = e.select(c("ts").alias("timestamp"), (c("user_id") % 8).alias("cam_id"), "event_id")
+    snapshots.write_detections(rows, path)
+    snapshots.write_detections(rows.where("cam_id = 3"), path)  # again: these days and cameras are replaced
+    back = e.sparkSession.read.parquet(path)
+    return back.groupBy(c("cam_id").cast("long").alias("cam_id"), c("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("failures", "SELECT event_id, 'ValueError: file ' || event_id || ' is cut short' AS error FROM events WHERE event_id % 5 = 0", "events")
+def _(e: DataFrame) -> DataFrame:
+    def work(i: int) -> int:
+        if i % 5 == 0:
+            raise ValueError(f"file {i} is cut short")
+        return i
+
+    done = detections.map_with_errors(e.select("event_id"), work, "event_id")
+    return detections.failures(done).select("event_id", "error")
+
+
+@query("long_files", f"""WITH f AS (SELECT event_id AS name, from_ts, from_ts + CAST(event_id % 120 AS INT) * INTERVAL 1 HOUR AS to_ts FROM copies WHERE copy_no = 0 AND size > 0),
+  n AS (SELECT name, len(generate_series({_B.format('from_ts')}, {_B.format('to_ts')}, INTERVAL 20 MINUTE)) AS buckets FROM f) SELECT name, CAST(buckets AS BIGINT) AS buckets FROM n WHERE buckets > 200""", "copies")
+def _(copies: DataFrame) -> DataFrame:
+    files = copies.where("copy_no = 0").select(c("event_id").alias("name"), "from_ts", (c("from_ts") + F.make_dt_interval(hours=(c("event_id") % 120).cast("int"))).alias("to_ts"), "size")
+    return audit.long_files(files)

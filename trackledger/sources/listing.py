@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StructType
 
 from trackledger.functions.names import day_key, day_of, parse_name, stem
+from trackledger.sources.shared import exists, written
 
 LISTING = "top string, path string, file_name string, mtime timestamp, size long"
 
@@ -22,9 +24,11 @@ class TopDir(InputPartition):
         self.root, self.top = root, top
 
 
-def _walk(root: str, top: str) -> Iterator[tuple]:
-    import datetime
+def _tops(root: str) -> list[str]:
+    return sorted(e.name for e in os.scandir(root) if e.is_dir())
+
 
+def _walk(root: str, top: str) -> Iterator[tuple]:
     base = os.path.join(root, top) if top else root
     for d, subdirs, names in os.walk(base):
         if not top:
@@ -43,33 +47,82 @@ class _Reader(DataSourceReader):
         self.root, self.tops = root, tops
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(e.name for e in os.scandir(self.root) if e.is_dir())
+        found = _tops(self.root)
         return [TopDir(self.root, t) for t in found if self.tops is None or t in self.tops] + ([TopDir(self.root, "")] if self.tops is None else [])
 
     def read(self, partition: TopDir) -> Iterator[tuple]:
         return _walk(partition.root, partition.top)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Files changed since the newest change seen; the offset is that time in microseconds."""
+DIRECTORIES = "top string, latest_mtime timestamp"
 
-    def __init__(self, root: str):
-        self.root = root
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"mtime": -1}
+def _directory_time(root: str, top: str, depth: int) -> int:
+    """The newest time, in nanoseconds, of a directory and the directories below it down to ``depth``; files are not looked at."""
+    newest, level = 0, [os.path.join(root, top)]
+    for left in range(depth, -1, -1):
+        below = []
+        for d in level:
+            try:
+                newest = max(newest, os.stat(d).st_mtime_ns)
+                if left:
+                    below += [e.path for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+            except OSError:
+                continue  # it went away meanwhile
+        level = below
+    return newest
+
+
+def _as_time(ns: int) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(0, datetime.timezone.utc) + datetime.timedelta(microseconds=ns // 1000)
+
+
+class _DirectoryReader(DataSourceReader):
+    def __init__(self, root: str, depth: int):
+        self.root, self.depth = root, depth
+
+    def partitions(self) -> list[InputPartition]:
+        return [TopDir(self.root, t) for t in _tops(self.root)]
+
+    def read(self, partition: TopDir) -> Iterator[tuple]:
+        yield partition.top, _as_time(_directory_time(partition.root, partition.top, self.depth))
+
+
+class _DirectoryStreamReader(SimpleDataSourceStreamReader):
+    """First-level directories whose time differs from the one seen; the offset has the time of each of them.
+
+    A file that arrives changes the time of its directory to now, whatever time the file itself has.
+    """
 
-    def _rows(self, after: int, until: int | None) -> list[tuple]:
-        tops = [*sorted(e.name for e in os.scandir(self.root) if e.is_dir()), ""]
-        rows = [r for t in tops for r in _walk(self.root, t)]
-        return [r for r in rows if after < int(r[3].timestamp() * 1e6) and (until is None or int(r[3].timestamp() * 1e6) <= until)]
+    def __init__(self, root: str, depth: int):
+        self.root, self.depth = root, depth
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._rows(start["mtime"], None)
-        return iter(rows), {"mtime": max([start["mtime"], *(int(r[3].timestamp() * 1e6) for r in rows)])}
+        now = {t: _directory_time(self.root, t, self.depth) for t in _tops(self.root)}
+        return self.readBetweenOffsets(start, now), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._rows(start["mtime"], end["mtime"]))
+        return iter([(t, _as_time(ns)) for t, ns in end.items() if start.get(t) != ns])
+
+
+class DirectoryTimes(DataSource):
+    """``spark.read.format("directory_times").option("depth", 2).load(root)``: when each first-level directory last got or lost an entry."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "directory_times"
+
+    def schema(self) -> str:
+        return DIRECTORIES
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _DirectoryReader(self.options["path"], int(self.options.get("depth", 2)))
+
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _DirectoryStreamReader(self.options["path"], int(self.options.get("depth", 2)))
 
 
 class FileListing(DataSource):
@@ -86,9 +139,6 @@ class FileListing(DataSource):
         tops = self.options.get("tops")
         return _Reader(self.options["path"], tops.split(",") if tops else None)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _StreamReader(self.options["path"])
-
 
 def read_listing(spark: SparkSession, root: str, tops: list[str] | None = None) -> DataFrame:
     """(top, path, file_name, mtime, size) of all files under ``root``, or under some of its directories; one task for each."""
@@ -124,12 +174,12 @@ def output_catalog(listing: DataFrame) -> DataFrame:
     return p.where("_p.cam_id is not null and _p.starttime is not null").select("_p.cam_id", F.col("_p.starttime").alias("from_dt"), F.col("_p.endtime").alias("to_dt"), F.col("mtime").alias("modified_time"))
 
 
-def sidecar_catalog(listing: DataFrame, ext: str = ".h264") -> DataFrame:
-    """(file_name, detections_clahe, detections_noclahe): which recordings have a detections file of either model beside them."""
+def sidecar_catalog(listing: DataFrame, ext: str = ".h264", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, file_name, detections_clahe, detections_noclahe): which recordings have a detections file of either model beside them."""
     name = F.col("file_name")
     side = r"^(.*)-detections(?:-polo)?-(c|nc)\.parquet$"
-    rows = listing.select(F.when(name.endswith(ext), stem(name)).otherwise(F.regexp_extract(name, side, 1)).alias("stem"), name.endswith(ext).alias("video"), F.regexp_extract(name, side, 2).alias("kind"), name.alias("file_name"))
-    found = rows.where("video or kind <> ''").groupBy("stem").agg(F.max(F.when(F.col("video"), F.col("file_name"))).alias("file_name"), F.bool_or(F.col("kind") == "c").alias("detections_clahe"), F.bool_or(F.col("kind") == "nc").alias("detections_noclahe"))
+    rows = listing.select(*by, F.when(name.endswith(ext), stem(name)).otherwise(F.regexp_extract(name, side, 1)).alias("stem"), name.endswith(ext).alias("video"), F.regexp_extract(name, side, 2).alias("kind"), name.alias("file_name"))
+    found = rows.where("video or kind <> ''").groupBy(*by, "stem").agg(F.max(F.when(F.col("video"), F.col("file_name"))).alias("file_name"), F.bool_or(F.col("kind") == "c").alias("detections_clahe"), F.bool_or(F.col("kind") == "nc").alias("detections_noclahe"))
     return found.where("file_name is not null").drop("stem")
 
 
@@ -157,27 +207,48 @@ def union_days(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def refresh_catalog(spark: SparkSession, root: str, catalog: str, force_recent: int = 0, full: bool = False) -> list[str]:
+def directory_times(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
+    """(top, latest_mtime) of the directories under ``root``: newest time of each and of its directories down to ``depth``; no file is looked at."""
+    spark.dataSource.register(DirectoryTimes)
+    return spark.read.format("directory_times").option("depth", depth).load(root)
+
+
+Check = Callable[[DataFrame], DataFrame]
+
+
+def refresh_catalog(spark: SparkSession, root: str, catalog: str, force_recent: int = 0, full: bool = False, by_files: bool = False, deep: Check | None = None, shape: Check | None = None) -> list[str]:
     """Bring the catalog at ``catalog`` (Parquet by day) up to date with the files under ``root``; returns the days listed anew.
 
-    The days' newest times before the listing are the manifest, so a file that comes in meanwhile is found the next time. Only stale
-    days are listed in full and replaced.
+    A day is stale if a directory of it has changed since the manifest; files are looked at only in stale days. A file that grows in
+    place does not change its directory: list such days again with ``force_recent``, or compare files' times (``by_files``, a full walk).
+    Rows have is_valid: a file is not empty; with ``deep`` (listing with a ``full_path`` -> with a boolean ``valid``, as ``validate_files``
+    gives) its content is read, and days that were checked less deeply are stale. ``shape`` turns the listing of the stale days into other
+    rows that keep ``day`` (``sidecar_catalog`` with ``by=("day",)``). Times are written before files are listed, so what comes in
+    meanwhile is found the next time.
     """
-    listing = read_listing(spark, root)
-    now = latest_mtime_by_day(listing.select(day_key(F.col("top")).alias("day"), "top", "mtime").where("day is not null")).cache()
-    try:
-        seen = spark.read.parquet(f"{catalog}/manifest")
-        days = now.select("day") if full else stale_days(now, seen, force_recent)
-    except Exception:
-        days = now.select("day")
+    if by_files:
+        times = read_listing(spark, root).select("top", F.col("mtime").alias("latest_mtime"))
+    else:
+        times = directory_times(spark, root)
+    day = times.select(day_key(F.col("top")).alias("day"), "latest_mtime").where("day is not null")
+    now = written(latest_mtime_by_day(day, mtime="latest_mtime"))
+    if full or not exists(spark, f"{catalog}/manifest"):
+        days, seen = now.select("day"), None
+    else:
+        seen = written(spark.read.parquet(f"{catalog}/manifest"))
+        days = stale_days(now, seen, force_recent)
+        if deep:
+            days = days.union(seen.where("not deep").join(now, "day", "left_semi").select("day")).distinct()
     names = sorted(r["day"] for r in days.collect())  # a name for each day
-    tops = [e.name for e in os.scandir(root) if e.is_dir() and e.name.replace("-", "") in names]
+    tops = [t for t in _tops(root) if t.replace("-", "") in names]
     if tops:
-        rows = read_listing(spark, root, tops).withColumn("day", day_key(F.col("top")))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{catalog}/files")
-    merged = now.select("day", "latest_mtime").collect()
-    spark.createDataFrame(merged, "day string, latest_mtime timestamp").write.mode("overwrite").parquet(f"{catalog}/manifest")
-    now.unpersist()
+        rows = read_listing(spark, root, tops).withColumns({"day": day_key(F.col("top")), "is_valid": valid_basic(F.col("size"))})
+        if deep:
+            rows = deep(rows.withColumn("full_path", F.concat(F.lit(f"{root}/"), "path"))).withColumn("is_valid", F.col("valid")).drop("valid", "full_path")
+        (shape(rows) if shape else rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{catalog}/files")
+    checked = F.lit(deep is not None) if seen is None else F.when(F.col("day").isin(names), deep is not None).otherwise(F.coalesce("deep", F.lit(False)))
+    manifest = now.withColumn("deep", checked) if seen is None else now.join(seen.select("day", "deep"), "day", "left").withColumn("deep", checked)
+    manifest.write.mode("overwrite").parquet(f"{catalog}/manifest")
     return names
 
 

@@ -12,13 +12,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trackledger.functions.names import day_key
-from trackledger.sources.listing import FileListing
+from trackledger.sources.listing import DirectoryTimes, FileListing
 
 
 def stream_catalog(spark: SparkSession, root: str, catalog: str, checkpoint: str) -> StreamingQuery:
-    """Take in all files that are new under ``root`` and replace the days that they belong to; run it again for the next ones."""
+    """List the days whose directories have changed and replace them in the catalog; it goes on with the next changes.
+
+    Changes are told by directories, so a file is taken in whatever time it has itself.
+    """
+    spark.dataSource.register(DirectoryTimes)
     spark.dataSource.register(FileListing)
-    feed = spark.readStream.format("file_listing").load(root).withColumn("day", day_key(F.col("top"))).where("day is not null")
+    feed = spark.readStream.format("directory_times").load(root).where(day_key(F.col("top")).isNotNull())
 
     def take(batch: DataFrame, _: int) -> None:
         tops = [r["top"] for r in batch.select("top").distinct().collect()]  # a name for each changed day
@@ -66,17 +70,19 @@ def stream_dedup(containers: DataFrame, delay: str = "2 days") -> DataFrame:
     return containers.withWatermark("first_ts", delay).dropDuplicatesWithinWatermark(["cam_id", "first_ts", "last_ts"])
 
 
-def stream_late(spark: SparkSession, batch: DataFrame, on_time: str, late: str, days: int = 2, ts: str = "ts") -> None:
-    """For foreachBatch: rows more than ``days`` before the newest row so far go to the late table, others to the first one."""
-    newest = batch.agg(F.max(ts).alias("m"))
-    try:
-        newest = newest.union(spark.read.parquet(on_time).agg(F.max(ts))).agg(F.max("m").alias("m"))
-    except Exception:  # the first batch: there is no table yet
-        newest = newest.agg(F.max("m").alias("m"))
-    marked = batch.join(F.broadcast(newest)).withColumn("_late", F.col(ts) < F.col("m") - F.make_dt_interval(days=F.lit(days))).drop("m").cache()  # one row
-    marked.where("not _late").drop("_late").write.mode("append").parquet(on_time)
-    marked.where("_late").drop("_late").write.mode("append").parquet(late)
-    marked.unpersist()
+def stream_late(spark: SparkSession, batch: DataFrame, batch_id: int, on_time: str, late: str, days: int = 2, ts: str = "ts") -> None:
+    """For foreachBatch: rows more than ``days`` before the newest row so far go to the late table, others to the first one.
+
+    Both tables are parted by batch, and a batch that is run again replaces what it wrote. Each batch leaves its newest time in
+    ``<on_time>-newest``; the next ones read these rows instead of the table.
+    """
+    newest = f"{on_time.rstrip('/')}-newest"
+    put = lambda df, path: df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    put(batch.agg(F.max(ts).alias("m")), newest)
+    so_far = spark.read.parquet(newest).where(F.col("batch") <= batch_id).agg(F.max("m").alias("m"))
+    marked = batch.join(F.broadcast(so_far)).withColumn("_late", F.col(ts) < F.col("m") - F.make_dt_interval(days=F.lit(days))).drop("m")  # one row
+    put(marked.where("not coalesce(_late, false)").drop("_late"), on_time)
+    put(marked.where("_late").drop("_late"), late)
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
