@@ -67,6 +67,88 @@ def test_neighbours_share_rare_ids(spark):
     assert [[d for d, _, _ in w] for w in shard.windows(8)] == [[0, 2], [1, 3]]
 
 
+def plain_windows(docs, idf, mean, size):
+    """BM25 by the book: a seed, then unused documents by score, ties and strangers by place."""
+    unused, seed, at = set(range(len(docs))), -1, 0
+
+    def score(q, d):
+        norm = 1.2 * (1 - 0.75 + 0.75 * len(docs[d]) / mean)
+        return sum(idf[t] * (tf := int((docs[d] == t).sum())) * 2.2 / (tf + norm) for t in set(docs[q].tolist()) if (docs[d] == t).any())
+
+    while unused or seed >= 0:
+        if seed < 0:
+            seed, at = min(unused), 0
+            unused.remove(seed)
+        n = len(docs[seed])
+        if n - at >= size:
+            yield [(seed, at, size)]
+            at += size
+            seed = seed if at < n else -1
+            continue
+        window, room, more = [(seed, at, n - at)], size - n + at, -1
+        ranked = sorted(unused, key=lambda d: (-round(score(seed, d), 4), d))
+        for d in ranked:
+            if not room:
+                break
+            unused.remove(d)
+            put = min(room, len(docs[d]))
+            window.append((d, 0, put))
+            room -= put
+            if put < len(docs[d]):
+                more, at = d, put
+        yield window
+        seed = more
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_equal_plain_bm25(seed):
+    rng = np.random.default_rng(seed)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(1, 40)), 500).astype(np.uint16) for _ in range(60)]
+    docs += [docs[3].copy() for _ in range(25)] + [np.array([9000 + i], np.uint16) for i in range(5)]  # ties, and documents that share nothing
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    assert list(Shard(docs, idf, mean).windows(48)) == list(plain_windows(docs, idf, mean, 48))
+
+
+def test_few_query_terms_are_those_that_weigh_most():
+    docs = [np.array(x, np.uint16) for x in ([5, 6, 7, 7], [6, 30, 31], [7, 40, 41], [5, 50, 51])]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf = np.log1p((4 - df + 0.5) / (df + 0.5))
+    assert next(Shard(docs, idf, 3.5, 1).windows(7)) == [(0, 0, 4), (2, 0, 3)]
+
+
+def plain_difference(sizes, shards):
+    """Differencing with dictionaries: a partial partition is a list of (bytes, groups)."""
+    parts = [[(s, [g])] + [(0, [])] * (shards - 1) for g, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted([(x + y, g + h) for (x, g), (y, h) in zip(a, reversed(b), strict=True)], key=lambda e: -e[0]))
+    return sorted(s for s, _ in parts[0])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=40, unique=True), st.integers(2, 6))
+def test_differencing_equals_a_plain_one(sizes, shards):
+    sums = np.zeros((len(sizes), shards), np.int64)
+    sums[:, 0] = sizes
+    _, total = difference(sums, shards)
+    plain = plain_difference(sizes, shards)
+    # equal spreads may be combined in another order: then the spread is of the same size at least
+    assert sum(total) == sum(plain) and total.max() - total.min() <= max(2 * (plain[-1] - plain[0]), max(sizes))
+    if len(sizes) <= 3:
+        assert sorted(total.tolist()) == plain
+
+
+def test_partitions_are_combined_level_by_level(spark):
+    rows = [(i, f"{i} " + "x" * (i * 37 % 500), "own") for i in range(400)]
+    for fan in (2, 1000):
+        got = shard_documents(spark.createDataFrame(rows, DOCS), shards=4, bucket_groups=30, fan=fan).toPandas()
+        assert len(got) == 400 and sorted(got.doc_id) == list(range(400))
+        by = got.groupby("shard")["size"].sum()
+        assert by.max() - by.min() <= 60
+
+
 def test_related_documents_of_distant_splits_meet(spark):
     """Pairs that share rare words lie at the two ends of a table of many splits and shards."""
     rnd = random.Random(3)

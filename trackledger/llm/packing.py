@@ -52,7 +52,7 @@ def tokenize(docs: DataFrame, ranks: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks)
         try:
-            for part, data, offs in pieces(batches):
+            for part, data, offs in pieces(batches, size=4 << 20):  # fewer distinct words a byte
                 ids, ends = bpe.encode(data, offs)
                 ids = np.insert(ids, ends[1:], end_id).astype("<u2")
                 ends = (ends + np.arange(len(ends))) * 2
@@ -137,6 +137,13 @@ class Shard:
         order = np.argsort(self.term, kind="stable")
         self.post_doc, self.post_weight = owner[order], self.weight[order]
         self.ptr = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
+        # postings of ids that many documents have are kept as full rows, which add up faster
+        common = np.flatnonzero(np.diff(self.ptr) > len(docs) // 16)
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(docs)), np.float32)
+        dense = np.flatnonzero(self.row[self.term] >= 0)
+        self.full[self.row[self.term[dense]], owner[dense]] = self.weight[dense]
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, doc: int) -> Iterator[int]:
@@ -145,8 +152,14 @@ class Shard:
         weight, term = self.weight[a:b], self.term[a:b]
         if self.query_terms and len(term) > self.query_terms:
             term = term[np.argsort(-weight, kind="stable")[: self.query_terms]]
-        spans = [slice(self.ptr[t], self.ptr[t + 1]) for t in term.tolist()]
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), len(self.docs))
+        row = self.row[term]
+        common = np.zeros(len(self.docs), np.float32)
+        for r in row[row >= 0].tolist():  # row by row, so that equal documents get equal sums
+            np.add(common, self.full[r], out=common)
+        rare = term[row < 0]
+        size = self.ptr[rare + 1] - self.ptr[rare]
+        at = np.repeat(self.ptr[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.post_doc[at], self.post_weight[at], len(self.docs)) + common
         score[~self.unused] = -1
         take = 16
         if len(score) > take:
