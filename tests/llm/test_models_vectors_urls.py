@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import random
 
@@ -243,3 +244,107 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r["score"] in ("kept", None) for r in seen["decontamination"].values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed.doc_id) == set(seen["decontamination"])
+
+
+def test_stages_of_empty_tables_and_null_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, None, None, None), (3, "one word " * 3, "en", "s", 27)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, some in (("none", []), ("odd", rows)):
+        docs = spark.createDataFrame(some, schema)
+        for k, (step, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{step}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{step}"))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns and out.count() == len(some)
+            docs = out
+        assert docs.select("doc_id").distinct().count() == len({r[0] for r in some})
+
+
+def plain_verdicts(urls, rules, max_children, min_share, strength=4.0, z=1.96, reject=0.5):
+    """The tree by recursion over dictionaries, for URLs without queries and segments without classes."""
+    rows = []
+    for u in urls:
+        host, _, path = u.partition("://")[2].partition("/")
+        path = f"/{path}" if "/" in u.partition("://")[2] else ""
+        says = None
+        for text, verdict in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+            own, _, tail = text.partition("/")
+            if (host == own or host.endswith("." + own)) and path.startswith("/" + tail):
+                says = verdict
+        rows.append((host, tuple(x for x in path.split("/") if x), says))
+    leaves = collections.defaultdict(lambda: [0, 0, 0])
+    for host, segs, says in rows:
+        leaf = leaves[host, segs]
+        leaf[0] += 1
+        leaf[1] += says == "block"
+        leaf[2] += says is not None
+    place = {}
+
+    def grow(host, template, some, depth):
+        by = collections.Counter()
+        for segs in some:
+            by[segs[depth]] += leaves[host, segs][0]
+        below = collections.defaultdict(list)
+        for segs in some:
+            rare = len(by) > max_children and by[segs[depth]] < min_share * sum(by.values())
+            name = f"{template}/{'/*' if rare else segs[depth]}"
+            if len(segs) == depth + 1:
+                place[host, segs] = (template, name)
+            else:
+                below[name].append(segs)
+        for name, deeper in below.items():
+            grow(host, name, deeper, depth + 1)
+
+    for host in {h for h, _ in leaves}:
+        place[host, ()] = ("", "")
+        grow(host, "", [s for h, s in leaves if h == host and s], 0)
+    branch, siblings, alike, group = (collections.defaultdict(lambda: np.zeros(2)) for _ in range(4))
+    for key, (_, bad, known) in leaves.items():
+        parent, template = place[key]
+        for table, k in ((branch, (key[0], parent, template)), (siblings, (key[0], parent)), (alike, template)):
+            table[k] += (bad, known)
+    merged = {}
+    for (host, parent, template), (bad, known) in branch.items():
+        pooled = (siblings[host, parent][0] + 0.5) / (siblings[host, parent][1] + 1)
+        apart = abs((bad + 0.5) / (known + 1) - pooled) / (pooled * (1 - pooled) / (known + 1)) ** 0.5
+        merged[host, parent, template] = (host, template if not known or apart >= z else parent + "//~")
+        group[merged[host, parent, template]] += (bad, known)
+    bad, known = sum(branch.values())
+    base = (bad + 0.5) / (known + 1) if known else 0.0
+    out = []
+    for host, segs, says in rows:
+        parent, template = place[host, segs]
+        prior = (alike[template][0] + strength * base) / (alike[template][1] + strength)
+        g = group[merged[host, parent, template]]
+        out.append((template, says or ("block" if (g[0] + strength * prior) / (g[1] + strength) >= reject else "allow")))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_equals_a_plain_one(spark, seed):
+    rnd = random.Random(seed)
+    names = ["shop", "news", "*", "~", "/n".strip("/"), "<n>", "<more>"] + ["".join(rnd.choices("uvwxyz", k=4)) for _ in range(60)]
+    urls = [f"http://{rnd.choice(['a.com', 'b.com', 'c.net', 'x.c.net'])}" + "".join(f"/{rnd.choice(names[: rnd.choice([3, 7, 67])])}" for _ in range(rnd.randrange(5))) for _ in range(600)]
+    rules = [("a.com/shop/", "block"), ("b.com/shop/", "allow"), ("c.net/news/", "block"), ("a.com/news/", "allow")]
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, max_children=8, min_share=0.05).collect()}
+    assert [got[i] for i in range(len(urls))] == plain_verdicts(urls, rules, 8, 0.05)
+
+
+def test_very_long_urls(spark):
+    urls = ["http://a.com/" + "x" * 100_000, "http://" + "h" * 50_000 + "/p", "http://a.com/" + "/".join("s" * 3 for _ in range(40)) + "?" + "q" * 100_000]
+    got = url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    assert sorted(r["page_id"] for r in got) == [0, 1, 2]
+
+
+def test_swapped_sentences_score_alike(spark):
+    docs, labels = toxic(spark, random.Random(9))
+    fair, plain = toxicity.train(docs, labels), toxicity.train(docs, labels, swap=0.0)
+
+    def score(model, term):
+        data = np.frombuffer(f"our {term} neighbours are w1 w2".encode(), np.uint8)
+        return model.score(data, np.array([0, len(data)]))[0]
+
+    gap = {m: abs(score(m, "muslims") - score(m, "people")) for m in (fair, plain)}
+    assert gap[fair] < 0.05 and gap[fair] < gap[plain] / 2

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 
-from trackledger.llm import jaccard
+from trackledger.llm import jaccard, suffix_dedup
 from trackledger.llm.common import shingles, span_hashes, text_buffer, with_chunks, with_row_id
 from trackledger.llm.components import components
 from trackledger.llm.decontaminate import FMIndex, find_benchmark, suffix_order
@@ -316,3 +316,32 @@ def test_sketches_fold():
         for i, u in enumerate(sets):
             if width[i] >= w:
                 assert values[place[i]].tobytes() == jaccard.sketch(u, w)
+
+
+def test_items_without_an_id_are_hit_but_not_named(spark, tmp_path):
+    docs = table(spark, tmp_path, ["a b c d e f", "x"])
+    bench = spark.createDataFrame([(None, "b c d"), (7, "c d e"), (8, None)], "item_id long, text string")
+    for block in (8 << 20, 3):
+        got = {r["doc_id"]: r for r in find_benchmark(docs, bench, 3, block).collect()}
+        assert (got[0]["n_hit"], got[0]["item_ids"], got[1]["n_hit"], got[1]["item_ids"]) == (4, ["7"], 0, [])
+
+
+def test_long_texts_are_cut_into_blocks(monkeypatch):
+    rnd = random.Random(4)
+    data, offs = text_buffer(pa.array(["".join(rnd.choices("ab", k=n)) for n in (900, 10, 0, 3000, 256)], pa.string()))
+
+    def windows():
+        at, count, v = window_runs(data, offs, 40)
+        return {int(p): int(h) for a, n, h in zip(at, count, v, strict=True) for p in range(a, a + n)}, int(count.sum())
+
+    whole, n = windows()
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 256)
+    assert windows() == (whole, n) and len(whole) == n == sum(max(0, int(s) - 39) for s in np.diff(offs))
+
+
+def test_lines_and_words_beyond_the_usual(spark, tmp_path):
+    long = "w" * 5000
+    docs = table(spark, tmp_path, [f"{long}\n{long}x", f"{long.upper()} ", f"{long}y", " ".join([long] * 6), " ".join([long] * 6) + " z"])
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_lines(docs, min_docs=2).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert near_duplicates(docs, 2, 50, 100).where("component_id = 3").count() == 2
