@@ -2,7 +2,8 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over everything its predecessor kept, written as Parquet and
 read again before the next. All but the last return the columns that ``docs`` has; columns named like an operator's
-results are set aside and come back unchanged. ``n_chars`` follows the text where a stage changes it.
+results are set aside and come back unchanged. ``n_chars`` follows the text where a stage changes it. Null ids and repeated
+rows are rows like others, except where a stage says so; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def _as_before(docs: DataFrame, done: DataFrame, back: dict[str, str], changed:
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more go. The classifier learns from ``labels`` of documents that are here."""
+    """Documents scored 0.7 or more go. The classifier learns from ``labels`` of documents that are here.
+
+    Null and empty texts have the base score and stay, unless most labels are toxic; repeated rows go or stay together.
+    """
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     own, back = _aside(docs, {"score"})
     return _as_before(docs, score_toxicity(own, model).where("score < 0.7"), back)
@@ -63,14 +67,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the first of them only."""
+    """Lines found in ten documents or more stay in the first of them only, in the order of rows.
+
+    Null text becomes empty text; empty lines always stay; a document may be left with empty text, but it stays.
+    """
     own, back = _aside(docs, {"n_lines", "n_dropped", "_rid", "_drop"})
     return _as_before(docs, drop_lines(own, min_docs=10, keep="first"), back, "n_dropped > 0")
 
 
 @_stage
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by a Jaccard similarity of 0.8 over five-word shingles."""
+    """One document stays of each group linked by a Jaccard similarity of 0.8 over five-word shingles: that of the smallest doc_id.
+
+    Null ids come after all others, and ties go by the order of rows; documents without words (null, empty) all stay.
+    """
     own, back = _aside(docs, {"_rid", "_chunk", "_kept"})
     numbered = with_chunks(own.withColumn("text", F.col("text").cast("string")))
     kept = near_duplicates(numbered, k=5, num=80, den=100, numbered=True).where("kept").select(F.col("rid").alias("_kept"))
@@ -79,7 +89,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten benchmark words or more are cut out of the texts."""
+    """Passages of ten benchmark words or more are cut out of the texts; items of fewer words are cut out as a whole.
+
+    Null texts stay null; items without words or of null text are not sought, those without an id are; a document stays
+    even where nothing is left of it.
+    """
     own, back = _aside(docs, {"n_words", "n_hit", "item_ids", "spans"})
     found = find_benchmark(own, table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10, remove=True)
     return _as_before(docs, found, back, "n_hit > 0")
@@ -87,7 +101,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids, each a seed and its lexical neighbours; ``ids`` are unsigned 32-bit, little-endian."""
+    """Sequences of 2048 ids, each a seed and its lexical neighbours; ``ids`` are unsigned 32-bit, little-endian.
+
+    Null and empty texts are the end id alone; equal scores go by signature, then salt.
+    """
     return pack(docs, ranks_path())
 
 
