@@ -146,8 +146,8 @@ class Shard:
         self.full[self.row[self.term[dense]], owner[dense]] = self.weight[dense]
         self.unused = np.ones(len(docs), bool)
 
-    def neighbours(self, doc: int) -> Iterator[int]:
-        """Unused documents, best first; those that share none of the query's ids come last, in order."""
+    def neighbours(self, doc: int, most: int) -> Iterator[int]:
+        """Unused documents, best first, ``most`` of them; those that share none of the query's ids come last, in order."""
         a, b = self.ends[doc - 1] if doc else 0, self.ends[doc]
         weight, term = self.weight[a:b], self.term[a:b]
         if self.query_terms and len(term) > self.query_terms:
@@ -161,13 +161,17 @@ class Shard:
         at = np.repeat(self.ptr[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         score = np.bincount(self.post_doc[at], self.post_weight[at], len(self.docs)) + common
         score[~self.unused] = -1
-        take = 16
-        if len(score) > take:
-            # all that score as well as the last of them are put in order, so that ties go by place
-            best = np.flatnonzero(score >= max(np.partition(score, -take)[-take], np.nextafter(0, 1)))
-            yield from best[np.lexsort((best, -score[best]))].tolist()
-        rest = np.flatnonzero(self.unused)
-        yield from rest[np.lexsort((rest, -score[rest]))].tolist()
+        some = 16
+        for take in (some, most) if most > some else (most,):  # a window is often full after a few
+            at = np.flatnonzero(score >= 0)
+            if len(at) > take:
+                least = np.partition(score, -take)[-take]
+                above = np.flatnonzero(score > least)
+                # ties at the end go by place, so that many equal documents need no sorting
+                at = np.concatenate([above, np.flatnonzero(score == least)[: take - len(above)]])
+            at = at[np.lexsort((at, -score[at]))]
+            yield from at.tolist()
+            score[at] = -1
 
     def windows(self, size: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, first id, ids); all but the last are full."""
@@ -187,11 +191,9 @@ class Shard:
                 seed = seed if at < n else -1
                 continue
             window, room, more = [(seed, at, n - at)], size - n + at, -1
-            for d in self.neighbours(seed):
+            for d in self.neighbours(seed, room):  # no document is without ids
                 if not room:
                     break
-                if not self.unused[d]:
-                    continue
                 self.unused[d] = False
                 put = min(room, len(self.docs[d]))
                 window.append((d, 0, put))
