@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from trackledger.functions import numbers as M
 from trackledger.operators import accounting, audit, detections, rollup, windows
 from trackledger.plans import planning, status
 from trackledger.sources import listing, snapshots
-from trackledger.sources.shared import scratch
+from trackledger.sources.shared import scratch, written
 from trackledger.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -926,6 +929,68 @@ def _(e: DataFrame) -> DataFrame:
     return detections.failures(done).select("event_id", "error")
 
 
+_FILES = f"f AS (SELECT {DAY.format('ts')} AS day, user_id % 8 AS cam, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL), files AS (SELECT day, 'cam_' || cam || '.txt' AS file_name, n, CASE WHEN n % 5 = 0 THEN '' ELSE CAST(n AS VARCHAR) END AS body FROM f)"
+
+
+def _file_tree(e: DataFrame, root: str, which: str = "true") -> DataFrame:
+    """(day, cam, n, path): tasks write a file for every day and camera under ``root``, with the number of its events; some stay empty."""
+    counts = e.groupBy(N.day_of(c("ts")).alias("day"), (c("user_id") % 8).cast("long").alias("cam")).agg(F.count(F.lit(1)).alias("n"))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            paths = [f"{root}/{day}/cam_{cam}.txt" for day, cam in zip(batch["day"], batch["cam"], strict=True)]
+            for path, n in zip(paths, batch["n"], strict=True):
+                part = f"{root}.part/{uuid.uuid4().hex}"  # moved when it is whole: a feed may be reading
+                for name in (path, part):
+                    os.makedirs(os.path.dirname(name), exist_ok=True)
+                with open(part, "w") as f:
+                    f.write(str(n) if n % 5 else "")
+                os.replace(part, path)
+            yield batch.assign(path=paths)
+
+    return written(counts.where(f"day is not null and {which}").mapInPandas(put, "day string, cam long, n long, path string"))
+
+
+def _even(raw: bytes) -> bool:
+    return int(raw) % 2 == 0
+
+
+def _listed(files: DataFrame, *columns: str) -> DataFrame:
+    return files.select(c("day").cast("string").alias("day"), "file_name", c("size").cast("long").alias("size"), *columns)
+
+
+@query("validate_files", f"WITH {_FILES} SELECT day, file_name, body <> '' AND n % 2 = 0 AS valid FROM files", "events")
+def _(e: DataFrame) -> DataFrame:
+    made = _file_tree(e, scratch(e.sparkSession).removeprefix("file:"))
+    return detections.validate_files(made, _even).select("day", F.concat(F.lit("cam_"), c("cam").cast("string"), F.lit(".txt")).alias("file_name"), "valid")
+
+
+@query("refresh_catalog", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size, CASE WHEN CAST(day AS INT) % 3 = 0 THEN body <> '' AND n % 2 = 0 ELSE body <> '' END AS is_valid FROM files", "events")
+def _(e: DataFrame) -> DataFrame:
+    spark, work = e.sparkSession, scratch(e.sparkSession).removeprefix("file:")
+    root, catalog = f"{work}/files", f"{work}/catalog"
+    _file_tree(e, root, "cast(day as int) % 3 = 0")
+    listing.refresh_catalog(spark, root, catalog, deep=lambda rows: detections.validate_files(rows, _even, "full_path"))
+    _file_tree(e, root, "cast(day as int) % 3 <> 0")
+    listing.refresh_catalog(spark, root, catalog)  # the new days only: what was read before stays
+    return _listed(spark.read.parquet(f"{catalog}/files"), "is_valid")
+
+
+@query("stream_catalog", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size FROM files", "events")
+def _(e: DataFrame) -> DataFrame:
+    spark, work = e.sparkSession, scratch(e.sparkSession).removeprefix("file:")
+    root, catalog = f"{work}/files", f"{work}/catalog"
+    _file_tree(e, root, "cast(day as int) % 3 = 0")
+    feed = feeds.stream_catalog(spark, root, catalog, f"{work}/state")
+    try:
+        feed.processAllAvailable()
+        _file_tree(e, root)  # new days, and days that are written again
+        feed.processAllAvailable()
+    finally:
+        feed.stop()
+    return _listed(spark.read.parquet(catalog))
+
+
 @query("long_files", f"""WITH f AS (SELECT event_id AS name, from_ts, from_ts + CAST(event_id % 120 AS INT) * INTERVAL 1 HOUR AS to_ts FROM copies WHERE copy_no = 0 AND size > 0),
   n AS (SELECT name, len(generate_series({_B.format('from_ts')}, {_B.format('to_ts')}, INTERVAL 20 MINUTE)) AS buckets FROM f) SELECT name, CAST(buckets AS BIGINT) AS buckets FROM n WHERE buckets > 200""", "copies")
 def _(copies: DataFrame) -> DataFrame:
