@@ -122,24 +122,17 @@ class Bpe:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
         bounds = np.append(starts, len(data)).astype(np.int32)
-        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
-        which = coded.indices.to_numpy()
         if len(self.known) > self.most:
             self.known = {}
-        known, encode = self.known, self.core.encode_single_piece
-        lists = []
-        for piece in coded.dictionary.to_pylist():
-            ids = known.get(piece)
+        known, encode, distinct = self.known, self.core.encode_single_piece, coded.dictionary.to_pylist()
+        lists = list(map(known.get, distinct))
+        for i, ids in enumerate(lists):
             if ids is None:
-                ids = known[piece] = encode(piece)
-            lists.append(ids)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        per = size[which]
-        ends = np.cumsum(per)
-        total = int(ends[-1])
-        ids = flat[np.repeat(first[which] - (ends - per), per) + np.arange(total)]
-        before = np.append(0, ends)
-        return ids, before[np.searchsorted(starts, offs, "left")]
+                lists[i] = known[distinct[i]] = encode(distinct[i])
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int32, len(lists)), dtype=np.int32)
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1]))
+        taken = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(flat)).take(coded.indices)
+        before = taken.offsets.to_numpy().astype(np.int64)
+        return taken.flatten().to_numpy(), before[np.searchsorted(starts, offs, "left")]

@@ -52,7 +52,7 @@ def tokenize(docs: DataFrame, ranks: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks)
         try:
-            for part, data, offs in pieces(batches, size=4 << 20):  # fewer distinct words a byte
+            for part, data, offs in pieces(batches, size=8 << 20):  # fewer distinct words a byte
                 ids, ends = bpe.encode(data, offs)
                 ids = np.insert(ids, ends[1:], end_id).astype("<u2")
                 ends = (ends + np.arange(len(ends))) * 2
@@ -67,12 +67,16 @@ def tokenize(docs: DataFrame, ranks: str, end_id: int = 1) -> DataFrame:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each id, in this partition; id -1 counts documents and -2 ids."""
-    seen = np.zeros(1 << 16, np.int64)
+    seen, place, last = np.zeros(1 << 16, np.int64), np.arange(1 << 12), np.zeros(1 << 16, np.int64)
     n_docs = n_ids = 0
     for batch in batches:
         for raw in batch.column("ids"):
             ids = np.frombuffer(raw.as_buffer(), "<u2")
-            seen[np.unique(ids)] += 1
+            if len(ids) > len(place):
+                place = np.arange(2 * len(ids))
+            at = place[: len(ids)]
+            last[ids] = at  # the last place of an id stands for it
+            seen[ids[last[ids] == at]] += 1
             n_docs, n_ids = n_docs + 1, n_ids + len(ids)
     at = np.flatnonzero(seen)
     yield pa.record_batch({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(seen[at], [n_docs, n_ids]), pa.int64())})
