@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 import public_tokenizers
 from tokenizers import Tokenizer
+from trackledger.llm import packing
 from trackledger.llm.bpe import Bpe
 from trackledger.llm.common import text_buffer
 from trackledger.llm.packing import Shard, pack, ranks_path
@@ -203,3 +204,20 @@ def test_shards_hold_equal_texts_together(spark):
 def test_crc_is_of_utf8(spark):
     got = shard_documents(spark.createDataFrame([(1, "né", "x")], DOCS), shards=2).first()
     assert (got["size"], got["text_crc32"]) == (11, zlib.crc32("né".encode()))
+
+
+def test_ranges_of_several_shards_are_read_one_after_the_other(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_RANGES", 2)
+    monkeypatch.setattr(packing, "RANGES_A_TASK", 1)
+    texts = [f"word{i % 7} other{i % 11} thing{i}" * (1 + i % 5) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen: list[int] = []
+    got = packing.pack(docs, packing.ranks_path(), window=64, shard_tokens=500).toPandas()
+    whole = got.groupby("doc_id").agg(length=("length", "sum"), doc_tokens=("doc_tokens", "first"))
+    assert len(whole) == 300 and (whole.length == whole.doc_tokens).all()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 64 and (s.offset == s.length.cumsum() - s.length).all()
+        seen.append(s.length.sum())
+    # each of the shards leaves at most one short window, cut at powers of two
+    shards = got.doc_tokens[~got.doc_id.duplicated()].sum() / 500
+    assert sum(n < 64 for n in seen) <= 6 * (shards + 2)

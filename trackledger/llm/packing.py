@@ -2,9 +2,10 @@
 
 Documents become id arrays (a written table); document frequencies of all ids are counted over the whole corpus (as
 many rows as the vocabulary, so they can be broadcast). A document's *signature* is the ranks of its ``SIGNATURE``
-rarest ids that another document has too. Signatures are cut into ranges of about ``shard_tokens`` ids (bounds from a
-sample, equal signatures salted), and each range is one shard: id arrays are shuffled, so documents with the same
-rarest ids meet wherever they lay, at any size. A shard is indexed (postings by id, BM25 weights with the corpus-wide
+rarest ids that another document has too. Signatures are cut into ranges of about ``shard_tokens`` ids, ``MOST_RANGES``
+at most (bounds from a sample, equal signatures salted): id arrays are shuffled and sorted, so documents with the same
+rarest ids meet wherever they lay, at any size. A range is one shard; one that holds more than two shards' ids is read
+shard by shard, so a task holds no more than that. A shard is indexed (postings by id, BM25 weights with the corpus-wide
 statistics) and fills windows: a seed document, then its best unused neighbours, the last one cut where the window
 ends; what is left of it is the next seed.
 
@@ -17,6 +18,7 @@ null ids are packed as they are; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm.bpe import Bpe
-from trackledger.llm.common import cut, mix, pieces, release, small_batches, table
+from trackledger.llm.common import cut, mix, partitions, pieces, release, small_batches, table
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
 SIGNATURE = 4
-#: Documents from which the bounds of shards are taken: so many for each shard, and so many at least.
-SHARD_SAMPLE, LEAST_SAMPLE = 64, 20_000
+#: Documents from which the bounds of ranges are taken: so many for each range, and so many at least.
+RANGE_SAMPLE, LEAST_SAMPLE = 64, 20_000
+#: Ranges, at most: their sample and bounds pass through the driver. Larger ranges hold several shards, read one after the other.
+MOST_RANGES = 32_768
+RANGES_A_TASK = 16
+SIGN = np.uint64(1 << 63)
 KEY = np.dtype([("sig", np.uint64), ("salt", np.uint64)])
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -118,11 +124,11 @@ def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[tupl
         yield batch, key, size
 
 
-def shard_bounds(key: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
-    """The first keys of all shards but the first, which have about equally many ids in this sample."""
+def range_bounds(key: np.ndarray, size: np.ndarray, ranges: int) -> np.ndarray:
+    """The first keys of all ranges but the first, which have about equally many ids in this sample."""
     order = np.argsort(key, order=("sig", "salt"))
     full = np.cumsum(size[order])
-    at = np.searchsorted(full, full[-1] / shards * np.arange(1, shards)) if len(full) else []
+    at = np.searchsorted(full, full[-1] / ranges * np.arange(1, ranges)) if len(full) else []
     return np.unique(key[order][at]) if len(at) else key[:0]
 
 
@@ -242,53 +248,67 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
     sc = docs.sparkSession.sparkContext
     shared, rank = sc.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5))), sc.broadcast(ranks_of(df))
     mean = max(1.0, n_ids / max(1, n_docs))
-    shards = max(1, -(-n_ids // shard_tokens))
+    ranges = min(MOST_RANGES, max(1, -(-n_ids // shard_tokens)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, key, size in _keyed(batches, rank.value):
             yield pa.record_batch({"key": pa.array([key.tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
 
     bounds = np.zeros(0, KEY)
-    if shards > 1:
-        drawn = tokens.sample(min(1.0, max(LEAST_SAMPLE, SHARD_SAMPLE * shards) / n_docs), seed=5).mapInArrow(sample, "key binary, size binary").collect()
-        bounds = shard_bounds(np.frombuffer(b"".join(r["key"] for r in drawn), KEY), np.frombuffer(b"".join(r["size"] for r in drawn), np.int64), shards)
+    if ranges > 1:
+        drawn = tokens.sample(min(1.0, max(LEAST_SAMPLE, RANGE_SAMPLE * ranges) / n_docs), seed=5).mapInArrow(sample, "key binary, size binary").collect()
+        bounds = range_bounds(np.frombuffer(b"".join(r["key"] for r in drawn), KEY), np.frombuffer(b"".join(r["size"] for r in drawn), np.int64), ranges)
     cuts = sc.broadcast(bounds)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, key, _ in _keyed(batches, rank.value):
-            shard = np.searchsorted(cuts.value, key, "right") if len(cuts.value) else np.zeros(len(key), np.int64)
-            yield pa.record_batch({"shard": pa.array(shard, pa.int64()), "sig": pa.array(key["sig"].view(np.int64)), "salt": pa.array(key["salt"].view(np.int64)), "doc_id": batch.column("doc_id"), "ids": batch.column("ids")})
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.lexsort((t.column("salt").to_numpy().view(np.uint64), t.column("sig").to_numpy().view(np.uint64)))
-        next_id = key[0].as_py() << 33
-        ids, raw = t.column("doc_id").to_pylist(), t.column("ids").to_pylist()
-        ids, docs = [ids[i] for i in order.tolist()], [np.frombuffer(raw[i], "<u2") for i in order.tolist()]
-        parts, rows = [_batch([])], []
-        # bounds come from a sample: what has grown to several shards is cut
-        ends = np.cumsum([len(d) for d in docs])
-        n_cuts = max(1, round(int(ends[-1]) / shard_tokens))
-        edges = [0, *np.searchsorted(ends, ends[-1] / n_cuts * np.arange(1, n_cuts)).tolist(), len(docs)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            held = docs[a:b]
-            for w in Shard(held, shared.value, mean, query_terms).windows(window):
+            part = np.searchsorted(cuts.value, key, "right") if len(cuts.value) else np.zeros(len(key), np.int64)
+            sig, salt = ((key[k] ^ SIGN).view(np.int64) for k in KEY.names)  # signed, in the same order
+            yield pa.record_batch({"range": pa.array(part, pa.int64()), "sig": pa.array(sig), "salt": pa.array(salt), "doc_id": batch.column("doc_id"), "ids": batch.column("ids")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by range, then key; a range that has grown to two shards gives its first half away."""
+        held: deque[tuple[int | None, np.ndarray]] = deque()
+        full, now, next_id = 0, -1, 0
+
+        def packed(n: int) -> Iterator[pa.RecordBatch]:
+            nonlocal next_id, full
+            ids, docs = zip(*(held.popleft() for _ in range(n)), strict=True)
+            full -= sum(map(len, docs))
+            rows = []
+            for w in Shard(list(docs), shared.value, mean, query_terms).windows(window):
                 short = split_tail and sum(x[2] for x in w) < window
                 for sequence in _powers_of_two(w) if short else (w,):
                     offset = 0
-                    for d, at, n in sequence:
-                        rows.append((ids[a + d], at, n, held[d][at : at + n].astype("<u4").tobytes(), len(held[d]), next_id, offset))
-                        offset += n
+                    for d, at, k in sequence:
+                        rows.append((ids[d], at, k, docs[d][at : at + k].astype("<u4").tobytes(), len(docs[d]), next_id, offset))
+                        offset += k
                     next_id += 1
                 if len(rows) >= 2000:
-                    parts.append(_batch(rows))
+                    yield _batch(rows)
                     rows = []
-        parts.append(_batch(rows))
-        return pa.Table.from_batches(parts)
-
-    routed = tokens.mapInArrow(route, "shard long, sig long, salt long, doc_id long, ids binary")
-    return routed.groupBy("shard").applyInArrow(run, OUT)
+            yield _batch(rows)
+
+        for batch in batches:
+            for part, doc_id, raw in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if part != now:
+                    if held:
+                        yield from packed(len(held))
+                    now, next_id = part, part << 44
+                ids = np.frombuffer(raw.as_py(), "<u2")
+                if held and full + len(ids) >= 2 * shard_tokens:
+                    ends = np.cumsum([len(d) for _, d in held])
+                    yield from packed(max(1, int(np.searchsorted(ends, shard_tokens, "right"))))
+                held.append((doc_id, ids))
+                full += len(ids)
+        if held:
+            yield from packed(len(held))
+        release()
+
+    routed = tokens.mapInArrow(route, "range long, sig long, salt long, doc_id long, ids binary")
+    tasks = ranges // RANGES_A_TASK
+    dealt = routed.repartition(tasks, "range") if tasks > partitions(docs) else routed.repartition("range")
+    return dealt.sortWithinPartitions("range", "sig", "salt").drop("sig", "salt").mapInArrow(run, OUT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
