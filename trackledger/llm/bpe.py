@@ -8,6 +8,7 @@ pattern's own classes. Encoding a piece is left to ``tiktoken``; nothing is trai
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -105,6 +106,23 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def special_pattern(added: list[str]) -> re.Pattern[bytes] | None:
+    """What finds the strings of added tokens: the longest that begins first."""
+    return re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True))) if added else None
+
+
+def pieces_with(data: np.ndarray, offs: np.ndarray, special: re.Pattern[bytes] | None) -> np.ndarray:
+    """``piece_starts``, where every added token inside a document is a piece of its own and cuts the text around it."""
+    raw = data.tobytes() if special else b""
+    if not special or not special.search(raw):
+        return piece_starts(data, offs)
+    spans = np.array([m.span() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in special.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+    starts = piece_starts(data, np.unique(np.concatenate([offs, spans.ravel()])))
+    at = np.searchsorted(spans[:, 0], starts, "left") - 1  # the last token that begins before
+    inside = (at >= 0) & (starts < spans[np.maximum(at, 0), 1]) if len(spans) else np.zeros(len(starts), bool)
+    return starts[~inside]
+
+
 class Bpe:
     """Ids of texts under a ``.tiktoken`` rank file; distinct pieces seen before are kept up to ``most``."""
 
