@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trackledger import queries as own
 from trackledger.functions import names as N
 from trackledger.functions import numbers as M
-from trackledger.operators import accounting, audit, detections, rollup, windows
+from trackledger.operators import accounting, audit, detections, folds, rollup, windows
 from trackledger.plans import planning, status
 
 
@@ -217,6 +217,60 @@ def test_folds_of_large_groups_and_null_ends(spark):
             last = last if flagged else e
 
 
+def walk(rows):
+    """Kept rows of one sorted group: (value, threshold or None) in order."""
+    kept, last = [], None
+    for value, threshold in rows:
+        keep = last is None or value >= last
+        kept.append(keep)
+        if keep:
+            last = threshold
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("slice_rows", [3, 10**6])
+def test_greedy_choices_equal_a_walk(spark, seed, slice_rows):
+    rnd = random.Random(seed)
+    rows, expected = [], {}
+    for group in range(4):
+        n = rnd.choice([1, 2, 40])
+        values = [rnd.randrange(60) for _ in range(n)]
+        if seed % 2:
+            values.sort()
+        made = [(v, None if rnd.random() < 0.1 else v + rnd.choice([-3, 0, 1, 4, 4, 25])) for v in values]
+        if seed % 2 == 0:  # as in subsampling: the same step for all, values in any order
+            made = [(v, v + 7) for v in values]
+        for i, keep in enumerate(walk(made)):
+            expected[group, i] = keep
+        rows += [(group, i, v, x) for i, (v, x) in enumerate(made)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, i long, v long, x long").repartition(3)
+    got = folds.keep_greedily(df, ["g"], ["i"], F.col("v"), F.col("x"), slice_rows)
+    assert {(r["g"], r["i"]): r["_kept"] for r in got.collect()} == expected
+
+
+def test_a_hot_day_is_many_tasks(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("cam"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 10).cast("timestamp_ntz").alias("starttime"), F.timestamp_seconds(F.col("id") * 10 + F.pmod(F.xxhash64("id"), F.lit(70))).cast("timestamp_ntz").alias("endtime"))
+    done = audit.overlapping_containers(df, ["cam"], slice_rows=2_000).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tasks are not put together
+    try:
+        tasks = [r["count"] for r in done.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20_000 and len(tasks) > 2 and max(tasks) < 12_000
+    rows = [(r["event_id"] * 10, int(r["endtime"].replace(tzinfo=dt.timezone.utc).timestamp())) for r in df.orderBy("event_id").collect()]
+    kept = [i for i, keep in enumerate(walk(rows)) if keep]
+    assert sorted(r["event_id"] for r in done.where("not flagged").collect()) == kept
+
+
+@pytest.mark.parametrize("slice_rows", [2, 100])
+def test_backward_time_across_slices(spark, slice_rows):
+    rows = [("up", i, i) for i in range(9)] + [("edge", i, t) for i, t in enumerate([1, 2, 2, 3])] + [("inside", i, t) for i, t in enumerate([1, 0, 5, 6])] + [("one", 0, 1), ("none", 0, None), ("none", 1, None)]
+    got = audit.backward_time(spark.createDataFrame(rows, "path string, seq long, ts long"), ["path"], slice_rows=slice_rows)
+    assert {r["path"]: r["has_backward"] for r in got.collect()} == {"up": False, "edge": True, "inside": True, "one": False, "none": False}
+
+
 def test_ranks_of_groups_over_several_partitions(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice(["a", "b", None]), rnd.randrange(40), None if rnd.random() < 0.3 else rnd.random()) for _ in range(500)] + [("c", None, None)]

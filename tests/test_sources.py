@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
 
 import pytest
@@ -10,15 +11,22 @@ from pyspark.sql import functions as F
 
 from trackledger.operators import detections
 from trackledger.plans import status
-from trackledger.sources import listing, shared, snapshots
+from trackledger.sources import listing, shared, snapshots, versions
+from trackledger.sources.versions import Versioned
 from trackledger.streaming import feeds
 
 
+def settle():
+    """Folders that have only just changed are listed once more; wait until they count as settled."""
+    time.sleep(0.05)
+
+
 def tree(root, days=("20260701", "2026-07-02"), n=2):
     for d in days:
         for i in range(n):
             (root / d / "cam-0").mkdir(parents=True, exist_ok=True)
             (root / d / "cam-0" / f"cam-0_2026070{d[-1]}T09000{i}.000000Z--2026070{d[-1]}T09010{i}.000000Z.mp4").write_bytes(b"x" * i)
+    settle()
 
 
 def test_listing_keeps_empty_files(spark, tmp_path):
@@ -38,7 +46,7 @@ def test_only_changed_days_are_listed_anew(spark, tmp_path):
     time.sleep(0.05)
     (root / "20260701" / "cam-0" / "new.mp4").write_bytes(b"abc")
     assert listing.refresh_catalog(spark, str(root), catalog) == ["20260701"]
-    assert spark.read.parquet(f"{catalog}/files").count() == 5
+    assert listing.read_catalog(spark, catalog).count() == 5
     assert listing.refresh_catalog(spark, str(root), catalog, force_recent=2) == ["20260701", "20260702"]
     assert listing.refresh_catalog(spark, str(root), catalog, full=True) == ["20260701", "20260702"]
 
@@ -49,8 +57,10 @@ def test_snapshots_reports_and_history(spark, tmp_path):
     snapshots.write_snapshot(df, path, "20260701")
     snapshots.write_snapshot(df.limit(1), path, "20260702")
     snapshots.write_snapshot(df.limit(2), path, "20260702")
-    assert spark.read.parquet(path).count() == 5
-    assert snapshots.latest_snapshot(spark.read.parquet(path)).count() == 2
+    assert snapshots.read_snapshots(spark, path).count() == 5
+    assert snapshots.latest_snapshot(snapshots.read_snapshots(spark, path)).count() == 2 == snapshots.read_latest_snapshot(spark, path).count()
+    snapshots.write_snapshot(df.limit(0), path, "20260702")
+    assert snapshots.read_snapshots(spark, path).count() == 3 and snapshots.read_latest_snapshot(spark, path).count() == 0
     units = spark.createDataFrame([("20260701", "done"), ("20260701", "missing")], "day string, status string")
     report = status.progress_report({"detect": units, "rpi": None})
     for at in ("2026-07-01T10:00:00", "2026-07-01T11:00:00"):
@@ -72,60 +82,159 @@ def test_detections_of_nothing_still_leave_a_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 0
 
 
-def test_catalog_feed(spark, tmp_path):
-    root = tmp_path / "videos"
-    tree(root)
-    q = feeds.stream_catalog(spark, str(root), str(tmp_path / "cat"), str(tmp_path / "state"))
-    try:
-        q.processAllAvailable()
-        assert spark.read.parquet(str(tmp_path / "cat")).count() == 4
-        os.utime(root / "20260701")
-        time.sleep(0.05)
-        (root / "20260701" / "late.mp4").write_bytes(b"abc")
-        q.processAllAvailable()
-        assert spark.read.parquet(str(tmp_path / "cat")).count() == 5
-    finally:
-        q.stop()
-
-
-def test_files_of_any_time_are_taken_in(spark, tmp_path):
-    """A file that is copied with its old time, and one with the time of the last one seen."""
+def follow(spark, tmp_path):
+    feeds.stream_changes(spark, str(tmp_path / "cat"), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    return sorted((r["change"], r["path"].split("/")[-1], r["version"]) for r in feeds.read_changes(spark, str(tmp_path / "out")).collect())
+
+
+def test_changes_of_a_catalog_are_told_once(spark, tmp_path):
     root = tmp_path / "videos"
-    tree(root)
-    q = feeds.stream_catalog(spark, str(root), str(tmp_path / "cat"), str(tmp_path / "state"))
-    try:
-        q.processAllAvailable()
-        newest = max(p.stat().st_mtime_ns for p in root.rglob("*.mp4"))
-        for name, ns in (("old.mp4", 10**18), ("same.mp4", newest)):
-            time.sleep(0.05)
-            (root / "2026-07-02" / "cam-0" / name).write_bytes(b"abc")
-            os.utime(root / "2026-07-02" / "cam-0" / name, ns=(ns, ns))
-            q.processAllAvailable()
-        assert spark.read.parquet(str(tmp_path / "cat")).count() == 6
-    finally:
-        q.stop()
-
-
-def test_refresh_looks_at_files_of_changed_days_only(spark, tmp_path, monkeypatch):
+    tree(root, days=("20260701",))
+    listing.refresh_catalog(spark, str(root), str(tmp_path / "cat"))
+    first = follow(spark, tmp_path)
+    assert [c for c, _, _ in first] == ["added", "added"]
+    gone = next((root / "20260701" / "cam-0").iterdir())
+    gone.unlink()
+    (root / "20260701" / "late.mp4").write_bytes(b"abc")
+    os.utime(root / "20260701" / "late.mp4", ns=(10**18, 10**18))  # copied with its old time
+    listing.refresh_catalog(spark, str(root), str(tmp_path / "cat"))
+    second = follow(spark, tmp_path)
+    assert second == sorted([*first, ("removed", gone.name, 2), ("added", "late.mp4", 2)])
+    assert follow(spark, tmp_path) == second
+    # the batch that told version 2 runs again
+    commits = tmp_path / "state" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for p in (commits / str(last), commits / f".{last}.crc"):
+        p.unlink(missing_ok=True)
+    assert follow(spark, tmp_path) == second
+
+
+def nested(root, days, hours=(8, 9), n=2):
+    for d in days:
+        for h in hours:
+            folder = root / d[:4] / d[4:6] / d[6:] / f"{h:02d}" / "20"
+            folder.mkdir(parents=True, exist_ok=True)
+            for i in range(n):
+                (folder / f"{i}.mp4").write_bytes(b"x")
+    settle()
+
+
+def paths(spark, catalog):
+    return {r["path"] for r in listing.read_catalog(spark, catalog).collect()}
+
+
+def test_catalog_of_a_nested_tree(spark, tmp_path, monkeypatch):
+    root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
+    nested(root, ["20260701", "20260702", "20260703"])
+    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260701", "20260702", "20260703"]
+    assert len(paths(spark, catalog)) == 12 and listing.refresh_catalog(spark, str(root), catalog) == []
+    time.sleep(0.05)
+    (root / "2026/07/02/09/20/new.mp4").write_bytes(b"abc")
+    for f in (root / "2026/07/01").rglob("*.mp4"):
+        f.unlink()
+    shutil.rmtree(root / "2026/07/03")
+    asked = []
+    monkeypatch.setattr(listing, "files_in", lambda dirs, r, f=listing.files_in: asked.extend(x["dir"] for x in dirs.collect()) or f(dirs, r))
+    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260701", "20260702", "20260703"]
+    assert sorted(asked) == ["2026/07/01/08/20", "2026/07/01/09/20", "2026/07/02/09/20"]  # only what changed, of the deepest folders
+    assert paths(spark, catalog) == {f"2026/07/02/{h}/20/{i}.mp4" for h in ("08", "09") for i in (0, 1)} | {"2026/07/02/09/20/new.mp4"}
+    marks = Versioned(spark, catalog).manifest().where("table = 'files' and stamp is null").collect()
+    assert {r["day"] for r in marks} == {"20260701", "20260703"}
+    assert listing.read_catalog(spark, catalog, "day = '20260702'").count() == 5
+
+
+def test_a_refresh_that_dies_changes_nothing_for_readers(spark, tmp_path, monkeypatch):
+    root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
+    nested(root, ["20260701", "20260702"])
+    listing.refresh_catalog(spark, str(root), catalog)
+    before = paths(spark, catalog)
+    time.sleep(0.05)
+    shutil.rmtree(root / "2026/07/01")
+    nested(root, ["20260704"])
+    monkeypatch.setattr(versions, "put_new", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError, match="died"):
+        listing.refresh_catalog(spark, str(root), catalog)
+    monkeypatch.undo()
+    assert paths(spark, catalog) == before
+    (tmp_path / "catalog" / "commits" / "0000000002").write_text('{"version"')  # a marker that was begun
+    assert paths(spark, catalog) == before
+    reader = listing.read_catalog(spark, catalog)
+    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260701", "20260704"]
+    assert {p[:10] for p in paths(spark, catalog)} == {"2026/07/02", "2026/07/04"}
+    assert reader.count() == len(before)  # a reader keeps the version that it began with
+    Versioned(spark, catalog).vacuum(keep=1)
+    assert {p[:10] for p in paths(spark, catalog)} == {"2026/07/02", "2026/07/04"}
+    kept = {p.parent.name for p in (tmp_path / "catalog" / "data" / "files").glob("*/_key=*")}
+    assert len(kept) == 2  # of what died nothing is left
+    with pytest.raises(FileNotFoundError):
+        listing.refresh_catalog(spark, str(tmp_path / "unmounted"), catalog)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    shared.put_new(spark, str(tmp_path / "x" / "1"), "a")
+    with pytest.raises(Exception, match="exists"):
+        shared.put_new(spark, str(tmp_path / "x" / "1"), "b")
+    assert shared.text_of(spark, str(tmp_path / "x" / "1")) == "a"
+
+
+def test_a_day_of_many_folders_is_listed_by_many_tasks(spark, tmp_path):
+    for h in range(300):
+        (tmp_path / "20260701" / f"{h:03d}").mkdir(parents=True)
+        (tmp_path / "20260701" / f"{h:03d}" / "a").write_bytes(b"")
+    dirs = listing.directories(spark, str(tmp_path), head=5, budget=20)
+    assert dirs.count() == 302 and dirs.distinct().count() == 302
+    files = listing.files_in(dirs, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    assert files.count() == 300
+    by_task = [r["count"] for r in files.groupBy("task").count().collect()]
+    assert len(by_task) == listing._tasks(spark) and max(by_task) < 200
+
+
+def test_refresh_looks_at_files_of_changed_folders_only(spark, tmp_path, monkeypatch):
     root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
     tree(root, n=20)
     listing.refresh_catalog(spark, str(root), catalog)
     seen = []
     monkeypatch.setattr(listing.os, "stat", lambda p, stat=os.stat: seen.append(str(p)) or stat(p))
-    for top in ("20260701", "2026-07-02"):
-        listing._directory_time(str(root), top, 2)
-    assert len(seen) == 4 and not any(p.endswith(".mp4") for p in seen)  # two directories a day
+    list(listing._visit(str(root), "", 100))
+    assert len(seen) == 5 and not any(p.endswith(".mp4") for p in seen)  # the root, and two folders a day
     monkeypatch.undo()
-    read = []
-    monkeypatch.setattr(listing, "read_listing", lambda s, r, tops=None, f=listing.read_listing: read.append(tops) or f(s, r, tops))
-    assert listing.refresh_catalog(spark, str(root), catalog) == [] and read == []
     time.sleep(0.05)
     late = root / "2026-07-02" / "cam-0" / "late.mp4"
     late.write_bytes(b"abc")
     os.utime(late, ns=(10**18, 10**18))
-    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260702"] and read == [["2026-07-02"]]
+    settle()
+    assert listing.refresh_catalog(spark, str(root), catalog) == ["20260702"]
+    late.write_bytes(b"abcdef")  # grows in place
+    assert listing.refresh_catalog(spark, str(root), catalog) == []
+    assert listing.refresh_catalog(spark, str(root), catalog, by_files=True) == ["20260702"]
+    assert listing.read_catalog(spark, catalog).where("size = 6 and file_name = 'late.mp4'").count() == 1
     assert listing.refresh_catalog(spark, str(root), catalog, by_files=True, full=True) == ["20260701", "20260702"]
-    assert spark.read.parquet(f"{catalog}/files").count() == 41
+    assert listing.read_catalog(spark, catalog).count() == 41
+
+
+def test_reports_without_a_stage_read_so(spark, tmp_path):
+    units = spark.createDataFrame([("20260701", "done")], "day string, status string")
+    two = status.progress_report({"detect": units, "rpi": units})
+    snapshots.save_report(two, str(tmp_path), "2026-07-01T10:00:00")
+    snapshots.save_report(two.where("stage = 'detect'"), str(tmp_path), "2026-07-01T10:00:00")
+    loaded = snapshots.load_report(spark, str(tmp_path))
+    assert {r["stage"] for r in loaded["by_day"].collect()} == {"detect"} and loaded["units"].count() == 1
+    assert snapshots.read_history(spark, str(tmp_path / "history"), ["detect", "rpi"]).count() == 1  # told again, kept once
+    snapshots.save_report(two.limit(0), str(tmp_path), "2026-07-01T11:00:00")
+    assert snapshots.load_report(spark, str(tmp_path))["units"].count() == 0
+    assert snapshots.load_report(spark, str(tmp_path), "2026-07-01T10:00:00")["units"].count() == 1
+
+
+def test_ledger_entries_are_kept_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for run, days in (("0", ["a"]), ("1", ["b", "c"]), ("1", ["b", "c"]), ("2", [])):
+        snapshots.append_ledger(spark.createDataFrame([(d,) for d in days], "day string"), path, run)
+    assert sorted(r["day"] for r in snapshots.read_ledger(spark, path).collect()) == ["a", "b", "c"]
+    snapshots.compact_ledger(spark, path)
+    snapshots.append_ledger(spark.createDataFrame([("b",)], "day string"), path, "1")
+    snapshots.append_ledger(spark.createDataFrame([("d",)], "day string"), path, "3")
+    snapshots.compact_ledger(spark, path)
+    assert sorted((r["day"], r["run"]) for r in snapshots.read_ledger(spark, path).collect()) == [("a", "0"), ("b", "1"), ("d", "3")]
 
 
 def test_deeper_check_lists_days_again(spark, tmp_path):
@@ -133,9 +242,9 @@ def test_deeper_check_lists_days_again(spark, tmp_path):
     tree(root, n=3)
     deep = lambda rows: detections.validate_files(rows, lambda data: data != b"x", "full_path")
     assert len(listing.refresh_catalog(spark, str(root), catalog)) == 2
-    assert spark.read.parquet(f"{catalog}/files").where("is_valid").count() == 4  # of each day one is empty
+    assert listing.read_catalog(spark, catalog).where("is_valid").count() == 4  # of each day one is empty
     assert len(listing.refresh_catalog(spark, str(root), catalog, deep=deep)) == 2
-    assert spark.read.parquet(f"{catalog}/files").where("is_valid").count() == 2
+    assert listing.read_catalog(spark, catalog).where("is_valid").count() == 2
     assert listing.refresh_catalog(spark, str(root), catalog, deep=deep) == [] == listing.refresh_catalog(spark, str(root), catalog)
 
 
@@ -144,12 +253,13 @@ def test_sidecar_catalog_is_kept_up_to_date(spark, tmp_path):
     for d in ("20260701", "20260702"):
         (root / d).mkdir(parents=True)
         (root / d / "a.h264").write_bytes(b"x")
+    settle()
     shape = lambda rows: listing.sidecar_catalog(rows, by=("day",))
     listing.refresh_catalog(spark, str(root), catalog, shape=shape)
     time.sleep(0.05)
     (root / "20260702" / "a-detections-c.parquet").write_bytes(b"x")
     assert listing.refresh_catalog(spark, str(root), catalog, shape=shape) == ["20260702"]
-    rows = spark.read.parquet(f"{catalog}/files").collect()
+    rows = listing.read_catalog(spark, catalog).collect()
     assert {(str(r["day"]), r["detections_clahe"]) for r in rows} == {("20260701", False), ("20260702", True)}
 
 

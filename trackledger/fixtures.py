@@ -31,6 +31,7 @@ VIEWS = {
     "outp": """SELECT user_id % 8 AS cam_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS from_dt, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) + INTERVAL '1' HOUR AS to_dt,
         CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) + CAST(event_id % 9 AS INT) * INTERVAL '1' HOUR AS modified_time FROM {events} WHERE event_type = 'purchase'""",
     "frame_seq": "SELECT user_id % 8 AS cam_id, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN ts - INTERVAL '3' HOUR ELSE ts END AS frame_ts, event_id % 50 AS frame_id FROM {events}",
+    "frame_feed": "SELECT user_id % 8 AS cam_id, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN ts - INTERVAL '3' HOUR ELSE ts END AS frame_ts, event_id % 50 AS frame_id, ts AS taken FROM {events}",
     "copies": f"""SELECT event_id, user_id % 8 AS cam_id, ts AS from_ts, ts + {SECONDS} AS to_ts, CAST(c AS INT) AS copy_no, CASE WHEN c = 0 THEN ts ELSE ts + INTERVAL '20' MINUTE END AS bucket_ts,
         CASE WHEN event_id % 17 = 0 AND c = 1 THEN 0 ELSE 100 END AS size
         FROM {{events}} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 AS c) k WHERE event_type = 'view' AND (c = 0 OR event_id % 5 = 0)""",

@@ -84,6 +84,13 @@ def day_key(dirname: Column) -> Column:
     return F.when(dirname.rlike(r"^(\d{8}|\d{4}-\d{2}-\d{2})$"), F.replace(dirname, F.lit("-"), F.lit("")))
 
 
+def day_of_path(path: Column) -> Column:
+    """Day of a path whose first part is a day (see ``day_key``) or whose first three parts are YYYY, MM and DD; else null."""
+    part = lambda i: F.get(F.split(path, "/"), F.lit(i))
+    nested = part(0).rlike("^[0-9]{4}$") & part(1).rlike("^[0-9]{2}$") & part(2).rlike("^[0-9]{2}$")
+    return F.coalesce(day_key(part(0)), F.when(nested, F.concat(part(0), part(1), part(2))))
+
+
 def day_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd")
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.functions.names import bucket_start, day_of
+from trackledger.operators.folds import SLICE_ROWS, keep_greedily
+
 
+def backward_time(points: DataFrame, path: list[str], seq: str = "seq", ts: str = "ts", slice_rows: int = 1_000_000) -> DataFrame:
+    """(path, has_backward): whether any time in a file is not after the one before it.
 
-def backward_time(points: DataFrame, path: list[str], seq: str = "seq", ts: str = "ts") -> DataFrame:
-    """(path, has_backward): whether any time in a file is not after the one before it."""
-    w = Window.partitionBy(*path).orderBy(seq)
-    return points.select(*path, (F.col(ts) <= F.lag(ts).over(w)).alias("_back")).groupBy(*path).agg(F.coalesce(F.bool_or("_back"), F.lit(False)).alias("has_backward"))
+    A file's points are compared in slices of ``seq``; of each slice the first and last time are held against its neighbours'.
+    """
+    w = Window.partitionBy(*path, "_slice").orderBy(seq)
+    back = _sliced(points, seq, slice_rows).select(*path, "_slice", seq, ts, (F.col(ts) <= F.lag(ts).over(w)).alias("_back"))
+    ends = back.groupBy(*path, "_slice").agg(F.coalesce(F.bool_or("_back"), F.lit(False)).alias("_back"), F.min_by(ts, seq).alias("_first"), F.max_by(ts, seq).alias("_last"))
+    edge = F.coalesce(F.col("_first") <= F.lag("_last").over(Window.partitionBy(*path).orderBy("_slice")), F.lit(False))
+    return ends.select(*path, (F.col("_back") | edge).alias("_back")).groupBy(*path).agg(F.bool_or("_back").alias("has_backward"))
 
 
 def container_stats(points: DataFrame, path: list[str], seq: str = "seq", ts: str = "ts") -> DataFrame:
@@ -22,54 +26,28 @@ def container_stats(points: DataFrame, path: list[str], seq: str = "seq", ts: st
     return points.groupBy(*path).agg(F.min_by(ts, seq).alias("first_ts"), F.max_by(ts, seq).alias("last_ts"), F.count(F.lit(1)).alias("n_frames"))
 
 
-Rule = Callable[[int | None, int | None, int | None], tuple[bool, int | None]]
-
-
-def _folded(df: DataFrame, by: list[str], order: list[str], first: str, second: str, rule: Rule) -> DataFrame:
-    """``df`` with _mark: each group's rows in order go through ``rule`` (state, first, second) -> (mark, state); times are microseconds.
-
-    Rows are sorted by Spark and come in batches; one number is carried from row to row, so a group may have any size.
-    """
+def _micros(t: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t.cast("timestamp_ntz"))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        state: int | None = None
-        for batch in batches:
-            a, b = (batch.column(c).cast(pa.int64()).to_pylist() for c in (first, second))
-            marks = []
-            for key, x, y in zip(zip(*(batch.column(c).to_pylist() for c in by), strict=True), a, b, strict=True):
-                if key != group:
-                    group, state = key, None
-                mark, state = rule(state, x, y)
-                marks.append(mark)
-            yield batch.append_column("_mark", pa.array(marks, pa.bool_()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", _mark boolean"
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(walk, schema)
-
-
-def overlapping_containers(files: DataFrame, by: list[str], start: str = "starttime", end: str = "endtime", key: str = "event_id") -> DataFrame:
+def overlapping_containers(files: DataFrame, by: list[str], start: str = "starttime", end: str = "endtime", key: str = "event_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(by, key, start, end, flagged): a file that starts before the last *kept* file of its group has ended is flagged.
 
-    A flagged file doesn't move the end, so a running maximum would flag too much: the fold carries the end of what is kept.
+    A flagged file doesn't move the end, so a running maximum of ends would flag too much. Files without a start are left out; after a kept
+    file without an end the next one is kept.
     """
+    rows = files.where(F.col(start).isNotNull()).select(*by, key, start, end)
+    done = keep_greedily(rows, by, [start, key], _micros(F.col(start)), _micros(F.col(end)), slice_rows)
+    return done.withColumn("flagged", ~F.col("_kept")).drop("_kept")
 
-    def rule(last: int | None, s: int | None, e: int | None) -> tuple[bool, int | None]:
-        return (True, last) if last is not None and s < last else (False, e)
-
-    return _folded(files.where(F.col(start).isNotNull()).select(*by, key, start, end), by, [start, key], start, end, rule).withColumnRenamed("_mark", "flagged")
 
-
-def subsample_frames(frames: DataFrame, by: list[str], ts: str, name: str, seconds: int) -> DataFrame:
+def subsample_frames(frames: DataFrame, by: list[str], ts: str, name: str, seconds: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Frames at least ``seconds`` after the last kept one of their group, by name; those without a time are dropped."""
     if seconds <= 0:
         raise ValueError("the interval is a positive number of seconds")
-    gap = int(seconds * 1_000_000)
-
-    def rule(last: int | None, t: int | None, _: int | None) -> tuple[bool, int | None]:
-        return (True, t) if last is None or t >= last + gap else (False, last)
-
-    return _folded(frames.where(F.col(ts).isNotNull()).select(*by, name, ts), by, [name, ts], ts, ts, rule).where("_mark").drop("_mark")
+    rows = frames.where(F.col(ts).isNotNull()).select(*by, name, ts)
+    at = _micros(F.col(ts))
+    return keep_greedily(rows, by, [name, ts], at, at + int(seconds * 1_000_000), slice_rows).where("_kept").drop("_kept")
 
 
 def duplicate_copies(files: DataFrame, name: list[str], from_ts: str = "from_ts", bucket: str = "bucket_ts", path: str = "path") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,7 @@ from trackledger.functions import numbers as M
 from trackledger.operators import accounting, audit, detections, rollup, windows
 from trackledger.plans import planning, status
 from trackledger.sources import listing, snapshots
-from trackledger.sources.shared import scratch, written
+from trackledger.sources.shared import mounted_scratch, scratch, written
 from trackledger.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -842,21 +844,51 @@ _streamed(
 )
 
 
+BATCHES = 4
+
+
+def _batches(spark: SparkSession, sf_dir: str, view: str, order: str) -> tuple[DataFrame, str]:
+    """A view as a stream of several batches that follow each other in ``order``, and a folder for the run."""
+    work, rows = scratch(spark), frame(spark, sf_dir, view)
+    rows = rows.withColumns({n: c(n).cast("timestamp") for n, t in rows.dtypes if t == "timestamp_ntz"})
+    dealt = written(planning.split_even(rows, [c(order)], BATCHES))
+    for i in range(1, BATCHES + 1):
+        dealt.where(c("worker") == i).drop("worker").coalesce(1).write.mode("append").parquet(f"{work}/in")  # a file each, in turn
+    return feeds.read_parquet_stream(spark, f"{work}/in", rows.schema, files_per_batch=1), work
+
+
 def _monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    source, work = _batches(spark, sf_dir, "frame_seq", "seq")
+    feeds.drain_batches(source.select("cam_id", "seq", "frame_ts"), lambda batch, i: feeds.stream_monotonic(batch, i, f"{work}/out", ["cam_id"]), f"{work}/state")
+    return spark.read.parquet(f"{work}/out").drop("batch").withColumn("frame_ts", N.ntz(c("frame_ts")))
+
+
+QUERIES["stream_monotonic"] = _monotonic
+ORACLE_SQL["stream_monotonic"] = sql(f"WITH {_MONO} SELECT cam_id, seq, frame_ts FROM mono")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        source, work = _stream(spark, sf_dir, "frame_seq")
-        feeds.drain(feeds.stream_monotonic(source), f"{work}/out", f"{work}/state")
+        source, work = _batches(spark, sf_dir, "frame_feed", "seq")
+        cut = feeds.stream_containers(source, silence_s=5400, delay="2 hours")
+        feeds.drain(cut, f"{work}/out", f"{work}/state")
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(f"{work}/out").withColumn("frame_ts", N.ntz(c("frame_ts")))
+    out = spark.read.parquet(f"{work}/out")
+    return out.withColumns({n: N.ntz(c(n)) for n in ("first_ts", "last_ts")})
 
 
-QUERIES["stream_monotonic"] = _monotonic
-ORACLE_SQL["stream_monotonic"] = sql(f"WITH {_MONO} SELECT cam_id, seq, frame_ts FROM mono")
+QUERIES["stream_containers"] = _containers
+ORACLE_SQL["stream_containers"] = sql("""WITH w AS (SELECT max(taken) - INTERVAL 2 HOUR AS mark FROM frame_feed),
+  x AS (SELECT *, CASE WHEN frame_id < lag(frame_id) OVER o OR taken - lag(taken) OVER o > INTERVAL 5400 SECOND THEN 1 ELSE 0 END AS n FROM frame_feed, w WHERE taken <= date_trunc('millisecond', mark) WINDOW o AS (PARTITION BY cam_id ORDER BY seq)),
+  y AS (SELECT *, sum(n) OVER (PARTITION BY cam_id ORDER BY seq) AS container FROM x),
+  z AS (SELECT cam_id, CAST(container AS BIGINT) AS container, arg_min(frame_ts, seq) AS first_ts, arg_max(frame_ts, seq) AS last_ts, count(*) AS n_frames, max(taken) AS taken, max(container) OVER (PARTITION BY cam_id) AS newest FROM y GROUP BY cam_id, container)
+  SELECT cam_id, container, first_ts, last_ts, n_frames FROM z, w WHERE container < newest OR taken + INTERVAL 5400 SECOND < date_trunc('millisecond', mark)""")
 
 
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -885,7 +917,26 @@ def _(e: DataFrame) -> DataFrame:
     snapshots.write_snapshot(rows.where("event_id % 2 = 0"), path, "20260701")
     snapshots.write_snapshot(rows, path, "20260702")
     snapshots.write_snapshot(rows.where("event_id % 2 <> 0 and event_id % 3 = 0"), path, "20260702")  # replaces that one and no other
-    return e.sparkSession.read.parquet(path).withColumn("snapshot", c("snapshot").cast("string"))
+    return snapshots.read_snapshots(e.sparkSession, path)
+
+
+@query("empty_snapshot", "SELECT event_id, '20260701' AS snapshot FROM events WHERE event_id % 2 = 0", "events")
+def _(e: DataFrame) -> DataFrame:
+    path, rows = scratch(e.sparkSession), e.select("event_id")
+    snapshots.write_snapshot(rows.where("event_id % 2 = 0"), path, "20260701")
+    snapshots.write_snapshot(rows, path, "20260702")
+    snapshots.write_snapshot(rows.where("event_id < 0"), path, "20260702")  # replaced by nothing: the newest snapshot is empty now
+    return snapshots.read_snapshots(e.sparkSession, path).unionByName(snapshots.read_latest_snapshot(e.sparkSession, path))
+
+
+@query("append_ledger", "SELECT event_id, CAST(event_id % 3 AS VARCHAR) AS run FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, '0' FROM events WHERE event_id % 6 = 0", "events")
+def _(e: DataFrame) -> DataFrame:
+    path, spark = scratch(e.sparkSession), e.sparkSession
+    for run in ("0", "1", "1", "2"):
+        snapshots.append_ledger(e.where(c("event_id") % 3 == int(run)).select("event_id"), path, run)
+    snapshots.compact_ledger(spark, path)
+    snapshots.append_ledger(e.where("event_id % 6 = 0").select("event_id"), path, "0")  # told again, with fewer entries, after compaction
+    return snapshots.read_ledger(spark, path)
 
 
 @query("write_report", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type || ' ' || CAST(user_id AS VARCHAR) AS tags FROM events", "events")
@@ -961,34 +1012,110 @@ def _listed(files: DataFrame, *columns: str) -> DataFrame:
 
 @query("validate_files", f"WITH {_FILES} SELECT day, file_name, body <> '' AND n % 2 = 0 AS valid FROM files", "events")
 def _(e: DataFrame) -> DataFrame:
-    made = _file_tree(e, scratch(e.sparkSession).removeprefix("file:"))
+    made = _file_tree(e, mounted_scratch(e.sparkSession))
     return detections.validate_files(made, _even).select("day", F.concat(F.lit("cam_"), c("cam").cast("string"), F.lit(".txt")).alias("file_name"), "valid")
 
 
 @query("refresh_catalog", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size, CASE WHEN CAST(day AS INT) % 3 = 0 THEN body <> '' AND n % 2 = 0 ELSE body <> '' END AS is_valid FROM files", "events")
 def _(e: DataFrame) -> DataFrame:
-    spark, work = e.sparkSession, scratch(e.sparkSession).removeprefix("file:")
+    spark, work = e.sparkSession, mounted_scratch(e.sparkSession)
     root, catalog = f"{work}/files", f"{work}/catalog"
     _file_tree(e, root, "cast(day as int) % 3 = 0")
     listing.refresh_catalog(spark, root, catalog, deep=lambda rows: detections.validate_files(rows, _even, "full_path"))
     _file_tree(e, root, "cast(day as int) % 3 <> 0")
     listing.refresh_catalog(spark, root, catalog)  # the new days only: what was read before stays
-    return _listed(spark.read.parquet(f"{catalog}/files"), "is_valid")
+    return _listed(listing.read_catalog(spark, catalog), "is_valid")
 
 
-@query("stream_catalog", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size FROM files", "events")
+@query("read_listing", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size FROM files", "events")
+def _(e: DataFrame) -> DataFrame:
+    root = f"{mounted_scratch(e.sparkSession)}/files"
+    _file_tree(e, root)
+    return _listed(listing.read_listing(e.sparkSession, root).withColumn("day", c("top")))
+
+
+_HOURS = f"h AS (SELECT {DAY.format('ts')} AS day, CAST(hour(ts) AS INT) AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)"
+
+
+def _nested_tree(e: DataFrame, root: str) -> DataFrame:
+    """Tasks write a file for every hour of events, at YYYY/MM/DD/HH/n.txt below ``root``; its size is the number of events modulo 100."""
+    hours = e.groupBy(N.day_of(c("ts")).alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")).where("day is not null")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for day, hour, n in batch.itertuples(index=False):
+                folder = f"{root}/{day[:4]}/{day[4:6]}/{day[6:]}/{hour:02d}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/n.txt", "w") as f:
+                    f.write("x" * (n % 100))
+            yield batch
+
+    return written(hours.mapInPandas(put, "day string, hour int, n long"))
+
+
+def _thinned(hours: DataFrame, root: str) -> DataFrame:
+    """Tasks take files away: of every fifth day all files, every seventh day altogether; and add one to hour 3 of every eleventh."""
+
+    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for day, hour in batch[["day", "hour"]].itertuples(index=False):
+                folder = f"{root}/{day[:4]}/{day[4:6]}/{day[6:]}"
+                if int(day) % 7 == 0:
+                    shutil.rmtree(f"{folder}/{hour:02d}", ignore_errors=True)
+                    with contextlib.suppress(OSError):  # the day's folder goes with its last hour
+                        os.rmdir(folder)
+                elif int(day) % 5 == 0:
+                    with contextlib.suppress(FileNotFoundError):  # a task may run twice
+                        os.remove(f"{folder}/{hour:02d}/n.txt")
+                elif int(day) % 11 == 0 and hour == 3:
+                    with open(f"{folder}/{hour:02d}/more.txt", "w") as f:
+                        f.write("more")
+            yield batch
+
+    return written(hours.mapInPandas(change, "day string, hour int, n long"))
+
+
+_NESTED = f"""{_HOURS}, was AS (SELECT day, replace(strftime(strptime(day, '%Y%m%d'), '%Y/%m/%d'), ' ', '') || '/' || lpad(CAST(hour AS VARCHAR), 2, '0') AS dir, hour, n % 100 AS size FROM h),
+  now_ AS (SELECT day, dir || '/n.txt' AS path, size FROM was WHERE CAST(day AS INT) % 7 <> 0 AND CAST(day AS INT) % 5 <> 0 UNION ALL SELECT day, dir || '/more.txt', 4 FROM was WHERE CAST(day AS INT) % 7 <> 0 AND CAST(day AS INT) % 5 <> 0 AND CAST(day AS INT) % 11 = 0 AND hour = 3)"""
+
+
+@query("nested_catalog", f"WITH {_NESTED} SELECT day, path, CAST(size AS BIGINT) AS size FROM now_", "events")
 def _(e: DataFrame) -> DataFrame:
-    spark, work = e.sparkSession, scratch(e.sparkSession).removeprefix("file:")
+    spark, work = e.sparkSession, mounted_scratch(e.sparkSession)
     root, catalog = f"{work}/files", f"{work}/catalog"
-    _file_tree(e, root, "cast(day as int) % 3 = 0")
-    feed = feeds.stream_catalog(spark, root, catalog, f"{work}/state")
-    try:
-        feed.processAllAvailable()
-        _file_tree(e, root)  # new days, and days that are written again
-        feed.processAllAvailable()
-    finally:
-        feed.stop()
-    return _listed(spark.read.parquet(catalog))
+    hours = _nested_tree(e, root)
+    listing.refresh_catalog(spark, root, catalog)
+    _thinned(hours, root)
+    listing.refresh_catalog(spark, root, catalog)
+    return listing.read_catalog(spark, catalog).select("day", "path", "size")
+
+
+@query("stream_changes", f"""WITH {_NESTED} SELECT 'added' AS change, day, dir || '/n.txt' AS path, CAST(size AS BIGINT) AS size, CAST(1 AS BIGINT) AS version FROM was
+  UNION ALL SELECT 'removed', day, dir || '/n.txt', CAST(size AS BIGINT), 2 FROM was WHERE CAST(day AS INT) % 7 = 0 OR CAST(day AS INT) % 5 = 0
+  UNION ALL SELECT 'added', day, path, CAST(size AS BIGINT), 2 FROM now_ WHERE path LIKE '%more.txt'""", "events")
+def _(e: DataFrame) -> DataFrame:
+    spark, work = e.sparkSession, mounted_scratch(e.sparkSession)
+    root, catalog, out = f"{work}/files", f"{work}/catalog", f"{work}/changes"
+    hours = _nested_tree(e, root)
+    listing.refresh_catalog(spark, root, catalog)
+    feeds.stream_changes(spark, catalog, out, f"{work}/state", once=True).awaitTermination()
+    _thinned(hours, root)
+    listing.refresh_catalog(spark, root, catalog)
+    for _ in range(2):  # it goes on where it stopped; started again without a new commit, it tells nothing more
+        feeds.stream_changes(spark, catalog, out, f"{work}/state", once=True).awaitTermination()
+    return feeds.read_changes(spark, out).select("change", "day", "path", "size", "version")
+
+
+@query("stream_catalog", f"WITH {_FILES} SELECT day, file_name, CAST(length(body) AS BIGINT) AS size FROM files", "events")
+def _(e: DataFrame) -> DataFrame:
+    spark, work = e.sparkSession, mounted_scratch(e.sparkSession)
+    root, catalog, out = f"{work}/files", f"{work}/catalog", f"{work}/changes"
+    for which in ("cast(day as int) % 3 = 0", "true"):  # new days, and days that are written again
+        _file_tree(e, root, which)
+        listing.refresh_catalog(spark, root, catalog)
+        feeds.stream_changes(spark, catalog, out, f"{work}/state", once=True).awaitTermination()
+    told = feeds.read_changes(spark, out)
+    return _listed(listing.newest_copy(told, ["path"], "version").where("change <> 'removed'"))
 
 
 @query("long_files", f"""WITH f AS (SELECT event_id AS name, from_ts, from_ts + CAST(event_id % 120 AS INT) * INTERVAL 1 HOUR AS to_ts FROM copies WHERE copy_no = 0 AND size > 0),

@@ -1,150 +1,117 @@
-"""File listings: a data source that keeps empty files, and catalogs made of listings."""
+"""File listings by tasks (empty files are kept), and catalogs made of listings."""
 
 from __future__ import annotations
 
-import datetime
 import os
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
 
-from trackledger.functions.names import day_key, day_of, parse_name, stem
-from trackledger.sources.shared import exists, written
+from trackledger.functions.names import day_of, day_of_path, parse_name, stem
+from trackledger.sources.shared import written
+from trackledger.sources.versions import Versioned
 
 LISTING = "top string, path string, file_name string, mtime timestamp, size long"
-
-
-class TopDir(InputPartition):
-    """One first-level directory (a day, as a rule): one task."""
-
-    def __init__(self, root: str, top: str):
-        self.root, self.top = root, top
-
-
-def _tops(root: str) -> list[str]:
-    return sorted(e.name for e in os.scandir(root) if e.is_dir())
-
-
-def _walk(root: str, top: str) -> Iterator[tuple]:
-    base = os.path.join(root, top) if top else root
-    for d, subdirs, names in os.walk(base):
-        if not top:
-            subdirs.clear()  # the root's own files; its directories are other partitions
-        for name in sorted(names):
-            path = os.path.join(d, name)
-            try:
-                s = os.stat(path)
-            except OSError:
-                continue  # it went away meanwhile
-            yield top, os.path.relpath(path, root), name, datetime.datetime.fromtimestamp(s.st_mtime, datetime.timezone.utc), s.st_size
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, tops: list[str] | None):
-        self.root, self.tops = root, tops
-
-    def partitions(self) -> list[InputPartition]:
-        found = _tops(self.root)
-        return [TopDir(self.root, t) for t in found if self.tops is None or t in self.tops] + ([TopDir(self.root, "")] if self.tops is None else [])
-
-    def read(self, partition: TopDir) -> Iterator[tuple]:
-        return _walk(partition.root, partition.top)
-
-
-DIRECTORIES = "top string, latest_mtime timestamp"
-
-
-def _directory_time(root: str, top: str, depth: int) -> int:
-    """The newest time, in nanoseconds, of a directory and the directories below it down to ``depth``; files are not looked at."""
-    newest, level = 0, [os.path.join(root, top)]
-    for left in range(depth, -1, -1):
-        below = []
-        for d in level:
-            try:
-                newest = max(newest, os.stat(d).st_mtime_ns)
-                if left:
-                    below += [e.path for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
-            except OSError:
-                continue  # it went away meanwhile
-        level = below
-    return newest
-
-
-def _as_time(ns: int) -> datetime.datetime:
-    return datetime.datetime.fromtimestamp(0, datetime.timezone.utc) + datetime.timedelta(microseconds=ns // 1000)
-
-
-class _DirectoryReader(DataSourceReader):
-    def __init__(self, root: str, depth: int):
-        self.root, self.depth = root, depth
-
-    def partitions(self) -> list[InputPartition]:
-        return [TopDir(self.root, t) for t in _tops(self.root)]
-
-    def read(self, partition: TopDir) -> Iterator[tuple]:
-        yield partition.top, _as_time(_directory_time(partition.root, partition.top, self.depth))
-
-
-class _DirectoryStreamReader(SimpleDataSourceStreamReader):
-    """First-level directories whose time differs from the one seen; the offset has the time of each of them.
-
-    A file that arrives changes the time of its directory to now, whatever time the file itself has.
+VISITED = "dir string, mtime_ns long, open boolean"
+#: Folders that the driver, or a task for each folder it is given, looks into before it hands the rest on.
+HEAD, BUDGET = 64, 1_000
+#: A folder that changed in these last nanoseconds is looked at again the next time; more than one tick of the file system's clock.
+SETTLE_NS = 20_000_000
+
+
+def _visit(root: str, start: str, most: int) -> Iterator[tuple[str, int | None, bool]]:
+    """(dir, time in nanoseconds, False) of ``start`` and folders below it, ``most`` at most; the others met are given back open."""
+    todo, seen = [start], 0
+    while todo:
+        d = todo.pop()
+        if seen >= most:
+            yield d, None, True
+            continue
+        seen += 1
+        try:
+            ns = os.stat(os.path.join(root, d)).st_mtime_ns  # before its entries are read: what comes in later shows the next time
+            with os.scandir(os.path.join(root, d)) as entries:
+                todo += sorted((f"{d}/{e.name}" if d else e.name for e in entries if e.is_dir(follow_symlinks=False)), reverse=True)
+        except OSError:
+            continue  # it went away meanwhile
+        # the clock of a file system ticks: what comes in within the same tick would not show, so a time as new as that is not kept as it is
+        yield d, ns if time.time_ns() - ns > SETTLE_NS else ns - 1, False
+
+
+def directories(spark: SparkSession, root: str, head: int = HEAD, budget: int = BUDGET) -> DataFrame:
+    """(dir, mtime_ns) of all folders under ``root`` (itself as ''), at any depth; no file is looked at.
+
+    The driver looks into ``head`` folders. Those left are dealt to tasks, which look into ``budget`` folders for each one given and hand
+    on what is still left, so that neither a day of many folders nor a deep tree is one task. A missing ``root`` is an error.
     """
+    os.stat(root)
+    first = list(_visit(root, "", head))
+    found = spark.createDataFrame(first, VISITED)
 
-    def __init__(self, root: str, depth: int):
-        self.root, self.depth = root, depth
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("dir").to_pylist():
+                rows = list(_visit(root, d, budget))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["dir", "mtime_ns", "open"])
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {}
+    done, todo = [found.where("not open")], found.where("open")
+    more = any(o for _, _, o in first)
+    while more:
+        step = written(todo.select("dir").repartition(_tasks(spark), "dir").mapInArrow(go, VISITED))
+        done.append(step.where("not open"))
+        todo = step.where("open")
+        more = not todo.isEmpty()
+    return reduce(DataFrame.union, done).select("dir", "mtime_ns")
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = {t: _directory_time(self.root, t, self.depth) for t in _tops(self.root)}
-        return self.readBetweenOffsets(start, now), now
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([(t, _as_time(ns)) for t, ns in end.items() if start.get(t) != ns])
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-class DirectoryTimes(DataSource):
-    """``spark.read.format("directory_times").option("depth", 2).load(root)``: when each first-level directory last got or lost an entry."""
+def files_in(dirs: DataFrame, root: str) -> DataFrame:
+    """(dir, top, path, file_name, mtime, size) of the files that lie in these folders themselves; folders are dealt to tasks."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "directory_times"
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["dir", "top", "path", "file_name", "mtime", "size"], [pa.string()] * 4 + [pa.timestamp("us", "UTC"), pa.int64()]
+        for batch in batches:
+            for d in batch.column("dir").to_pylist():
+                for rows in _runs(_files(root, d), 10_000):
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def schema(self) -> str:
-        return DIRECTORIES
+    return dirs.select("dir").repartition(_tasks(dirs.sparkSession), "dir").mapInArrow(read, f"dir string, {LISTING}")
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _DirectoryReader(self.options["path"], int(self.options.get("depth", 2)))
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _DirectoryStreamReader(self.options["path"], int(self.options.get("depth", 2)))
+def _files(root: str, d: str) -> Iterator[tuple]:
+    try:
+        with os.scandir(os.path.join(root, d)) as entries:
+            for e in entries:
+                try:
+                    if not e.is_dir(follow_symlinks=False):
+                        s = e.stat()
+                        yield d, d.split("/")[0], f"{d}/{e.name}" if d else e.name, e.name, s.st_mtime_ns // 1000, s.st_size
+                except OSError:
+                    continue  # it went away meanwhile
+    except OSError:
+        return
 
 
-class FileListing(DataSource):
-    """``spark.read.format("file_listing").option("tops", "20260701,20260702").load(root)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_listing"
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        tops = self.options.get("tops")
-        return _Reader(self.options["path"], tops.split(",") if tops else None)
+def _runs(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    while run := list(islice(rows, size)):
+        yield run
 
 
 def read_listing(spark: SparkSession, root: str, tops: list[str] | None = None) -> DataFrame:
-    """(top, path, file_name, mtime, size) of all files under ``root``, or under some of its directories; one task for each."""
-    spark.dataSource.register(FileListing)
-    reader = spark.read.format("file_listing")
-    return (reader.option("tops", ",".join(tops)) if tops else reader).load(root)
+    """(top, path, file_name, mtime, size) of all files under ``root``, or under some of its first-level folders."""
+    dirs = directories(spark, root)
+    if tops is not None:
+        dirs = dirs.where(F.substring_index("dir", "/", 1).isin(tops))
+    return files_in(dirs, root).drop("dir")
 
 
 def latest_mtime_by_day(listing: DataFrame, day: str = "day", mtime: str = "mtime") -> DataFrame:
@@ -207,49 +174,66 @@ def union_days(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def directory_times(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
-    """(top, latest_mtime) of the directories under ``root``: newest time of each and of its directories down to ``depth``; no file is looked at."""
-    spark.dataSource.register(DirectoryTimes)
-    return spark.read.format("directory_times").option("depth", depth).load(root)
+Check = Callable[[DataFrame], DataFrame]
 
 
-Check = Callable[[DataFrame], DataFrame]
+def read_catalog(spark: SparkSession, catalog: str, where: Column | str | None = None, version: int | None = None) -> DataFrame:
+    """The catalog's rows, of one version (the newest); ``where`` is a condition on ``day`` by which folders are chosen."""
+    table = Versioned(spark, catalog)
+    return table.read("shaped" if "shaped" in table.described(version)["schemas"] else "files", where, version)
 
 
 def refresh_catalog(spark: SparkSession, root: str, catalog: str, force_recent: int = 0, full: bool = False, by_files: bool = False, deep: Check | None = None, shape: Check | None = None) -> list[str]:
-    """Bring the catalog at ``catalog`` (Parquet by day) up to date with the files under ``root``; returns the days listed anew.
-
-    A day is stale if a directory of it has changed since the manifest; files are looked at only in stale days. A file that grows in
-    place does not change its directory: list such days again with ``force_recent``, or compare files' times (``by_files``, a full walk).
-    Rows have is_valid: a file is not empty; with ``deep`` (listing with a ``full_path`` -> with a boolean ``valid``, as ``validate_files``
-    gives) its content is read, and days that were checked less deeply are stale. ``shape`` turns the listing of the stale days into other
-    rows that keep ``day`` (``sidecar_catalog`` with ``by=("day",)``). Times are written before files are listed, so what comes in
-    meanwhile is found the next time.
+    """Bring the catalog at ``catalog`` up to date with the files under ``root``; returns the days whose rows were replaced.
+
+    Days are folders ``YYYYMMDD`` or ``YYYY-MM-DD``, or ``YYYY/MM/DD`` in three levels; what lies below them may be nested at will. A folder
+    is listed again if its time is another than the one kept for it, or if it is new; files of other folders are not looked at, their rows are
+    carried on. Folders and days that are gone lose their rows, and a day without files is an empty day. A file that grows in place does not
+    change its folder: list the newest days again with ``force_recent``, or compare files' times and sizes (``by_files``, a full walk).
+
+    Rows have is_valid: a file is not empty; with ``deep`` (listing with a ``full_path`` -> with a boolean ``valid``, as ``validate_files`` gives)
+    its content is read, and folders that were checked less deeply are stale. ``shape`` turns a day's listing into other rows that keep ``day``
+    (``sidecar_catalog`` with ``by=("day",)``). Rows and times become current in one commit: until then, and if the refresh dies, readers
+    see the version before. Times are taken before files are listed, so what comes in meanwhile is found the next time.
     """
+    table = Versioned(spark, catalog)
+    base = table.current()
+    now = written(directories(spark, root).withColumn("day", day_of_path(F.col("dir"))).where("day is not null"))
+    nothing = spark.createDataFrame([], "day string, dir string, mtime_ns long, deep boolean")
+    seen = table.read("directories", version=base) if base else nothing
+    both = now.join(seen.select("dir", F.col("day").alias("_day"), F.col("mtime_ns").alias("_ns"), "deep"), "dir", "full_outer")
+    stale = F.col("_ns").isNull() | (F.col("mtime_ns") != F.col("_ns")) | F.lit(full)
+    if deep:
+        stale = stale | ~F.coalesce("deep", F.lit(False))
+    if force_recent:
+        recent = [r["day"] for r in now.select("day").distinct().orderBy(F.desc("day")).limit(force_recent).collect()]
+        stale = stale | F.col("day").isin(recent)
+    kind = F.when(F.col("mtime_ns").isNull(), "gone").when(stale, "stale").otherwise("same")
+    state = both.select("dir", F.coalesce("day", "_day").alias("day"), "mtime_ns", F.coalesce("deep", F.lit(False)).alias("deep"), kind.alias("kind"))
     if by_files:
-        times = read_listing(spark, root).select("top", F.col("mtime").alias("latest_mtime"))
-    else:
-        times = directory_times(spark, root)
-    day = times.select(day_key(F.col("top")).alias("day"), "latest_mtime").where("day is not null")
-    now = written(latest_mtime_by_day(day, mtime="latest_mtime"))
-    if full or not exists(spark, f"{catalog}/manifest"):
-        days, seen = now.select("day"), None
-    else:
-        seen = written(spark.read.parquet(f"{catalog}/manifest"))
-        days = stale_days(now, seen, force_recent)
-        if deep:
-            days = days.union(seen.where("not deep").join(now, "day", "left_semi").select("day")).distinct()
-    names = sorted(r["day"] for r in days.collect())  # a name for each day
-    tops = [t for t in _tops(root) if t.replace("-", "") in names]
-    if tops:
-        rows = read_listing(spark, root, tops).withColumns({"day": day_key(F.col("top")), "is_valid": valid_basic(F.col("size"))})
-        if deep:
-            rows = deep(rows.withColumn("full_path", F.concat(F.lit(f"{root}/"), "path"))).withColumn("is_valid", F.col("valid")).drop("valid", "full_path")
-        (shape(rows) if shape else rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{catalog}/files")
-    checked = F.lit(deep is not None) if seen is None else F.when(F.col("day").isin(names), deep is not None).otherwise(F.coalesce("deep", F.lit(False)))
-    manifest = now.withColumn("deep", checked) if seen is None else now.join(seen.select("day", "deep"), "day", "left").withColumn("deep", checked)
-    manifest.write.mode("overwrite").parquet(f"{catalog}/manifest")
-    return names
+        sums = lambda df, n: df.groupBy("dir").agg(F.struct(F.count(F.lit(1)), F.max("mtime"), F.sum("size")).alias(n))
+        here, kept = sums(files_in(now, root), "_here"), sums(table.read("files", version=base), "_kept") if base else None
+        if kept is not None:
+            state = state.join(here, "dir", "left").join(kept, "dir", "left").withColumn("kind", F.when((F.col("kind") == "same") & ~F.col("_here").eqNullSafe(F.col("_kept")), "stale").otherwise(F.col("kind"))).drop("_here", "_kept")
+    state = written(state)
+    days = sorted(r["day"] for r in state.where("kind <> 'same'").select("day").distinct().collect())  # a name for each day
+    if not days and base:
+        return days
+    touched = state.where(F.col("day").isin(days))
+    rows = files_in(touched.where("kind = 'stale'"), root).withColumns({"day": day_of_path(F.col("dir")), "is_valid": valid_basic(F.col("size"))})
+    if deep:
+        rows = deep(rows.withColumn("full_path", F.concat(F.lit(f"{root}/"), "path"))).withColumn("is_valid", F.col("valid")).drop("valid", "full_path")
+    rows = rows.select("day", "dir", "top", "path", "file_name", "mtime", "size", "is_valid")
+    if base:
+        carried = table.read("files", F.col("day").isin(days), base)
+        rows = rows.unionByName(carried.join(touched.where("kind = 'same'").select("dir"), "dir", "left_semi"))
+    rows = written(rows)  # files are looked at once
+    checked = F.when(F.col("kind") == "stale", deep is not None).otherwise(F.col("deep"))
+    tables = {"files": rows, "directories": touched.where("kind <> 'gone'").select("day", "dir", "mtime_ns", checked.alias("deep"))}
+    if shape:
+        tables["shaped"] = shape(rows)
+    table.commit(tables, ["day"], touched.select("day"))
+    return days
 
 
 def newest_copy(df: DataFrame, key: list[str], order: str) -> DataFrame:

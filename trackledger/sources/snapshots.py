@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trackledger.operators.rollup import by_day, stage_summary
+from trackledger.sources.shared import written
+from trackledger.sources.versions import Versioned
 
 HISTORY = "generated_at string, stages map<string, struct<pct: double, pending: bigint>>"
 LEDGER = "ts string, jobname string, dates array<string>, job_ids array<string>, source string"
@@ -18,12 +22,29 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
-    """Write one dated snapshot; writing it again replaces it and no other."""
-    df.withColumn("snapshot", F.lit(snapshot)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(path)
+    """Write one dated snapshot; writing it again replaces it and no other, also by nothing."""
+    rows = df.withColumn("snapshot", F.lit(snapshot))
+    Versioned(df.sparkSession, path).commit({"rows": rows}, ["snapshot"], _one(df.sparkSession, "snapshot", snapshot))
+
+
+def _one(spark: SparkSession, column: str, value: str) -> DataFrame:
+    return spark.createDataFrame([(value,)], f"{column} string")
+
+
+def read_snapshots(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """Rows of all snapshots, or of those that a condition on ``snapshot`` chooses; folders of others are not read."""
+    return Versioned(spark, path).read("rows", where)
+
+
+def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest snapshot, which may be empty. Only the manifest's names are looked at to find it."""
+    table = Versioned(spark, path)
+    newest = table.manifest().where(F.col("table") == "rows").agg(F.max("snapshot")).first()[0]
+    return table.read("rows", F.col("snapshot") == newest)
 
 
 def latest_snapshot(df: DataFrame, snapshot: str = "snapshot") -> DataFrame:
-    """Rows of the newest snapshot."""
+    """Rows of the newest snapshot of a table that holds several."""
     return df.join(F.broadcast(df.agg(F.max(snapshot).alias(snapshot))), snapshot, "left_semi")  # one row
 
 
@@ -34,10 +55,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_history(summary: DataFrame, path: str, generated_at: str) -> None:
-    """Append one line with every stage's share and pending units."""
+    """Append one line with every stage's share and pending units; a line of the same time is replaced, so a replay adds nothing."""
     stage = F.struct(F.col("pct"), F.col("pending"))
     line = summary.where("stage is not null").agg(F.map_from_entries(F.collect_list(F.struct("stage", stage))).alias("stages")).select(F.lit(generated_at).alias("generated_at"), "stages")
-    line.coalesce(1).write.mode("append").json(path)
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/at={re.sub('[^0-9A-Za-z-]', '_', generated_at)}")
 
 
 def load_history(lines: DataFrame, stages: list[str], column: str = "line") -> DataFrame:
@@ -48,28 +69,55 @@ def load_history(lines: DataFrame, stages: list[str], column: str = "line") -> D
 
 
 def read_history(spark: SparkSession, path: str, stages: list[str]) -> DataFrame:
-    return load_history(spark.read.text(path).withColumnRenamed("value", "line"), stages)
+    return load_history(spark.read.option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "line"), stages)
+
+
+REPORT = ("units", "by_day", "summary")
 
 
 def save_report(report: DataFrame, path: str, generated_at: str) -> None:
-    """Units, days and summary of one report, by time and stage, and its line of history."""
-    for name, df in (("units", report), ("by_day", by_day(report, "stage")), ("summary", stage_summary(report))):
-        stamped = df.withColumn("generated_at", F.lit(generated_at))
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(["generated_at"] if name == "summary" else ["generated_at", "stage"])).parquet(f"{path}/{name}")
+    """Units, days and summary of one report in one commit, and its line of history; saved again, it replaces what was there, stages left out too."""
+    tables = {"units": report, "by_day": by_day(report, "stage"), "summary": stage_summary(report)}
+    stamped = {name: df.withColumn("generated_at", F.lit(generated_at)) for name, df in tables.items()}
+    Versioned(report.sparkSession, f"{path}/tables").commit(stamped, ["generated_at"], _one(report.sparkSession, "generated_at", generated_at))
     append_history(stage_summary(report), f"{path}/history", generated_at)
 
 
 def load_report(spark: SparkSession, path: str, generated_at: str | None = None) -> dict[str, DataFrame]:
     """The tables of the report of that time, or of the newest."""
-    out = {}
-    for name in ("units", "by_day", "summary"):
-        df = spark.read.option("recursiveFileLookup", False).parquet(f"{path}/{name}").withColumn("generated_at", F.col("generated_at").cast("string"))
-        out[name] = df.where(F.col("generated_at") == generated_at) if generated_at else latest_snapshot(df, "generated_at")
-    return out
-
-
-def append_ledger(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("append").json(path)
+    saved = Versioned(spark, f"{path}/tables")
+    at = generated_at or saved.manifest().agg(F.max("generated_at")).first()[0]
+    return {name: saved.read(name, F.col("generated_at") == at) for name in REPORT}
+
+
+def append_ledger(df: DataFrame, path: str, run: str) -> None:
+    """Add a run's (or batch's) entries; a run that is told again replaces its own entries, also where they were compacted meanwhile."""
+    table, spark = Versioned(spark=df.sparkSession, path=path), df.sparkSession
+    rows = df.withColumns({"run": F.lit(run), "part": F.lit(run)})
+    if table.current():
+        held = table.read("runs").where(F.col("run") == run).select("part").distinct().collect()  # one row
+        if held:
+            part = held[0]["part"]
+            same = table.read("entries", F.col("part") == part).where(F.col("run") != run)
+            rows = written(same.unionByName(rows.withColumn("part", F.lit(part))))
+            known = table.read("runs", F.col("part") == part)
+            table.commit({"entries": rows, "runs": written(known)}, ["part"], _one(spark, "part", part))
+            return
+    table.commit({"entries": rows, "runs": spark.createDataFrame([(run, run)], "run string, part string")}, ["part"], _one(spark, "part", run))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All entries, with the run that told them."""
+    return Versioned(spark, path).read("entries").drop("part")
+
+
+def compact_ledger(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Put the entries of all runs into one part and delete what the newest ``keep`` versions don't need; every run stays known."""
+    table = Versioned(spark, path)
+    parts = table.manifest().select("part").distinct()
+    both = {name: written(table.read(name).withColumn("part", F.lit("compacted"))) for name in ("entries", "runs")}
+    table.commit(both, ["part"], written(parts))
+    table.vacuum(keep)
 
 
 def recent_submissions(ledger: DataFrame, names: list[str] | None = None, last: int = 20) -> DataFrame:

@@ -1,36 +1,49 @@
-"""The same questions over streams: catalogs fed by file arrivals, hourly counts, guards, late rows."""
+"""The same questions over streams: what catalogs gain and lose, hourly counts, guards, containers, late rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from trackledger.functions.names import day_key
-from trackledger.sources.listing import DirectoryTimes, FileListing
+from trackledger.operators.audit import monotonic_frames
+from trackledger.sources.shared import exists, names_in, put_new, text_of, written
+from trackledger.sources.versions import Versioned
 
 
-def stream_catalog(spark: SparkSession, root: str, catalog: str, checkpoint: str) -> StreamingQuery:
-    """List the days whose directories have changed and replace them in the catalog; it goes on with the next changes.
+def stream_changes(spark: SparkSession, catalog: str, out: str, checkpoint: str, table: str = "files", identity: tuple[str, ...] = ("path",), once: bool = False) -> StreamingQuery:
+    """Follow a catalog (``refresh_catalog``): what each of its commits added, removed or changed goes to ``out``; see ``read_changes``.
 
-    Changes are told by directories, so a file is taken in whatever time it has itself.
+    The catalog's markers are the stream, so the driver looks at no folder of files; what differs is read by Spark, from the days that a
+    commit replaced only. Each batch first notes from which version to which it goes, so a batch that is run again, or a restart,
+    tells the same changes once more in the same place. Versions must be kept (``Versioned.vacuum``) until they have been followed.
     """
-    spark.dataSource.register(DirectoryTimes)
-    spark.dataSource.register(FileListing)
-    feed = spark.readStream.format("directory_times").load(root).where(day_key(F.col("top")).isNotNull())
+    source = Versioned(spark, catalog)
 
-    def take(batch: DataFrame, _: int) -> None:
-        tops = [r["top"] for r in batch.select("top").distinct().collect()]  # a name for each changed day
-        if tops:
-            rows = batch.sparkSession.read.format("file_listing").option("tops", ",".join(tops)).load(root).withColumn("day", day_key(F.col("top")))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(catalog)
+    def take(batch: DataFrame, batch_id: int) -> None:
+        note = f"{out}/told/{batch_id:010d}"
+        if not exists(spark, note):
+            before = [n for n in names_in(spark, f"{out}/told") if n < f"{batch_id:010d}"]
+            since = int(text_of(spark, f"{out}/told/{before[-1]}").split()[1]) if before else 0
+            put_new(spark, note, f"{since} {source.current()}")
+        since, until = map(int, text_of(spark, note).split())
+        if until > since:
+            source.changes(table, list(identity), since, until).withColumn("version", F.lit(until).cast("long")).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
 
-    return feed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    markers = spark.readStream.schema("version long").json(f"{catalog}/commits")
+    writer = markers.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="0 seconds")).start()
+
+
+def read_changes(spark: SparkSession, out: str) -> DataFrame:
+    """What ``stream_changes`` has told so far: change, the table's columns, version."""
+    return spark.read.parquet(f"{out}/events").drop("batch")
 
 
 def stream_hourly_units(events: DataFrame, delay: str = "2 days", ts: str = "ts") -> DataFrame:
@@ -39,30 +52,109 @@ def stream_hourly_units(events: DataFrame, delay: str = "2 days", ts: str = "ts"
     return counted.select("cam_id", F.col("window.start").alias("from_dt"), "n")
 
 
-class _Monotonic(StatefulProcessor):
-    """State per camera: the time of the last frame that was let through."""
+def _put(df: DataFrame, path: str, batch_id: int) -> None:
+    """A batch's own folder of a table; a batch that is run again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def stream_monotonic(batch: DataFrame, batch_id: int, out: str, by: list[str], seq: str = "seq", ts: str = "frame_ts", forget: str = "30 days") -> None:
+    """For foreachBatch: the batch's frames later than all before them, per group, across batches, into ``out`` (by batch).
+
+    The batch is ordered by Spark in slices (``monotonic_frames``), so a group of any size is many tasks and none holds it. What is kept
+    between batches is one time for each group, in ``<out>-last``, by batch: a batch reads that of the one before and writes its own, so
+    it can be run again. A group whose last frame is more than ``forget`` older than the newest of all is forgotten. Batches must follow
+    each other in order of ``seq``; within a batch any order will do.
+    """
+    spark = batch.sparkSession
+    last = f"{out.rstrip('/')}-last"
+    rows = written(batch)
+    before = spark.read.parquet(f"{last}/batch={batch_id - 1}") if batch_id and exists(spark, f"{last}/batch={batch_id - 1}") else rows.select(*by, F.col(ts).alias("_last")).limit(0)
+    kept = monotonic_frames(rows, by, seq, ts).join(before, by, "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_last")
+    newest = before.unionByName(rows.groupBy(*by).agg(F.max(ts).alias("_last"))).groupBy(*by).agg(F.max("_last").alias("_last"))
+    limit = newest.agg(F.max("_last").alias("_most"))
+    _put(newest.join(F.broadcast(limit), F.col("_last") >= F.col("_most") - F.expr(f"interval {forget}"), "left_semi"), last, batch_id)  # one row
+    _put(kept, out, batch_id)
+
+
+CONTAINER = "cam_id long, container long, first_ts timestamp, last_ts timestamp, n_frames long"
+
+
+class _Containers(StatefulProcessor):
+    """State per camera: frames that the watermark has not passed, and the container that is open."""
+
+    def __init__(self, silence_s: float):
+        self.silence = pd.Timedelta(seconds=silence_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, ts timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("seq")
-        last = self.last.get()[1] if self.last.exists() else None
-        most = batch["frame_ts"].cummax().shift()
-        if last is not None:
-            most = most.fillna(pd.Timestamp(last)).clip(lower=pd.Timestamp(last))
-        kept = batch[most.isna() | (batch["frame_ts"] > most)]
-        if len(kept):
-            self.last.update((int(kept["seq"].iloc[-1]), kept["frame_ts"].iloc[-1].to_pydatetime()))
-        yield kept.assign(cam_id=key[0])[["cam_id", "seq", "frame_ts"]]
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "seq long, frame_ts timestamp, frame_id long, taken timestamp")
+        self.open = handle.getValueState("open", "container long, first_ts timestamp, last_ts timestamp, n_frames long, frame_id long, taken timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            self.waiting.appendList(list(part[["seq", "frame_ts", "frame_id", "taken"]].itertuples(index=False, name=None)))
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Frames that the watermark has passed go on in order; an open container that has been silent for long enough is closed."""
+        now = pd.Timestamp(watermark_ms, unit="ms")
+        waiting = pd.DataFrame(list(self.waiting.get()), columns=["seq", "frame_ts", "frame_id", "taken"])
+        if len(waiting):
+            ready = waiting["taken"] <= now
+            rest = waiting[~ready]
+            yield from self._go_on(key, waiting[ready].sort_values("seq"))
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put(list(rest.itertuples(index=False, name=None)))
+                self.handle.registerTimer(_ms(rest["taken"].min()))
+        if self.open.exists():
+            number, first, last, n, _, taken = self.open.get()
+            until = pd.Timestamp(taken) + self.silence
+            if until < now:
+                self.open.update((number, first, last, 0, None, taken))  # its number is kept for the next one
+                if n:
+                    yield pd.DataFrame([(key[0], number, first, last, n)], columns=["cam_id", "container", "first_ts", "last_ts", "n_frames"])
+            elif n:
+                self.handle.registerTimer(_ms(until))
+
+    def _go_on(self, key: tuple, frames: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(frames):
+            return
+        number, first, last, n, frame_id, taken = self.open.get() if self.open.exists() else (-1, None, None, 0, None, None)
+        before_id, before_taken = frames["frame_id"].shift(), frames["taken"].shift()
+        new = (frames["frame_id"] < before_id) | (frames["taken"] - before_taken > self.silence)
+        new.iloc[0] = not n or frames["frame_id"].iloc[0] < frame_id or frames["taken"].iloc[0] - pd.Timestamp(taken) > self.silence
+        group = new.cumsum()
+        made = frames.assign(container=number + group).groupby("container", sort=True).agg(first_ts=("frame_ts", "first"), last_ts=("frame_ts", "last"), n_frames=("seq", "size")).reset_index()
+        if n and number == made["container"].iloc[0]:  # the open one goes on
+            made.loc[0, "first_ts"], made.loc[0, "n_frames"] = first, n + int(made.loc[0, "n_frames"])
+        elif n:
+            made = pd.concat([pd.DataFrame([(number, first, last, n)], columns=made.columns), made], ignore_index=True)
+        tail = made.iloc[-1]
+        self.open.update((int(tail["container"]), tail["first_ts"].to_pydatetime(), tail["last_ts"].to_pydatetime(), int(tail["n_frames"]), int(frames["frame_id"].iloc[-1]), frames["taken"].iloc[-1].to_pydatetime()))
+        yield made.iloc[:-1].assign(cam_id=key[0])[["cam_id", "container", "first_ts", "last_ts", "n_frames"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_monotonic(frames: DataFrame) -> DataFrame:
-    """Frames (cam_id, seq, frame_ts timestamp) later than all before them, per camera, across batches. Needs the RocksDB state store."""
-    return frames.groupBy("cam_id").transformWithStateInPandas(_Monotonic(), "cam_id long, seq long, frame_ts timestamp", "Append", "None")
+def _ms(t: pd.Timestamp) -> int:
+    """The first whole millisecond after ``t``."""
+    return int(pd.Timestamp(t).value // 1_000_000) + 1
+
+
+def stream_containers(frames: DataFrame, silence_s: float, delay: str) -> DataFrame:
+    """Closed containers (cam_id, container, first_ts, last_ts, n_frames) of frames (cam_id, seq, frame_ts, frame_id, taken).
+
+    ``taken`` is when a frame was taken by the recorder's clock, which rises with ``seq``; frames may come in up to ``delay`` late. They wait
+    until the watermark has passed them and go on in order of ``seq``. A container ends where the frame's number falls or the
+    recorder is silent for more than ``silence_s``; a timer gives it out even if nothing follows. Needs the RocksDB state store. The state of a camera is its
+    frames of the last ``delay`` and one open container, whatever it sent before.
+    """
+    return frames.withWatermark("taken", delay).groupBy("cam_id").transformWithStateInPandas(_Containers(silence_s), CONTAINER, "Append", "EventTime")
 
 
 def stream_dedup(containers: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -85,12 +177,18 @@ def stream_late(spark: SparkSession, batch: DataFrame, batch_id: int, on_time: s
     put(marked.where("_late").drop("_late"), late)
 
 
-def read_parquet_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Files of a Parquet table as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_parquet_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Files of a Parquet table as a stream, so many in a batch at most."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over all that is there now, into Parquet."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def drain_batches(df: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream over all that is there now, batch by batch."""
+    df.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
