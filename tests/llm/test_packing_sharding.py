@@ -25,18 +25,16 @@ TEXTS = ["", None, "a", "It's we'll  do\n\n", "né 漢字 ½ ²\t\tx", "the quic
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def bpe():
-    return Bpe(ranks_path())
+    return Bpe(ranks_path(), packing.SPECIAL)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab'stremvld  \n\t　\xa0éß漢１²½!\"-😀\x0b\x1c\x85")), max_size=25), max_size=8))
+@given(st.lists(st.lists(st.sampled_from([*"ab'stremvld  \n\t　\xa0éß漢１²½!\"-😀\x0b\x1c\x85", "<|endoftext|>", "<|endof", "text|>"]), max_size=25).map("".join), max_size=8))
 def test_ids_equal_the_tokenizer(reference, bpe, texts):
     data, offs = text_buffer(pa.array(texts, pa.string()))
     ids, ends = bpe.encode(data, offs)
@@ -44,6 +42,16 @@ def test_ids_equal_the_tokenizer(reference, bpe, texts):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == expected
 
 
+def test_added_tokens_may_be_ordinary_text(reference):
+    plain = Tokenizer.from_str(reference.to_str())
+    plain.encode_special_tokens = True
+    data, offs = text_buffer(pa.array(["abc<|endoftext|>def", "<|endof", "text|>"]))
+    for bpe, library in ((Bpe(ranks_path()), plain), (Bpe(ranks_path(), packing.SPECIAL), reference)):
+        ids, ends = bpe.encode(data, offs)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in library.encode_batch(["abc<|endoftext|>def", "<|endof", "text|>"], add_special_tokens=False)]
+    assert 50256 in reference.encode("abc<|endoftext|>def").ids
+
+
 def test_every_id_is_packed_once(spark, reference):
     rows = [(i, t, "own") for i, t in enumerate(TEXTS)] + [(None, "no id", "own"), (4, TEXTS[4], "own")]
     got = pack(spark.createDataFrame(rows, DOCS), ranks_path(), window=64).toPandas()

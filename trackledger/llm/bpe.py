@@ -124,19 +124,23 @@ def pieces_with(data: np.ndarray, offs: np.ndarray, special: re.Pattern[bytes] |
 
 
 class Bpe:
-    """Ids of texts under a ``.tiktoken`` rank file; distinct pieces seen before are kept up to ``most``."""
+    """Ids of texts under a ``.tiktoken`` rank file; distinct pieces seen before are kept up to ``most``.
 
-    def __init__(self, path: str, most: int = 200_000):
+    ``special`` gives the ids of added tokens: their strings inside a text are one id each. Without it they are ordinary text.
+    """
+
+    def __init__(self, path: str, special: dict[str, int] | None = None, most: int = 200_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.special, self.added = special_pattern(list(special or {})), {t.encode(): [i] for t, i in (special or {}).items()}
         self.known: dict[bytes, np.ndarray] = {}
         self.most = most
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after the other, and the n + 1 offsets of the documents in them."""
         n_docs = len(offs) - 1
-        starts = piece_starts(data, offs)
+        starts = pieces_with(data, offs, self.special)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
         bounds = np.append(starts, len(data)).astype(np.int32)
@@ -148,7 +152,7 @@ class Bpe:
         lists = list(map(known.get, distinct))
         for i, ids in enumerate(lists):
             if ids is None:
-                lists[i] = known[distinct[i]] = encode(distinct[i])
+                lists[i] = known[distinct[i]] = self.added.get(distinct[i]) or encode(distinct[i])
         ends = np.cumsum(np.fromiter(map(len, lists), np.int32, len(lists)), dtype=np.int32)
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1]))
         taken = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(flat)).take(coded.indices)

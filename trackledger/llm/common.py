@@ -79,11 +79,16 @@ def finished(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
                 result = cut(result)
         finally:
             drop_tables(spark, made)
-    if (outer := _recorded.get()) is not None:
-        outer.extend(last)
+    keep(last)
     return result
 
 
+def keep(paths: list[str]) -> None:
+    """Tables that outlive the block they were cut in: the one around it records them, if there is one."""
+    if (outer := _recorded.get()) is not None:
+        outer.extend(paths)
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows, so that they stay apart even where doc_id repeats or is null.
 

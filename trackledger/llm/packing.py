@@ -39,24 +39,28 @@ RANGE_SAMPLE, LEAST_SAMPLE = 64, 20_000
 #: Ranges, at most: their sample and bounds pass through the driver. Larger ranges hold several shards, read one after the other.
 MOST_RANGES = 32_768
 RANGES_A_TASK = 16
+#: The public tokenizer's added token.
+SPECIAL = {"<|endoftext|>": 50256}
 SIGN = np.uint64(1 << 63)
 KEY = np.dtype([("sig", np.uint64), ("salt", np.uint64)])
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(2)
-def _bpe(path: str) -> Bpe:
-    return Bpe(path)
+def _bpe(path: str, special: tuple[tuple[str, int], ...]) -> Bpe:
+    return Bpe(path, dict(special))
 
 
-def tokenize(docs: DataFrame, ranks: str, end_id: int = 1) -> DataFrame:
+def tokenize(docs: DataFrame, ranks: str, end_id: int = 1, special: dict[str, int] | None = SPECIAL) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 16-bit ids of every whole text, closed by ``end_id``.
 
-    ``ranks`` is the path of a ``.tiktoken`` file with fewer than 65,536 ids, present on every node.
+    ``ranks`` is the path of a ``.tiktoken`` file with fewer than 65,536 ids, present on every node. The strings of ``special`` inside a text
+    are their one id, as tokenizer libraries take them by default; with None they are ordinary text.
     """
+    added = tuple(sorted((special or {}).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(ranks)
+        bpe = _bpe(ranks, added)
         try:
             for part, data, offs in pieces(batches, size=8 << 20):  # fewer distinct words a byte
                 ids, ends = bpe.encode(data, offs)
@@ -229,16 +233,16 @@ def _powers_of_two(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[in
                 out, room = [], 1 << left.bit_length() - 1 if left else 0
 
 
-def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, shard_tokens: int = 2_000_000, split_tail: bool = True, query_terms: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, shard_tokens: int = 2_000_000, split_tail: bool = True, query_terms: int | None = None, special: dict[str, int] | None = SPECIAL) -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` ids; one row for each piece of a document.
 
     Columns: doc_id, start (ids of its document before the piece), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (in the sequence). Each id lies in exactly one piece. Each shard's last sequence
     may be short; with ``split_tail`` it is cut at powers of two. A seed is searched with all its ids, or with the
-    ``query_terms`` that weigh most in it.
+    ``query_terms`` that weigh most in it. ``special``: see ``tokenize``.
     """
     small_batches(docs.sparkSession)
-    tokens = cut(tokenize(docs, ranks, end_id))
+    tokens = cut(tokenize(docs, ranks, end_id, special))
     found = tokens.mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most vocabulary + 2 rows
     counts = {r["id"]: r["n"] for r in found}
     n_docs, n_ids = counts.pop(-1, 0), counts.pop(-2, 0)
