@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import cut, drop_tables, recorded, table, with_chunks
+from trackledger.llm.common import cut, drop_tables, keep, recorded, table, with_chunks
 from trackledger.llm.decontaminate import find_benchmark
 from trackledger.llm.jaccard import near_duplicates
 from trackledger.llm.line_dedup import drop_lines
@@ -22,19 +22,23 @@ from trackledger.llm.packing import pack, ranks_path
 from trackledger.llm.toxicity import score_toxicity, train
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Work tables that the rows of the last stage called are read from.
-_work: list[str] = []
 
 
 def _stage(stage: Stage) -> Stage:
-    """A stage's rows are written before the next one begins: then the tables that it worked with are deleted."""
+    """A stage that needed work tables writes its rows, too, and deletes those tables: nothing that is called later touches its result."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _work)
         with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _work.extend(made)
+            try:
+                out = stage(spark, docs, sf_dir)
+                if not made:
+                    return out
+                with recorded() as last:
+                    out = cut(out)
+            finally:
+                drop_tables(spark, made)
+        keep(last)
         return out
 
     return run
@@ -121,8 +125,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; a stage's rows are deleted when the next one's are written, the last one's stay."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        with recorded() as made:
+            docs = stage(spark, docs, sf_dir)
+            if not made:
+                docs = cut(docs)
+        drop_tables(spark, before)
+        before = made
+    return docs
