@@ -217,6 +217,76 @@ def test_folds_of_large_groups_and_null_ends(spark):
             last = last if flagged else e
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("hours", [1, 7, 24])
+def test_windows_of_given_days_equal_a_theta_join(spark, hours, seed):
+    rnd = random.Random(seed)
+    base = dt.datetime(2026, 6, 28)
+    when = lambda: base + dt.timedelta(hours=rnd.randrange(200), minutes=rnd.choice([0, 0, 13]))
+    rows = [(rnd.choice([1, 2, None]), s, s + dt.timedelta(minutes=rnd.choice([0, 20, 60, 500, 5000, -30, 60 * 24 * 3650])) if rnd.random() < 0.9 else None, when(), 1) for s in (when() for _ in range(60))]
+    days = ["20260701", "20260702", "20270101", "19691231"]
+    src, asked = spark.createDataFrame(rows, SRC), spark.createDataFrame([(d,) for d in [*days, None, days[0]]], "day string")
+    expected = {}
+    for day in days:
+        midnight = dt.datetime.strptime(day, "%Y%m%d")
+        for h in range(0, 24, hours):
+            a, b = midnight + dt.timedelta(hours=h), min(midnight + dt.timedelta(hours=h + hours), midnight + dt.timedelta(days=1))
+            for cam, s, e, m, _ in rows:
+                if cam is not None and e is not None and s <= e and s < b and e > a:
+                    expected[cam, a, b] = max(m, expected.get((cam, a, b), m))
+    got = windows.window_units(src, hours, asked).collect()
+    assert {(r["cam_id"], r["from_dt"], r["to_dt"]): r["latest_src_mtime"] for r in got} == expected and len(got) == len(expected)
+
+
+def test_a_wrong_end_costs_tens_of_rows(spark):
+    span = spark.range(1).select(windows.window_span(F.lit("2026-07-01 10:30:00").cast("timestamp_ntz"), F.lit("2036-07-01 10:30:00").cast("timestamp_ntz")).alias("s"))
+    r = span.select("s.lo", "s.hi", windows.tree_nodes(F.col("s.lo"), F.col("s.hi")).alias("n")).first()
+    covered = sorted(x for n in r["n"] for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"]))
+    assert len(r["n"]) <= 34 and covered == list(range(r["lo"], r["hi"] + 1)) and len(covered) > 87_000
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("minutes", [20, 25])
+def test_missing_buckets_are_a_difference_of_ranges(spark, seed, minutes):
+    rnd = random.Random(seed)
+    buckets = [t(h, m) for h in range(6) for m in range(0, 60, minutes)]
+    of = lambda x: x.replace(minute=x.minute // minutes * minutes, second=0, microsecond=0)
+    files = [(rnd.choice("abc"), s, s + dt.timedelta(minutes=rnd.choice([-5, 0, 7, 90, 200])) if rnd.random() < 0.9 else None, rnd.choice([0, 1, None, 5])) for s in (t(rnd.random() * 4) for _ in range(8))]
+    there = [(rnd.choice("abc"), rnd.choice(buckets), rnd.choice([0, 3, 3])) for _ in range(25)]
+    f, x = spark.createDataFrame(files, "name string, from_ts timestamp_ntz, to_ts timestamp_ntz, size long"), spark.createDataFrame(there, "name string, bucket timestamp_ntz, size long")
+    wide = [t(h, m) for h in range(-1, 12) for m in range(0, 60, minutes)]
+    expected = {(n, b) for n, s, e, size in files if size for b in wide if of(s) <= b <= of(max(s, e) if e else s)} - {(n, b) for n, b, size in there if size}
+    got = audit.missing_bucket_copies(f, x, minutes).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    ranges = audit.missing_bucket_ranges(f, x, minutes).collect()
+    assert sum(r["n_buckets"] for r in ranges) == len(expected)
+    apart = {(r["name"], r["first_bucket"]) for r in ranges}
+    before = lambda b: max(w for w in wide if w < b)
+    assert apart == {(n, b) for n, b in expected if (n, before(b)) not in expected}
+
+
+def test_a_wrong_end_is_one_missing_range(spark):
+    f = spark.createDataFrame([("a", t(0), t(0) + dt.timedelta(days=3650), 1)], "name string, from_ts timestamp_ntz, to_ts timestamp_ntz, size long")
+    r = audit.missing_bucket_ranges(f, spark.createDataFrame([("a", t(0), 1)], "name string, bucket timestamp_ntz, size long")).collect()
+    assert [(x["first_bucket"], x["n_buckets"]) for x in r] == [(t(0, 20), 3650 * 72)]
+
+
+@pytest.mark.parametrize("cell_points", [2, 10**6])
+def test_links_equal_brute_force_at_edges(spark, cell_points):
+    rnd = random.Random(cell_points)
+    rows = [(i, rnd.choice([1, 1, 2]), t(0, 0, rnd.choice([0, 1, 2, 4, 5, 8]) + rnd.choice([0, 0.5])), float(rnd.choice([-10, 0, 9, 10, 19, 20, 21, 40])), float(rnd.choice([0, 10, 20, 30]))) for i in range(150)]
+    rows += [(900, 1, None, 1.0, 1.0), (901, 1, t(0), None, 1.0), (902, None, t(0), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, cam_id int, ts timestamp_ntz, x double, y double")
+    got = sorted((r["a"], r["b"]) for r in detections.link_candidates(df, speed=2.5, gap=4.0, cell_points=cell_points).collect())
+    expected = []
+    for i, cam, a, x, y in rows[:150]:
+        for j, cam2, b, x2, y2 in rows[:150]:
+            gap = (b - a).total_seconds()
+            if cam == cam2 and 0 < gap <= 4 and math.hypot(x - x2, y - y2) <= 2.5 * gap:
+                expected.append((i, j))
+    assert got == sorted(expected) and len(got) > 50
+
+
 def walk(rows):
     """Kept rows of one sorted group: (value, threshold or None) in order."""
     kept, last = [], None

@@ -82,6 +82,35 @@ def test_detections_of_nothing_still_leave_a_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 0
 
 
+def test_detections_of_a_range_read_its_folders_only(spark, tmp_path):
+    path = str(tmp_path / "d")
+    rows = spark.range(4_000).select(F.expr("timestamp_ntz'2026-07-01 00:00:00' + make_dt_interval(0, 0, id)").alias("timestamp"), (F.col("id") % 3).cast("int").alias("cam_id"), F.col("id").alias("x"))
+    snapshots.write_detections(rows, path)
+    got = snapshots.read_detections(spark, path, 1, "2026-07-02 10:00:00", "2026-07-02 12:00:00")
+    assert sorted(r["x"] for r in got.collect()) == [x for x in range(1440 + 600, 1440 + 720) if x % 3 == 1]
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    filters = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+    assert "day" in filters and "cam_id" in filters
+    got.foreach(lambda _: None)
+    scans = got._jdf.queryExecution().executedPlan().collectLeaves()
+    read = [scans.apply(i).metrics().apply("numFiles").value() for i in range(scans.size())]
+    files = list((tmp_path / "d").rglob("*.parquet"))
+    assert read and sum(read) <= len(list((tmp_path / "d" / "day=20260702" / "cam_id=1").iterdir())) < len(files) / 4
+
+
+def test_a_stage_says_why_it_is_unavailable(spark, tmp_path):
+    units = spark.createDataFrame([("20260701", "done")], "day string, status string")
+    missing = status.available(spark, str(tmp_path / "no"), lambda rows: rows)
+    rows = status.progress_report({"detect": units, "rpi": missing, "tracking": None}).collect()
+    why = {r["stage"]: r["reason"] for r in rows}
+    assert why["detect"] is None and why["rpi"].startswith("catalog unavailable") and why["tracking"] == "no catalog"
+    tree(tmp_path / "videos")
+    listing.refresh_catalog(spark, str(tmp_path / "videos"), str(tmp_path / "no"))
+    assert status.available(spark, str(tmp_path / "no"), lambda rows: rows).count() == 4
+    with pytest.raises(ValueError, match="no stages"):
+        status.progress_report({"rpi": None})
+
+
 def follow(spark, tmp_path):
     feeds.stream_changes(spark, str(tmp_path / "cat"), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
     return sorted((r["change"], r["path"].split("/")[-1], r["version"]) for r in feeds.read_changes(spark, str(tmp_path / "out")).collect())

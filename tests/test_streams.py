@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackledger.operators import audit
+from trackledger.sources.snapshots import read_ledger
 from trackledger.streaming import feeds
 
 FRAMES = "cam_id long, seq long, frame_ts timestamp, frame_id long, taken timestamp"
@@ -91,3 +92,24 @@ def test_containers_are_cut_in_the_stream(spark, tmp_path, rocks, seed):
     got = sorted((r["cam_id"], r["container"], r["first_ts"], r["last_ts"], r["n_frames"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     mark = max(r[4] for r in rows) - dt.timedelta(seconds=400)
     assert got == expected_containers(rows, 60, mark) and len(got) >= 15
+
+
+def test_submitted_days_survive_a_restart(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    parts = [["20260701", "20260702"], ["20260702", None, "20260703"], ["20260701"], ["20260704", "20260704"]]
+    for p in parts:
+        spark.createDataFrame([(d,) for d in p], "day string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: feeds.read_parquet_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "day string").schema, files_per_batch=1)
+    told = []
+
+    def take(batch, i):
+        feeds.submit_days(batch, i, ledger)
+        told.append(i)
+        if told == [0, 1]:
+            raise RuntimeError("died")  # after its entries were written
+
+    with pytest.raises(Exception, match="died"):
+        feeds.drain_batches(read(), take, str(tmp_path / "state"))
+    feeds.drain_batches(read(), take, str(tmp_path / "state"))
+    assert told == [0, 1, 1, 2, 3]
+    assert sorted((r["day"], r["run"]) for r in read_ledger(spark, ledger).collect()) == [("20260701", "0"), ("20260702", "0"), ("20260703", "1"), ("20260704", "3")]

@@ -53,6 +53,12 @@ def bucket_path(ts: Column, minutes: int = 20) -> Column:
     return F.date_format(bucket_start(ts, minutes), "yyyy/MM/dd/HH/mm")
 
 
+def bucket_path_of_epoch(seconds: Column, minutes: int = 20) -> Column:
+    """``bucket_path`` of a time in seconds since 1970 (UTC, fractions allowed), whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return bucket_path(start + F.make_dt_interval(secs=F.floor(seconds)), minutes)
+
+
 def name_prefix(cam: Column, start: Column) -> Column:
     """What a recording's name begins with, to the second: the blank-free stamp ends the number, so cam 1 is not cam 11."""
     return F.concat(F.lit("Cam_"), cam.cast("string"), F.lit("_"), F.date_format(start, "yyyy-MM-dd'T'HH_mm_ss"))

@@ -58,29 +58,59 @@ def duplicate_copies(files: DataFrame, name: list[str], from_ts: str = "from_ts"
     return files.withColumns({"n_copies": F.count(F.lit(1)).over(w), "flagged": place > 1})
 
 
-def _buckets(files: DataFrame, minutes: int) -> Column:
-    first, last = bucket_start(F.col("from_ts"), minutes), bucket_start(F.greatest("from_ts", "to_ts"), minutes)
-    return F.sequence(first, last, F.make_dt_interval(mins=F.lit(minutes)))
+def _bucket_number(t: Column, minutes: int) -> Column:
+    """Buckets before ``t``, counted in each hour as ``bucket_start`` does, through all hours."""
+    hour = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("hour", t).cast("timestamp_ntz"))
+    return (hour * -(-60 // minutes) + F.floor(F.minute(t) / minutes)).cast("long")
 
 
-def missing_bucket_copies(files: DataFrame, existing: DataFrame, minutes: int = 20, most_steps: int | None = 200) -> DataFrame:
-    """(name, bucket): buckets between a file's start and end that hold no copy of it, or an empty one.
+def _bucket_time(number: Column, minutes: int) -> Column:
+    n = -(-60 // minutes)
+    hour = F.timestamp_add("HOUR", F.floor(number / n).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MINUTE", (F.pmod(number, F.lit(n)) * minutes).cast("int"), hour)
 
-    ``files`` has name, from_ts, to_ts, size (empty ones ask for nothing); ``existing`` has name, bucket, size. A wrong end time
-    may ask for years of buckets: a file asks for its first ``most_steps`` only (None: for all), and ``long_files`` names those cut.
-    """
-    steps = _buckets(files, minutes)
-    wanted = files.where("size > 0").select("name", F.explode(steps if most_steps is None else F.slice(steps, 1, most_steps)).alias("bucket")).distinct()
-    return wanted.join(existing.where("size > 0").select("name", "bucket"), ["name", "bucket"], "left_anti")
 
+def missing_bucket_ranges(files: DataFrame, existing: DataFrame, minutes: int = 20) -> DataFrame:
+    """(name, first_bucket, last_bucket, n_buckets): runs of buckets between a file's start and end that hold no copy of it, or an empty one.
 
-def long_files(files: DataFrame, minutes: int = 20, most_steps: int = 200) -> DataFrame:
-    """(name, buckets): files that span more buckets than ``missing_bucket_copies`` asks for, and how many."""
-    return files.where("size > 0").select("name", F.size(_buckets(files, minutes)).cast("long").alias("buckets")).where(F.col("buckets") > most_steps)
+    ``files`` has name, from_ts, to_ts, size (empty ones ask for nothing); ``existing`` has name, bucket, size. Asked ranges and buckets
+    with copies are swept as edges, so a file costs two rows however long it is; a wrong end of years is one run.
+    """
+    number = lambda c: _bucket_number(F.col(c) if isinstance(c, str) else c, minutes)
+    asked = files.where("size > 0").select("name", number("from_ts").alias("lo"), number(F.greatest("from_ts", "to_ts")).alias("hi")).where("lo is not null")
+    there = existing.where("size > 0").select("name", number("bucket").alias("lo")).where("lo is not null").distinct()
+    edge = lambda at, a, t: F.struct(at.alias("at"), F.lit(a).alias("asked"), F.lit(t).alias("there"))
+    edges = asked.select("name", F.inline(F.array(edge(F.col("lo"), 1, 0), edge(F.col("hi") + 1, -1, 0)))).unionByName(there.select("name", F.inline(F.array(edge(F.col("lo"), 0, 1), edge(F.col("lo") + 1, 0, -1)))))
+    edges = edges.groupBy("name", "at").agg(F.sum("asked").alias("asked"), F.sum("there").alias("there"))
+    w = Window.partitionBy("name").orderBy("at")
+    run = edges.select("name", "at", F.lead("at").over(w).alias("until"), F.sum("asked").over(w).alias("asked"), F.sum("there").over(w).alias("there"))
+    gaps = run.where("asked > 0 and there = 0").select("name", "at", "until")
+    # neighbouring gaps are one
+    new = F.coalesce((F.col("at") > F.lag("until").over(w)).cast("int"), F.lit(0))
+    whole = gaps.withColumn("g", new).withColumn("g", F.sum("g").over(w)).groupBy("name", "g").agg(F.min("at").alias("lo"), F.max("until").alias("hi"))
+    return whole.select("name", _bucket_time(F.col("lo"), minutes).alias("first_bucket"), _bucket_time(F.col("hi") - 1, minutes).alias("last_bucket"), (F.col("hi") - F.col("lo")).alias("n_buckets"))
+
+
+def missing_bucket_copies(files: DataFrame, existing: DataFrame, minutes: int = 20) -> DataFrame:
+    """(name, bucket): each bucket of ``missing_bucket_ranges`` by itself."""
+    ranges = missing_bucket_ranges(files, existing, minutes)
+    number = F.explode(F.sequence(_bucket_number(F.col("first_bucket"), minutes), _bucket_number(F.col("last_bucket"), minutes)))
+    return ranges.select("name", number.alias("k")).select("name", _bucket_time(F.col("k"), minutes).alias("bucket"))
 
 
-def reconcile_listings(source: DataFrame, dest: DataFrame) -> DataFrame:
-    """(rel, source_size, dest_size, status): match, size_differs, only_source or only_dest."""
+def long_files(files: DataFrame, minutes: int = 20, most_steps: int = 200) -> DataFrame:
+    """(name, buckets): files that span more than ``most_steps`` buckets (a wrong end time, as a rule), and how many."""
+    span = _bucket_number(F.greatest("from_ts", "to_ts"), minutes) - _bucket_number(F.col("from_ts"), minutes) + 1
+    return files.where("size > 0").select("name", span.alias("buckets")).where(F.col("buckets") > most_steps)
+
+
+def reconcile_listings(source: DataFrame, dest: DataFrame, exts: tuple[str, ...] | None = None) -> DataFrame:
+    """(rel, source_size, dest_size, status): match, size_differs, only_source or only_dest; of files with these endings (in any case), if given."""
+    if exts is not None:
+        fits = F.lit(False)
+        for e in exts:
+            fits = fits | F.lower(F.col("rel").cast("string")).endswith(e.lower())
+        source, dest = source.where(fits), dest.where(fits)
     both = source.select("rel", F.col("size").alias("source_size")).join(dest.select("rel", F.col("size").alias("dest_size")), "rel", "full_outer")
     status = F.when(F.col("source_size").isNull(), "only_dest").when(F.col("dest_size").isNull(), "only_source").when(F.col("source_size") == F.col("dest_size"), "match").otherwise("size_differs")
     return both.withColumn("status", status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackledger.functions.names import day_of, ntz
+from trackledger.functions.names import day_of
 
 
 def _positive(hours: int) -> int:
@@ -55,30 +55,79 @@ def day_windows(days: DataFrame, hours: int = 1) -> DataFrame:
     return w.select("day", start.alias("from_dt"), F.least(start + F.make_dt_interval(hours=F.lit(hours)), F.col("midnight") + F.make_dt_interval(days=F.lit(1))).alias("to_dt"))
 
 
+def _windows_a_day(hours: int) -> int:
+    return -(-24 // _positive(hours))
+
+
+def window_span(start: Column, end: Column, hours: int = 1) -> Column:
+    """Struct (lo, hi) of the numbers of the day-anchored windows that a recording overlaps (half open); null where it overlaps none.
+
+    Windows are numbered through all days. A recording of no length lies in the window around it, and in none where it lies on an edge; one
+    that ends before it starts, or without an end, is in none.
+    """
+    n = _windows_a_day(hours)
+    micros = lambda t: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    day, hour = F.lit(86_400_000_000), F.lit(hours * 3_600_000_000)
+    of = lambda m: (F.floor(m / day) * n + F.floor((m - F.floor(m / day) * day) / hour)).cast("long")
+    edge = (micros(start) - F.floor(micros(start) / day) * day) % hour == 0
+    return F.when(end > start, F.struct(of(micros(start)).alias("lo"), of(micros(end) - 1).alias("hi"))).when((end == start) & ~edge, F.struct(of(micros(start)).alias("lo"), of(micros(start)).alias("hi")))
+
+
+def window_times(number: Column, hours: int = 1) -> tuple[Column, Column]:
+    """When the window of a number begins and ends; the last one of a day ends at midnight."""
+    n = _windows_a_day(hours)
+    midnight = F.timestamp_add("DAY", F.floor(number / n).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    begin = F.timestamp_add("HOUR", (F.pmod(number, F.lit(n)) * hours).cast("int"), midnight)
+    return begin, F.least(F.timestamp_add("HOUR", F.lit(hours), begin), F.timestamp_add("DAY", F.lit(1), midnight))
+
+
 def covered_windows(df: DataFrame, hours: int = 1, start: str = "starttime", end: str = "endtime") -> DataFrame:
-    """Each row once for every window that it overlaps (half open), with from_dt and to_dt.
+    """Each row once for every window that it overlaps, with from_dt and to_dt. The windows are generated from the row, so no join on times is needed."""
+    spans = df.withColumn("_span", window_span(F.col(start), F.col(end), hours)).where("_span is not null")
+    begin, stop = window_times(F.col("_k"), hours)
+    return spans.withColumn("_k", F.explode(F.sequence("_span.lo", "_span.hi"))).withColumns({"from_dt": begin, "to_dt": stop}).drop("_span", "_k")
+
 
-    The windows are generated from the row, so no join on times is needed. A row of no length lies in the window around it,
-    and in none where it lies on an edge; a row that ends before it starts is in none.
+#: Levels of the binary tree over windows: 2 ** 40 windows.
+LEVELS = 40
+#: A node of more windows is taken apart in two steps.
+WIDE = 12
+
+
+def tree_nodes(lo: Column, hi: Column) -> Column:
+    """Array of (level, node): the fewest nodes of the binary tree over whole numbers that make up ``lo`` to ``hi``, two of a level at most."""
+    top = F.ceil(F.log2((hi - lo + 2).cast("double"))).cast("int")
+
+    def of(level: Column) -> Column:
+        left, right = -F.call_function("shiftright", -lo, level), F.call_function("shiftright", hi + 1, level)
+        node = lambda fits, at: F.when((left < right) & fits, F.struct(level.alias("level"), at.alias("node")))
+        return F.array(node(F.pmod(left, F.lit(2)) == 1, left), node(F.pmod(right, F.lit(2)) == 1, right - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.least(top, F.lit(LEVELS))), of)), lambda n: n.isNotNull())
+
+
+def window_units(sources: DataFrame, hours: int = 1, days: DataFrame | None = None) -> DataFrame:
+    """(cam_id, from_dt, to_dt, latest_src_mtime): windows (of ``days``, text, or all) in which a camera has a recording, and its newest change.
+
+    Recordings are told to nodes of a binary tree over all windows, two for each level at most, and aggregated there; a recording of one
+    window is one node, one with a wrong end in ten years some tens. Windows of given days meet them by node, in an equi-join on their
+    own ancestors. Without days every node is taken apart into its windows, after aggregation: as many rows as results.
     """
-    hours = _positive(hours)
-    df = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-    first_day, last_day = F.col(start).cast("date"), F.col(end).cast("date")
-    per_day = df.withColumn("_day", F.explode(F.sequence(first_day, last_day))).withColumn("_day", ntz(F.col("_day")))
-    midnight = F.col("_day")
-    second = lambda t: F.timestamp_diff("SECOND", midnight, t)
-    low = F.greatest(F.floor(second(F.greatest(F.col(start), midnight)) / (3600 * hours)), F.lit(0)).cast("int")
-    high = F.least(F.floor(second(F.col(end)) / (3600 * hours)), F.lit((23 // hours))).cast("int")
-    each = per_day.withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
-    begin = midnight + F.make_dt_interval(hours=F.col("_k") * hours)
-    each = each.withColumn("from_dt", begin).withColumn("to_dt", F.least(begin + F.make_dt_interval(hours=F.lit(hours)), midnight + F.make_dt_interval(days=F.lit(1))))
-    return each.where((F.col(start) < F.col("to_dt")) & (F.col(end) > F.col("from_dt"))).drop("_day", "_lo", "_hi", "_k")
-
-
-def window_units(sources: DataFrame, hours: int = 1) -> DataFrame:
-    """(cam_id, from_dt, to_dt, latest_src_mtime): windows in which a camera has a recording, and its newest change."""
-    rows = sources.where(F.col("cam_id").isNotNull()).select("cam_id", "starttime", "endtime", "modified_time")
-    return covered_windows(rows, hours).groupBy("cam_id", "from_dt", "to_dt").agg(F.max("modified_time").alias("latest_src_mtime"))
+    rows = sources.where(F.col("cam_id").isNotNull()).select("cam_id", window_span(F.col("starttime"), F.col("endtime"), hours).alias("s"), "modified_time").where("s is not null")
+    nodes = rows.select("cam_id", "modified_time", F.inline(tree_nodes(F.col("s.lo"), F.col("s.hi")))).groupBy("cam_id", "level", "node").agg(F.max("modified_time").alias("_m"))
+    if days is None:
+        over = F.greatest(F.col("level") - WIDE, F.lit(0))
+        below = lambda node, levels: F.explode(F.sequence(F.call_function("shiftleft", node, levels), F.call_function("shiftleft", node + 1, levels) - 1))
+        some = nodes.select("cam_id", "_m", F.least("level", F.lit(WIDE)).alias("level"), below(F.col("node"), over).alias("node"))
+        met = some.select("cam_id", "_m", below(F.col("node"), F.col("level")).alias("k"))
+    else:
+        n = _windows_a_day(hours)
+        day = F.date_diff(F.to_date("day", "yyyyMMdd"), F.lit("1970-01-01").cast("date")).cast("long")
+        asked = days.where("day is not null").select(day.alias("d")).distinct().where("d is not null").select(F.explode(F.sequence(F.col("d") * n, F.col("d") * n + n - 1)).alias("k"))
+        above = asked.select("k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("node", F.expr("shiftright(k, level)"))
+        met = above.join(nodes, ["level", "node"]).select("cam_id", "_m", "k")
+    begin, end = window_times(F.col("k"), hours)
+    return met.groupBy("cam_id", "k").agg(F.max("_m").alias("_m")).select("cam_id", begin.alias("from_dt"), end.alias("to_dt"), F.col("_m").alias("latest_src_mtime"))
 
 
 def last_n(df: DataFrame, n: int, order: list[Column], by: list[str] | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.functions.names import build_name, config_tag, day_of, frame_day, frame_time, start_key, time_bucket
 from trackledger.operators.audit import subsample_frames
 from trackledger.operators.windows import filter_days, window_units
+from trackledger.sources.listing import read_catalog
 
 # Classes of statuses.
 PENDING = ("missing", "stale", "pending", "zero_byte_stub")
@@ -84,9 +88,12 @@ def expected_backgrounds(frames: DataFrame, interval: int | None, window: str |
     return kept.select("day", "cam_id", name.alias("name")).distinct()
 
 
-def background_units(frames: DataFrame, cams: list[int] | None = None, interval: int | None = None) -> DataFrame:
-    """(day, cam_id, n_frames, kept): frames of each camera and day (from their names), and how many the interval keeps."""
-    named = frames.withColumn("day", frame_day(F.col("file_name")))
+def background_units(frames: DataFrame, cams: list[int] | None = None, interval: int | None = None, label: str | None = None) -> DataFrame:
+    """(day, cam_id, n_frames, kept): frames of each camera and day (from their names), and how many the interval keeps.
+
+    With ``label`` the frames are one source of that name, whatever their days: it stands in ``day``.
+    """
+    named = frames.withColumn("day", frame_day(F.col("file_name")) if label is None else F.lit(label))
     if cams is not None:
         named = named.where(F.col("cam_id").isin(cams))
     total = named.groupBy("day", "cam_id").agg(F.count(F.lit(1)).alias("n_frames"))
@@ -127,15 +134,22 @@ def sidecar_status(catalog: DataFrame, contrast: bool = True) -> DataFrame:
     return catalog.withColumn("status", F.when(F.coalesce(flag, F.lit(False)), "done").otherwise("missing"))
 
 
-def progress_report(stages: dict[str, DataFrame | None]) -> DataFrame:
-    """(stage, day, status) of all stages; one whose catalog is missing (None) has one row without day, status unavailable."""
-    out = None
-    for name, units in stages.items():
-        if units is None:
-            rows = next(u for u in stages.values() if u is not None).sparkSession.createDataFrame([(name, None, "unavailable")], "stage string, day string, status string")
-        else:
-            rows = units.select(F.lit(name).alias("stage"), F.col("day").cast("string").alias("day"), "status")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+def progress_report(stages: dict[str, DataFrame | str | None]) -> DataFrame:
+    """(stage, day, status, reason) of all stages; one without a catalog has one row without day, status unavailable.
+
+    Such a stage is given as None, or as the text that says why; every other row has no reason.
+    """
+    spark = next((u.sparkSession for u in stages.values() if isinstance(u, DataFrame)), None)
+    if spark is None:
         raise ValueError("no stages")
-    return out
+    missing = [(name, None, "unavailable", why or "no catalog") for name, why in stages.items() if not isinstance(why, DataFrame)]
+    parts = [u.select(F.lit(name).alias("stage"), F.col("day").cast("string").alias("day"), "status", F.lit(None).cast("string").alias("reason")) for name, u in stages.items() if isinstance(u, DataFrame)]
+    return reduce(DataFrame.unionByName, [*parts, spark.createDataFrame(missing, "stage string, day string, status string, reason string")])
+
+
+def available(spark: SparkSession, catalog: str, units: Callable[[DataFrame], DataFrame]) -> DataFrame | str:
+    """Units of a stage made from its catalog (``refresh_catalog``), or why there are none."""
+    try:
+        return units(read_catalog(spark, catalog))
+    except FileNotFoundError as e:
+        return f"catalog unavailable: {e}"

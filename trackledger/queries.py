@@ -78,6 +78,12 @@ def _(events: DataFrame) -> DataFrame:
     return events.select("event_id", N.bucket_path(c("ts")).alias("bucket"))
 
 
+@query("bucket_path_of_epoch", "SELECT event_id, strftime(date_trunc('hour', ts) + CAST(floor(minute(ts) / 15) * 15 AS INT) * INTERVAL 1 MINUTE, '%Y/%m/%d/%H/%M') AS bucket FROM events", "events")
+def _(events: DataFrame) -> DataFrame:
+    seconds = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c("ts")) / F.lit(1e6)
+    return events.select("event_id", N.bucket_path_of_epoch(seconds, 15).alias("bucket"))
+
+
 @query("name_prefix", "SELECT event_id, 'Cam_' || (user_id % 8) || '_' || strftime(ts, '%Y-%m-%dT%H_%M_%S') AS prefix FROM events", "events")
 def _(events: DataFrame) -> DataFrame:
     return events.select("event_id", N.name_prefix(c("user_id") % 8, c("ts")).alias("prefix"))
@@ -293,6 +299,12 @@ def _(src: DataFrame) -> DataFrame:
     return windows.window_units(src)
 
 
+@query("window_units_of_days", f"WITH {_UNITS} SELECT * FROM wu WHERE strftime(from_dt, '%Y%m%d') IN (SELECT DISTINCT {DAY.format('starttime')} FROM src WHERE day(starttime) % 4 = 0)", "src")
+def _(src: DataFrame) -> DataFrame:
+    days = src.where(F.dayofmonth("starttime") % 4 == 0).select(N.day_of(c("starttime")).alias("day"))
+    return windows.window_units(src, days=days)
+
+
 @query("window_status", f"WITH {_WS} SELECT * FROM ws", "src", "outp")
 def _(src: DataFrame, outp: DataFrame) -> DataFrame:
     return status.window_status(src, outp)
@@ -349,9 +361,9 @@ def _report(videos: DataFrame, src: DataFrame, outp: DataFrame) -> DataFrame:
     return status.progress_report({"detect": status.detect_status(videos, src), "save_detect": status.window_status(src, outp)})
 
 
-@query("progress_report", f"WITH {_REPORT} SELECT * FROM rep UNION ALL SELECT 'tracking', NULL, 'unavailable'", "videos", "src", "outp")
+@query("progress_report", f"WITH {_REPORT} SELECT *, NULL AS reason FROM rep UNION ALL SELECT 'rpi', NULL, 'unavailable', 'no catalog' UNION ALL SELECT 'tracking', NULL, 'unavailable', 'no outputs yet'", "videos", "src", "outp")
 def _(videos: DataFrame, src: DataFrame, outp: DataFrame) -> DataFrame:
-    return status.progress_report({"detect": status.detect_status(videos, src), "save_detect": status.window_status(src, outp), "tracking": None})
+    return status.progress_report({"detect": status.detect_status(videos, src), "save_detect": status.window_status(src, outp), "rpi": None, "tracking": "no outputs yet"})
 
 
 @query("stage_summary", f"WITH {_REPORT}, n AS (SELECT stage, {_COUNTS}, min(day) AS first_day, max(day) AS last_day FROM rep GROUP BY ROLLUP (stage)) SELECT *, round(CAST({_PCT} AS DOUBLE), 2) AS pct, pending > 0 AS any_pending FROM n", "videos", "src", "outp")
@@ -509,6 +521,15 @@ def _(copies: DataFrame) -> DataFrame:
     return audit.missing_bucket_copies(files, copies.select(c("event_id").alias("name"), N.bucket_start(c("bucket_ts")).alias("bucket"), "size"))
 
 
+@query("missing_bucket_ranges", f"""WITH f AS (SELECT event_id AS name, from_ts, CASE WHEN event_id % 5 = 0 THEN to_ts + INTERVAL 3 HOUR ELSE to_ts END AS to_ts FROM copies WHERE copy_no = 0 AND size > 0), w AS (SELECT DISTINCT name, unnest(generate_series({_B.format('from_ts')}, {_B.format('to_ts')}, INTERVAL 20 MINUTE)) AS bucket FROM f),
+  m AS (SELECT w.name, w.bucket FROM w WHERE NOT EXISTS (SELECT 1 FROM copies x WHERE x.event_id = w.name AND {_B.format('x.bucket_ts')} = w.bucket AND x.size > 0)),
+  g AS (SELECT *, bucket - CAST(row_number() OVER (PARTITION BY name ORDER BY bucket) AS INT) * INTERVAL 20 MINUTE AS run FROM m) SELECT name, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS n_buckets FROM g GROUP BY name, run""", "copies")
+def _(copies: DataFrame) -> DataFrame:
+    end = F.when(c("event_id") % 5 == 0, c("to_ts") + F.make_dt_interval(hours=F.lit(3))).otherwise(c("to_ts"))
+    files = copies.where("copy_no = 0").select(c("event_id").alias("name"), "from_ts", end.alias("to_ts"), "size")
+    return audit.missing_bucket_ranges(files, copies.select(c("event_id").alias("name"), N.bucket_start(c("bucket_ts")).alias("bucket"), "size"))
+
+
 _REC_CLASS = "rc AS (SELECT coalesce(a.rel, b.rel) AS rel, a.size AS source_size, b.size AS dest_size, CASE WHEN a.rel IS NULL THEN 'only_dest' WHEN b.rel IS NULL THEN 'only_source' WHEN a.size = b.size THEN 'match' ELSE 'size_differs' END AS status FROM listing_a a FULL JOIN listing_b b ON a.rel = b.rel)"
 
 
@@ -517,6 +538,15 @@ def _(a: DataFrame, b: DataFrame) -> DataFrame:
     return audit.reconcile_listings(a, b)
 
 
+_EXT = "CAST(rel AS VARCHAR) || CASE WHEN rel % 3 = 0 THEN '.MP4' WHEN rel % 3 = 1 THEN '.mp4' ELSE '.txt' END AS rel, size"
+
+
+@query("reconcile_by_extension", f"WITH a AS (SELECT {_EXT} FROM listing_a WHERE rel % 3 IN (0, 1)), b AS (SELECT {_EXT} FROM listing_b WHERE rel % 3 IN (0, 1)) SELECT coalesce(a.rel, b.rel) AS rel, a.size AS source_size, b.size AS dest_size, CASE WHEN a.rel IS NULL THEN 'only_dest' WHEN b.rel IS NULL THEN 'only_source' WHEN a.size = b.size THEN 'match' ELSE 'size_differs' END AS status FROM a FULL JOIN b ON a.rel = b.rel", "listing_a", "listing_b")
+def _(a: DataFrame, b: DataFrame) -> DataFrame:
+    named = lambda df: df.select(F.concat(c("rel").cast("string"), F.when(c("rel") % 3 == 0, ".MP4").when(c("rel") % 3 == 1, ".mp4").otherwise(".txt")).alias("rel"), "size")
+    return audit.reconcile_listings(named(a), named(b), (".mp4",))
+
+
 @query("reconcile_verdicts", f"WITH {_REC_CLASS} SELECT count(*) FILTER (WHERE status = 'size_differs') = 0 AS common_agree, count(*) FILTER (WHERE status <> 'match') = 0 AS equal FROM rc", "listing_a", "listing_b")
 def _(a: DataFrame, b: DataFrame) -> DataFrame:
     return audit.reconcile_verdicts(audit.reconcile_listings(a, b))
@@ -601,6 +631,13 @@ def _(frames: DataFrame) -> DataFrame:
     return status.background_units(frames, interval=1800)
 
 
+@query("background_units_of_source", r"""WITH RECURSIVE t AS (SELECT cam_id, file_name, ft, row_number() OVER (PARTITION BY cam_id ORDER BY file_name, ft) AS rn FROM (SELECT cam_id, file_name, FT AS ft FROM frames) WHERE ft IS NOT NULL),
+  s AS (SELECT cam_id, rn, true AS kept, ft AS last FROM t WHERE rn = 1 UNION ALL SELECT t.cam_id, t.rn, t.ft >= s.last + INTERVAL 7200 SECOND, CASE WHEN t.ft >= s.last + INTERVAL 7200 SECOND THEN t.ft ELSE s.last END FROM s JOIN t ON t.cam_id = s.cam_id AND t.rn = s.rn + 1)
+  SELECT 'archive' AS day, cam_id, n_frames, coalesce(kept, 0) AS kept FROM (SELECT cam_id, count(*) AS n_frames FROM frames GROUP BY 1) LEFT JOIN (SELECT cam_id, count(*) AS kept FROM s WHERE kept GROUP BY 1) USING (cam_id)""".replace("FT AS", f"{_FT} AS"), "frames")
+def _(frames: DataFrame) -> DataFrame:
+    return status.background_units(frames, interval=7200, label="archive")
+
+
 @query("background_status", f"""{_sub(1800)}, {_EXPECTED}, {_PRESENT}, {_BU}, cams AS (SELECT DISTINCT {DAY.format('ts')} AS day, user_id % 9 AS cam_id FROM events)
   SELECT cams.day, cams.cam_id, coalesce(n_frames, 0) AS n_frames, 'int1800s_winhour' AS tag, CASE WHEN coalesce(n_frames, 0) = 0 THEN 'skipped_no_frames' WHEN coalesce(kept, 0) < 12 THEN 'skipped_min_frames' WHEN present THEN 'done' ELSE 'pending' END AS status
   FROM cams LEFT JOIN bu ON cams.day = bu.day AND cams.cam_id = bu.cam_id LEFT JOIN pr ON cams.day = pr.day AND cams.cam_id = pr.cam_id""", "events", "frames", "backgrounds")
@@ -662,10 +699,18 @@ def _(e: DataFrame) -> DataFrame:
     return d.withColumn("bee_id_confidence", F.round("bee_id_confidence", 9))
 
 
-@query("track_points", "WITH t AS (SELECT user_id AS track_id, user_id % 8 AS cam_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS detection_index FROM events) SELECT cam_id, track_id, CAST(detection_index AS INTEGER) AS detection_index, event_id AS frame_id, ts AS timestamp FROM t", "events")
+@query("track_points", f"WITH t AS (SELECT user_id || '|' || {DAY.format('ts')} AS track_id, user_id % 8 AS cam_id, event_id, ts, row_number() OVER (PARTITION BY user_id, {DAY.format('ts')} ORDER BY event_id) - 1 AS detection_index FROM events) SELECT cam_id, track_id, CAST(detection_index AS INTEGER) AS detection_index, event_id AS frame_id, ts AS timestamp FROM t", "events")
 def _(e: DataFrame) -> DataFrame:
-    point = F.struct(c("event_id").alias("frame_id"), c("ts").alias("timestamp"))
-    return detections.track_points(e.groupBy((c("user_id") % 8).alias("cam_id"), c("user_id").alias("track_id")).agg(F.array_sort(F.collect_list(point)).alias("detections")))
+    point, track = F.struct(c("event_id").alias("frame_id"), c("ts").alias("timestamp")), F.concat_ws("|", c("user_id").cast("string"), N.day_of(c("ts")))  # a track ends with its day
+    return detections.track_points(e.groupBy((c("user_id") % 8).alias("cam_id"), track.alias("track_id")).agg(F.array_sort(F.collect_list(point)).alias("detections")))
+
+
+@query("read_detections", f"SELECT event_id, user_id % 8 AS cam_id, {DAY.format('ts')} AS day, ts AS timestamp FROM events WHERE user_id % 8 = 2 AND ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-05 00:00:00'", "events")
+def _(e: DataFrame) -> DataFrame:
+    path = scratch(e.sparkSession)
+    snapshots.write_detections(e.select(c("ts").alias("timestamp"), (c("user_id") % 8).alias("cam_id"), "event_id"), path)
+    got = snapshots.read_detections(e.sparkSession, path, 2, "2024-01-03 05:00:00", "2024-01-05 00:00:00")
+    return got.withColumn("cam_id", c("cam_id").cast("long"))
 
 
 @query("verify_run", "SELECT event_type AS run, count(DISTINCT user_id) AS files, count(*) AS frames, CAST(sum(event_id % 4 + 1) AS BIGINT) AS tagged, CAST(sum(event_id % 3 + 1) AS BIGINT) AS untagged FROM events GROUP BY 1", "events")
@@ -868,6 +913,17 @@ QUERIES["stream_monotonic"] = _monotonic
 ORACLE_SQL["stream_monotonic"] = sql(f"WITH {_MONO} SELECT cam_id, seq, frame_ts FROM mono")
 
 
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    source, work = _batches(spark, sf_dir, "events", "event_id")
+    feeds.drain_batches(source.select(N.day_of(c("ts")).alias("day")), lambda batch, i: feeds.submit_days(batch, i, f"{work}/ledger"), f"{work}/state")
+    return snapshots.read_ledger(spark, f"{work}/ledger")
+
+
+QUERIES["stream_submissions"] = _submissions
+ORACLE_SQL["stream_submissions"] = sql(f"WITH x AS (SELECT {DAY.format('ts')} AS day, ntile(4) OVER (ORDER BY event_id) - 1 AS run FROM events) SELECT day, CAST(min(run) AS VARCHAR) AS run FROM x WHERE day IS NOT NULL GROUP BY day")
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)

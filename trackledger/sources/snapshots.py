@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trackledger.operators.detections import in_range
 from trackledger.operators.rollup import by_day, stage_summary
 from trackledger.sources.shared import written
 from trackledger.sources.versions import Versioned
@@ -127,9 +128,16 @@ def recent_submissions(ledger: DataFrame, names: list[str] | None = None, last:
 
 
 def write_detections(df: DataFrame, path: str) -> None:
-    """Detections (timestamp, cam_id, ...) by day and camera; an empty table still leaves a readable one."""
+    """Detections (timestamp, cam_id, ...) by day and camera, each file a range of times; an empty table still leaves a readable one."""
     out = df.withColumn("day", F.date_format("timestamp", "yyyyMMdd"))
     if out.isEmpty():
         out.limit(0).write.mode("append").parquet(path)
         return
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "cam_id").parquet(path)
+    ranged = out.repartitionByRange("day", "cam_id", "timestamp").sortWithinPartitions("day", "cam_id", "timestamp")
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "cam_id").parquet(path)
+
+
+def read_detections(spark: SparkSession, path: str, cam: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Detections of a camera from ``start`` to before ``end``: folders of other days and cameras are not read, nor files of other times."""
+    rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    return in_range(rows, "timestamp", cam, start, end)

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from trackledger.operators.audit import monotonic_frames
 from trackledger.sources.shared import exists, names_in, put_new, text_of, written
+from trackledger.sources.snapshots import append_ledger, read_ledger
 from trackledger.sources.versions import Versioned
 
 
@@ -177,6 +178,19 @@ def stream_late(spark: SparkSession, batch: DataFrame, batch_id: int, on_time: s
     put(marked.where("_late").drop("_late"), late)
 
 
+def submit_days(batch: DataFrame, batch_id: int, ledger: str) -> None:
+    """For foreachBatch: the batch's days (text, ``day``) that no batch before has handed out go to the ledger, under the batch's number.
+
+    The ledger (``read_ledger``: day, run) is the memory of what was submitted: it survives restarts and new checkpoints that go on counting,
+    and a batch that is run again finds the same days, as its own entries don't count.
+    """
+    spark = batch.sparkSession
+    days = batch.select("day").where("day is not null").distinct()
+    if Versioned(spark, ledger).current():
+        days = days.join(read_ledger(spark, ledger).where(F.col("run") != str(batch_id)).select("day").distinct(), "day", "left_anti")
+    append_ledger(written(days), ledger, str(batch_id))
+
+
 def read_parquet_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """Files of a Parquet table as a stream, so many in a batch at most."""
     reader = spark.readStream.schema(schema)
