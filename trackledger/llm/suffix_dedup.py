@@ -88,6 +88,23 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return at, count, grams[least[at]]
 
 
+def repeats_the_last(data: np.ndarray, at: np.ndarray, count: np.ndarray, v: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Which runs follow the one before without a gap and have just its bytes, as in a text of one byte: these need no row of their own.
+
+    Bytes are held against those one run later, for each number of windows that runs of a large share of the text have in common.
+    """
+    same = np.zeros(len(at), bool)
+    if len(at) < 2:
+        return same
+    next_to = (doc[1:] == doc[:-1]) & (v[1:] == v[:-1]) & (count[1:] == count[:-1]) & (at[1:] == at[:-1] + count[:-1])
+    sizes, many = np.unique(count[1:][next_to], return_counts=True)
+    for c in sizes[many * (sizes + length) * 4 > len(data)].tolist():
+        pair = np.flatnonzero(next_to & (count[1:] == c))
+        differ = np.append(0, np.cumsum(data[:-c] != data[c:]))
+        same[pair + 1] = differ[at[pair] + c + length - 1] == differ[at[pair]]
+    return same
+
+
 def suffix_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     """Window starts of all runs in the order of their ``length`` bytes (Larsson-Sadakane, by doubling).
 
@@ -249,13 +266,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int | None =
             keep = bloom_has(shared.value, v)
             at, count, v = at[keep], count[keep], v[keep]
             doc = np.searchsorted(offs, at, "right") - 1
+            first = np.flatnonzero(~repeats_the_last(data, at, count, v, doc, length))
+            times = np.diff(np.append(first, len(at)))
+            at, count, v, doc = at[first], count[first], v[first], doc[first]
             yield pa.record_batch({
                 "v": pa.array(v.view(np.int64)), "s": pa.array(span_hashes(data, at, at + count + length - 1, False).view(np.int64)),
-                "rid": pa.array(part.column("_rid").to_numpy()[doc]), "at": pa.array(at - offs[doc], pa.int64()), "n": pa.array(count, pa.int32()),
+                "rid": pa.array(part.column("_rid").to_numpy()[doc]), "at": pa.array(at - offs[doc], pa.int64()), "n": pa.array(count, pa.int32()), "times": pa.array(times, pa.int64()),
             })
 
-    found = cut(texts.mapInArrow(runs, "v long, s long, rid long, at long, n int"))
-    kinds = found.groupBy("v", "s").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "at", "n")).alias("one"))
+    found = cut(texts.mapInArrow(runs, "v long, s long, rid long, at long, n int, times long"))
+    kinds = found.groupBy("v", "s").agg(F.sum("times").alias("copies"), F.min(F.struct("rid", "at", "n")).alias("one"))
     grams = kinds.groupBy("v").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
     kinds = cut(kinds.join(grams, "v").select("v", "s", "copies", "kinds", "one.*"))
     many = kinds.where("kinds > 1")
@@ -280,7 +300,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int | None =
     merged = cover.where("d1 is not null").groupBy(F.pmod("d1", F.lit(shards)).alias("range")).applyInArrow(_merge, "v long, s long, t0 long, t1 long")
     whole = kinds.where("copies > 1").select("v", "s", F.lit(0).cast("long").alias("t0"), F.col("n").cast("long").alias("t1"))
     part = cover.where("d1 is null").select("v", "s", "t0", "t1").union(merged).join(kinds.where("copies = 1").select("v", "s"), ["v", "s"])
-    back = found.join(whole.union(part), ["v", "s"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") + F.col("t0")).alias("start"), (F.col("at") + F.col("t1") + (length - 1)).alias("end"))).alias("_spans"))
+    # a run told with its repeats has copies, so all its windows are covered, and so is what lies between
+    back = found.join(whole.union(part), ["v", "s"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") + F.col("t0")).alias("start"), (F.col("at") + (F.col("times") - 1) * F.col("n") + F.col("t1") + (length - 1)).alias("end"))).alias("_spans"))
     joined = docs.join(back.hint("shuffle_hash"), F.col("_rid") == F.col("rid"), "left").select(*others, "text", "_spans")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*others).dtypes) + (", " if others else "") + "text string, n_bytes long, n_removed long, n_spans long, kept binary"
 
