@@ -1,7 +1,8 @@
 """URL filters (4): rules, and for the rest a path-template tree per host. DataFrame functions only.
 
 A path's segments, all of them, become a *leaf*: numbers, hex strings, dates and ids give way to classes. Counting leaves per host (all URLs, with the labels that rules give) leaves a table as large as
-the number of different leaves. Classes and wildcards begin with a slash, which no segment of a URL can hold. On it the tree is built level by level, for as long as a leaf has a further segment: under one parent a segment becomes ``/*`` where
+the number of different leaves. Classes and wildcards begin with a slash, which no segment of a URL can hold. On it the tree is built level by level, for as long as a template has several leaves
+with further segments (the rest of a leaf that is alone stays as it is): under one parent a segment becomes ``/*`` where
 its parent has more than ``max_children`` different segments and the segment has less than ``min_share`` of the
 parent's URLs. Sibling branches whose share of blocked URLs does not differ from that of all siblings together (a
 two-sided z test on smoothed counts) are merged and judged as one. A branch's purity is its share of blocked among
@@ -15,6 +16,8 @@ without any labelled row everything is allowed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,24 +62,35 @@ def leaf_segments(path: Column) -> Column:
 
 
 def template_tree(leaves: DataFrame, max_children: int, min_share: float) -> DataFrame:
-    """``leaves`` (host, leaf, segs, n, ...) with ``parent`` and ``template`` after generalising segments, level by level."""
+    """``leaves`` (host, leaf, segs, n, ...) with ``parent`` and ``template`` after generalising segments, level by level.
+
+    There are as many rounds as the longest path that different leaves of a host have in common, and one more.
+    """
     t = leaves.withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    deepest = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
-    done = t.where(F.size("segs") == 0)
-    for i in range(deepest):
-        t = t.where(F.size("segs") > i).withColumn("seg", F.try_element_at("segs", F.lit(i + 1)))
+    done, i = [t.where(F.size("segs") == 0)], 0
+    t = cut(t.where(F.size("segs") > 0))
+    while not t.isEmpty():
+        # a leaf that is alone under its template has no siblings at any level below: the rest of its path stays as it is
+        several = t.groupBy("host", "template").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").select("host", "template")
+        alone = t.join(several, ["host", "template"], "left_anti")
+        rest = F.slice("segs", i + 1, F.size("segs"))
+        longer = lambda segs: F.concat("template", F.when(F.size(segs) > 0, F.concat(F.lit("/"), F.array_join(segs, "/"))).otherwise(""))
+        done.append(alone.withColumns({"parent": longer(F.slice(rest, 1, F.size(rest) - 1)), "template": longer(rest)}).select(*leaves.columns, "template", "parent"))
+        t = t.join(several, ["host", "template"], "left_semi").withColumn("seg", F.try_element_at("segs", F.lit(i + 1)))
         seen = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
         under = seen.groupBy("host", "template").agg(F.sum("seg_n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
         named = seen.join(under, ["host", "template"]).select(
             "host", "template", "seg",
             F.when((F.col("kinds") > max_children) & (F.col("seg_n") < min_share * F.col("all_n")), "/*").otherwise(F.col("seg")).alias("name"),
         )
-        t = cut(t.join(named, ["host", "template", "seg"]).withColumns({
+        i += 1
+        level = cut(t.join(named, ["host", "template", "seg"]).withColumns({
             "parent": F.col("template"),
             "template": F.concat("template", F.lit("/"), "name"),
-        }).drop("seg", "name"))  # else every level would compute the one before twice
-        done = done.unionByName(t.where(F.size("segs") == i + 1))
-    return done
+        }).select(*leaves.columns, "template", "parent"))  # else every level would compute the one before twice
+        done.append(level.where(F.size("segs") == i))
+        t = level.where(F.size("segs") > i)
+    return reduce(DataFrame.unionByName, done)
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], max_children: int = 20, min_share: float = 0.05, strength: float = 4.0, z: float = 1.96, reject: float = 0.5) -> DataFrame:
