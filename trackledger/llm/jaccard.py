@@ -251,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Threshold)
     return cut(asked.join(texts, "rid").groupBy(F.pmod(F.xxhash64("a", "part"), F.lit(bins)).alias("bin")).applyInArrow(compare, "a long, b long, ok boolean"))
 
 
-FOUND = "rid long, doc_id long, n long, k binary, l int, sk binary, prefix array<long>, tokens array<long>, size long, text binary"
+FOUND = "rid long, doc_id {}, n long, k binary, l int, sk binary, prefix array<long>, tokens array<long>, size long, text binary"
 
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def _described(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
         return pa.Table.from_batches(batches)
 
     bundles = docs.select("_chunk", "_rid", "doc_id", "text").mapInArrow(_bundled, "_chunk long, size long, rows binary")
-    return cut(bundles.groupBy("_chunk").cogroup(levels.withColumnRenamed("chunk", "_chunk").groupBy("_chunk")).applyInArrow(look, FOUND))
+    return cut(bundles.groupBy("_chunk").cogroup(levels.withColumnRenamed("chunk", "_chunk").groupBy("_chunk")).applyInArrow(look, FOUND.format(dict(docs.dtypes)["doc_id"])))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, numbered: bool = False) -> DataFrame:
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def _near_duplicates(docs: DataFrame, k: int, threshold: Threshold, numbered: bool) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["_rid", "_chunk"] if numbered else []))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(["_rid", "_chunk"] if numbered else []))
     found = _described(docs if numbered else with_chunks(docs), k, threshold)
     rows = found.select("rid", "doc_id", "n", "k")
     # the row number of each set, its smallest doc_id, and its first row by doc_id

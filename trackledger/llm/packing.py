@@ -43,7 +43,8 @@ RANGES_A_TASK = 16
 SPECIAL = {"<|endoftext|>": 50256}
 SIGN = np.uint64(1 << 63)
 KEY = np.dtype([("sig", np.uint64), ("salt", np.uint64)])
-OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Columns of pieces after doc_id, which keeps its own type.
+OUT = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(2)
@@ -72,7 +73,8 @@ def tokenize(docs: DataFrame, ranks: str, end_id: int = 1, special: dict[str, in
             bpe.known.clear()  # the worker lives on
             release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, ids binary")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +276,7 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
         """Rows come sorted by range, then key; a range that has grown to two shards gives its first half away."""
         held: deque[tuple[int | None, np.ndarray]] = deque()
         full, now, next_id = 0, -1, 0
+        id_type = pa.int64()
 
         def packed(n: int) -> Iterator[pa.RecordBatch]:
             nonlocal next_id, full
@@ -289,11 +292,12 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
                         offset += k
                     next_id += 1
                 if len(rows) >= 2000:
-                    yield _batch(rows)
+                    yield _batch(rows, id_type)
                     rows = []
-            yield _batch(rows)
+            yield _batch(rows, id_type)
 
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for part, doc_id, raw in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 if part != now:
                     if held:
@@ -309,15 +313,16 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, end_id: int = 1, sha
             yield from packed(len(held))
         release()
 
-    routed = tokens.mapInArrow(route, "range long, sig long, salt long, doc_id long, ids binary")
+    kind = tokens.dtypes[0][1]
+    routed = tokens.mapInArrow(route, f"range long, sig long, salt long, doc_id {kind}, ids binary")
     tasks = ranges // RANGES_A_TASK
     dealt = routed.repartition(tasks, "range") if tasks > partitions(docs) else routed.repartition("range")
-    return dealt.sortWithinPartitions("range", "sig", "salt").drop("sig", "salt").mapInArrow(run, OUT)
+    return dealt.sortWithinPartitions("range", "sig", "salt").drop("sig", "salt").mapInArrow(run, f"doc_id {kind}, {OUT}")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    names = [c.split()[0] for c in OUT.split(", ")]
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = (id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = ["doc_id", *(c.split()[0] for c in OUT.split(", "))]
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
     return pa.record_batch({k: pa.array(c, t) for k, t, c in zip(names, kinds, columns, strict=True)})
 

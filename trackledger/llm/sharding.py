@@ -106,7 +106,7 @@ def assign(groups: DataFrame, shards: int, n_buckets: int, fan: int = FAN) -> tu
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS, fan: int = FAN) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): groups of equal texts in shards of nearly equal bytes, slots gapless from 0."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("part")))
+    rows = cut(docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("part")))
     groups = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
     placed, shard_of = assign(groups, shards, max(1, -(-groups.count() // bucket_groups)), fan)
     n = partitions(rows)

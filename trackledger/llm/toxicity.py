@@ -131,7 +131,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options: float | None) -> Model:
     """Fit on ``labels`` (doc_id, toxic): at most ``sample_rows`` of them, so what is broadcast and collected is bounded."""
     small_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     hashes = {int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]): t for t in terms}
 
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
                 held.append([hashes[int(x)] for x in np.unique(np.stack([sentence[mine].astype(U64), own[mine]]), axis=1)[1]] if mine.any() else [])
             yield pa.record_batch({"y": part.column("y"), "f": pa.array(lists, pa.binary()), "terms": pa.array(held, pa.list_(pa.string()))})
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # of rows with one doc_id the least text counts: no more rows than were chosen
     sample = sample.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
     got = sample.mapInArrow(read, "y int, f binary, terms array<string>").toArrow()
