@@ -216,6 +216,16 @@ def test_templates_tell_deep_branches_apart(spark):
     assert len({got[i]["template"] for i in (0, 30, 60, 90)}) == 4
 
 
+def test_a_path_that_is_alone_ends_the_rounds(spark, monkeypatch):
+    """Some two thousand segments of one URL, and two that part late: rounds follow what paths have in common."""
+    made = []
+    monkeypatch.setattr(url_filter, "cut", lambda df, f=url_filter.cut: made.append(1) or f(df))
+    urls = ["http://a.com/x/y/z/1.html", "http://a.com/x/y/w/2.html", "http://a.com/", "http://b.com/" + "/".join(f"s{i % 900}" for i in range(2000))]
+    got = {r["page_id"]: r["template"] for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()}
+    assert got[0] == "/x/y/z//n.html" and got[1] == "/x/y/w//n.html" and got[2] == "" and got[3] == "/" + "/".join(f"s{i % 900}" for i in range(2000))
+    assert len(made) < 10
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(8)
     docs, labels = toxic(spark, rnd, 120)
@@ -253,12 +263,16 @@ def test_interleaved_runs_keep_their_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    runs = {"a": docs, "b": docs.where("doc_id < 30")}
+    named = docs.where("doc_id < 30").withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    spark.createDataFrame([("id-1", 1, 0)], "doc_id string, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    runs, where = {"a": docs, "b": named}, {"a": str(tmp_path), "b": str(tmp_path / "b")}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        called = {name: stage(spark, d, str(tmp_path)) for name, d in runs.items()}
+        called = {name: stage(spark, d, where[name]) for name, d in runs.items()}
         for name, out in called.items():
             out.write.parquet(str(tmp_path / f"{name}{k}"))
             runs[name] = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert runs[name].schema["doc_id"].dataType == (docs if name == "a" else named).schema["doc_id"].dataType
     assert runs["a"].select("doc_id").distinct().count() > runs["b"].select("doc_id").distinct().count() > 0
 
 

@@ -19,6 +19,8 @@ from trackledger.llm.decontaminate import FMIndex, find_benchmark, suffix_order
 from trackledger.llm.frequency import Frequencies, level_of, packed, unpacked
 from trackledger.llm.jaccard import near_duplicates, sets_of, spanning
 from trackledger.llm.line_dedup import drop_lines
+from trackledger.llm.packing import pack, ranks_path
+from trackledger.llm.sharding import shard_documents
 from trackledger.llm.suffix_dedup import kasai, remove_repeats, suffix_sort, window_runs
 
 EXTRA = "doc_id long, text string, n_lines string, spans string, score string, _rid string"
@@ -153,6 +155,47 @@ def check_jaccard(found, texts, k, num):
         assert bool(got.loc[i].kept) == (find(i) == i)
 
 
+def plain_removed(texts, length):
+    """(bytes, removed, spans, kept) of every text, windows counted one by one."""
+    raw = [(t or "").encode() for t in texts]
+    count = collections.Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - length + 1):
+            if count[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        out.append((len(r), int(gone.sum()), spans, bytes(np.frombuffer(r, np.uint8)[~gone])))
+    return out
+
+
+def test_texts_that_repeat_themselves(spark, tmp_path):
+    """Short periods, also broken and in several documents: their runs are told once, and the same bytes go."""
+    texts = ["a" * 3000, "ab" * 900 + "c" + "ab" * 900, "a" * 199, "a" * 200, "abc" * 400 + "tail" * 30, "x" + "a" * 500 + "y", "".join(chr(97 + i % 23) for i in range(2000)), "q" * 250 + "z" * 250, None]
+    got = {r["doc_id"]: r for r in remove_repeats(table(spark, tmp_path, texts)).collect()}
+    for i, expected in enumerate(plain_removed(texts, 200)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == expected, i
+
+
+def test_a_long_text_of_one_byte_has_few_runs():
+    data, offs = text_buffer(pa.array(["a" * 2_000_000]))
+    at, count, v = window_runs(data, offs, 200)
+    same = suffix_dedup.repeats_the_last(data, at, count, v, np.zeros(len(at), np.int64), 200)
+    assert len(at) > 1_000_000 and (~same).sum() < 100
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(k, k + 40)) for k in (0, 0, 7, 300)] + [None]
+    docs = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    near = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert near == {"id-0": "id-0", "id-1": "id-0", "id-2": "id-2", "id-3": "id-3", "id-4": "id-4"}
+    packed = pack(docs, ranks_path(), window=64).collect()
+    assert {r["doc_id"] for r in packed} == set(near)
+    assert {r["doc_id"] for r in shard_documents(docs, shards=3).collect()} == set(near)
+
+
 def test_jaccard_of_repeated_and_null_ids(spark, tmp_path):
     got = near_duplicates(table(spark, tmp_path, ["a b c d", "a b c d", "a b c d", None, None], [5, 5, None, None, 9]), 3, 90, 100).collect()
     assert [r["component_id"] for r in sorted(got, key=lambda r: r["rid"]) if r["n_shingles"]] == [5, 5, 5]
