@@ -131,6 +131,24 @@ def test_toxicity_held_out_and_identity_terms(spark):
     assert fair.score(raw, offs)[0] < 0.5 and fair.score(raw, offs)[0] < plain.score(raw, offs)[0]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_terms_are_swapped_in_the_given_tables(spark, sf):
+    """The penalty has rows to act on: labelled sentences with terms of one of the languages."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    assert sum(model.mentions.values()) > 0
+
+
+def test_terms_of_other_languages_are_swapped_among_themselves(spark):
+    docs, labels = toxic(spark, random.Random(12))
+    french = spark.createDataFrame([(5000 + i, f"les étrangers {'salauds' if i % 3 else 'v'} w{i % 7}", "x") for i in range(60)], docs.schema)
+    more = labels.union(spark.createDataFrame([(5000 + i, int(i % 3 > 0), "x") for i in range(60)], labels.schema))
+    fair, plain = (toxicity.train(docs.union(french), more, swap=swap) for swap in (1.0, 0.0))
+    data = np.frombuffer("les étrangers".encode(), np.uint8)
+    score = lambda m: m.score(data, np.array([0, len(data)]))[0]
+    assert fair.mentions["étrangers"] == 60 and score(fair) < score(plain)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = toxic(spark, random.Random(6), 60)
     more = spark.createDataFrame([(1000, None, "x"), (1001, "", "x"), (None, "scumbag wretch vermin", "x"), (1002, "scumbag " * 30_000, "x"), (5, "repeated", "x")], docs.schema)

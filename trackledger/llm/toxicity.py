@@ -4,7 +4,7 @@ Features of a text are its distinct words and four-byte word beginnings, as 64-b
 at most ``sample_rows`` labelled documents (drawn by a hash of doc_id; only their feature hashes reach the driver): features
 that tell the classes apart by a G test are kept, and weights minimise the logistic loss, a ridge, and for every labelled
 sentence with an identity term the squared change of its score when that term is swapped for each other term or a
-neutral word. Terms thus share one weight, near that of the neutral words, and neutral mentions of a group stay low.
+neutral word of its language. Terms thus share one weight, near that of the neutral words, and neutral mentions of a group stay low.
 All whole texts are then scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no features and get the base score; a null label is no label; a document
@@ -26,9 +26,15 @@ from trackledger.llm.common import ALNUM, U64, mix, pieces, release, small_batch
 
 SAMPLE_ROWS = 12_000
 PREFIX = 4
-#: Terms whose exchange should not move a score, and neutral words that they are also exchanged for.
-IDENTITY_TERMS = ("women", "men", "muslims", "christians", "jews", "hindus", "atheists", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "african", "european", "immigrants", "refugees", "disabled", "deaf", "blind", "elderly", "young")
-NEUTRAL_TERMS = ("people", "persons")
+#: By language, terms whose exchange should not move a score, and neutral words that they are also exchanged for.
+IDENTITY_TERMS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "en": (("women", "men", "muslims", "christians", "jews", "hindus", "atheists", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "african", "european", "immigrants", "refugees", "disabled", "deaf", "blind", "elderly", "young"), ("people", "persons")),
+    "de": (("frauen", "männer", "muslime", "christen", "juden", "atheisten", "schwule", "lesben", "schwarze", "weiße", "asiaten", "ausländer", "flüchtlinge", "behinderte", "blinde", "alte", "junge"), ("menschen", "leute")),
+    "fr": (("femmes", "hommes", "musulmans", "chrétiens", "juifs", "athées", "gays", "lesbiennes", "noirs", "blancs", "asiatiques", "étrangers", "réfugiés", "handicapés", "aveugles", "vieux", "jeunes"), ("gens", "personnes")),
+    "es": (("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "ateos", "gais", "lesbianas", "negros", "blancos", "asiáticos", "extranjeros", "refugiados", "discapacitados", "ciegos", "viejos", "jóvenes"), ("gente", "personas")),
+}
+# End of fixed values.
+Groups = dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +52,10 @@ def term_features(term: str) -> np.ndarray:
 
 
 class Model:
-    """Sorted feature hashes, their weights and the base."""
+    """Sorted feature hashes, their weights and the base; ``mentions``: labelled sentences whose terms were swapped, by term."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, base: float):
-        self.keys, self.weights, self.base = keys, weights, base
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, base: float, mentions: dict[str, int] | None = None):
+        self.keys, self.weights, self.base, self.mentions = keys, weights, base, mentions or {}
         self.first = np.zeros(1 << 16, bool)
         self.first[(keys >> U64(48)).astype(np.int64)] = True
 
@@ -65,8 +71,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms: tuple[str, ...], neutral: tuple[str, ...], ridge: float | None = None, swap: float = 1.0, g_least: float = 12.0) -> Model:
+def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], groups: Groups, ridge: float | None = None, swap: float = 1.0, g_least: float = 12.0) -> Model:
     """``found``: each labelled document's distinct features; ``mentions``: labelled sentences that hold each term."""
+    every = [t for terms, neutral in groups.values() for t in (*terms, *neutral)]
     none = np.zeros(0, U64)
     ridge = max(2e-5, 0.1 / max(1, len(y))) if ridge is None else ridge  # small samples hold more features by chance
     if not len(y) or y.min() == y.max():
@@ -79,7 +86,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     n = np.diff(np.append(first, len(ranked)))
     known = n >= 3
-    for t in (*terms, *neutral):
+    for t in every:
         known |= np.isin(ranked[first], term_features(t))
     keys, n = ranked[first][known], n[known]
     del ranked, first
@@ -96,7 +103,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0)
 
     g = 2 * (part(ones, n * share) + part(n - ones, n * (1 - share)))
-    swaps = {t: np.searchsorted(keys, x) for t in (*terms, *neutral) if len(x := np.intersect1d(term_features(t), keys))}
+    swaps = {t: np.searchsorted(keys, x) for t in every if len(x := np.intersect1d(term_features(t), keys))}
     keep = np.zeros(len(keys), bool)
     keep[(n >= 3) & (g >= g_least)] = True
     for x in swaps.values():
@@ -106,15 +113,15 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
     col, row, k = new[at[use]], doc[use], int(keep.sum())
     w, b = np.zeros(k), float(np.log(share / (1 - share)))
     pairs = []
-    for t, count in mentions.items():
-        if t in swaps:
+    for terms, neutral in groups.values():
+        for t in set(terms) & set(mentions) & set(swaps):
             for other in (*terms, *neutral):
                 if other != t:
                     d = np.zeros(k)
                     d[new[swaps[t]]] += 1
                     if other in swaps:  # else the sample doesn't know it, and it weighs nothing
                         d[new[swaps[other]]] -= 1
-                    pairs.append((count / (len(terms) + len(neutral) - 1) / len(y), d))
+                    pairs.append((mentions[t] / (len(terms) + len(neutral) - 1) / len(y), d))
     change = np.array([d for _, d in pairs]).reshape(len(pairs), k)
     much = np.array([c for c, _ in pairs])
     m = v = np.zeros(k + 1)
@@ -125,15 +132,18 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], terms:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model(keys[keep], w, float(b))
+    return Model(keys[keep], w, float(b), {t: n for t, n in mentions.items() if t in swaps})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options: float | None) -> Model:
-    """Fit on ``labels`` (doc_id, toxic): at most ``sample_rows`` of them, so what is broadcast and collected is bounded."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, groups: Groups = IDENTITY_TERMS, **options: float | None) -> Model:
+    """Fit on ``labels`` (doc_id, toxic): at most ``sample_rows`` of them, so what is broadcast and collected is bounded.
+
+    ``groups``: for each language its identity terms and neutral words; a term is swapped for those of its own language.
+    """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    hashes = {int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]): t for t in terms}
+    hashes = {int(term_features(t)[0]): t for terms, _ in groups.values() for t in terms}  # that of the word comes first
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = np.array(sorted(hashes), U64)
@@ -168,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
         for t in some:
             mentions[t] = mentions.get(t, 0) + 1
     del got
-    model = fit(found, y, mentions, terms, neutral, **options)
+    model = fit(found, y, mentions, groups, **options)
     release()
     return model
 
