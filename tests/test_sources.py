@@ -204,6 +204,30 @@ def test_two_writers_of_one_version(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         shared.put_new(spark, str(tmp_path / "x" / "1"), "b")
     assert shared.text_of(spark, str(tmp_path / "x" / "1")) == "a"
+    table, rows = Versioned(spark, str(tmp_path / "t")), spark.createDataFrame([("a", 1)], "k string, v int")
+    assert table.commit({"rows": rows}, ["k"], since=0) == 1
+    with pytest.raises(RuntimeError, match="version 1"):
+        table.commit({"rows": rows}, ["k"], since=0)  # made from what was there before
+    assert table.current() == 1 and table.read("rows").collect() == rows.collect()
+    with pytest.raises(ValueError, match="parted by"):
+        table.commit({"rows": rows}, ["v"])
+    with pytest.raises(KeyError):
+        table.read("others")
+
+
+def test_keys_of_any_kind_and_what_changed(spark, tmp_path):
+    """Null and odd keys, repeated rows, a key that goes, and the rows that two versions don't share."""
+    table = Versioned(spark, str(tmp_path / "t"))
+    first = spark.createDataFrame([("a/b=c:%", 1, "x"), (None, 2, "y"), ("z", 3, None), ("z", 3, None)], "k string, id int, v string")
+    table.commit({"rows": first}, ["k"])
+    assert sorted(map(str, table.read("rows").collect())) == sorted(map(str, first.collect()))
+    assert table.read("rows", "k is null").collect() == first.where("k is null").collect()
+    table.commit({"rows": spark.createDataFrame([(None, 2, "other"), (None, 4, "n")], first.schema)}, ["k"], spark.createDataFrame([("a/b=c:%",)], "k string"))
+    assert {(r["k"], r["id"], r["v"]) for r in table.read("rows").collect()} == {(None, 2, "other"), (None, 4, "n"), ("z", 3, None)}
+    told = lambda since, until: {(r["change"], r["id"]) for r in table.changes("rows", ["id"], since, until).collect()}
+    assert told(1, 2) == {("removed", 1), ("changed", 2), ("added", 4)} and told(2, 2) == set()
+    assert told(0, 1) == {("added", 1), ("added", 2), ("added", 3)}
+    assert table.read("rows", version=1).count() == 4
 
 
 def test_a_day_of_many_folders_is_listed_by_many_tasks(spark, tmp_path):

@@ -90,7 +90,6 @@ def _(events: DataFrame) -> DataFrame:
 
 
 _NAME = "'Cam_' || cam_id || '_' || strftime({0}, '%Y-%m-%dT%H_%M_%S') || CASE WHEN strftime({0}, '%f') = '000000' THEN '' ELSE '.' || strftime({0}, '%f') END || 'Z--' || strftime({1}, '%Y-%m-%dT%H_%M_%S') || CASE WHEN strftime({1}, '%f') = '000000' THEN '' ELSE '.' || strftime({1}, '%f') END || 'Z.bbb'"
-_NAME = _NAME.replace("CASE WHEN strftime({0}", "CASE WHEN strftime({0}")
 _SEC = "CASE WHEN event_id % 2 = 0 THEN date_trunc('second', starttime) ELSE starttime END"
 
 

@@ -232,7 +232,7 @@ def refresh_catalog(spark: SparkSession, root: str, catalog: str, force_recent:
     tables = {"files": rows, "directories": touched.where("kind <> 'gone'").select("day", "dir", "mtime_ns", checked.alias("deep"))}
     if shape:
         tables["shaped"] = shape(rows)
-    table.commit(tables, ["day"], touched.select("day"))
+    table.commit(tables, ["day"], touched.select("day"), base)
     return days
 
 

@@ -100,12 +100,15 @@ class Versioned:
         return joined.select(change.alias("change"), *[F.when(F.col("b._there"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in columns]).where("change is not null")
 
     # ---------------------------------------------------------------- writing
-    def commit(self, tables: dict[str, DataFrame], by: list[str], replaced: DataFrame | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], by: list[str], replaced: DataFrame | None = None, since: int | None = None) -> int:
         """Replace some keys' rows in all ``tables``; returns the new version.
 
         The keys are those of ``replaced`` (columns ``by``) and those that rows have. A key without rows in a table reads as empty there.
+        ``since`` is the version that the rows were made from: if another has been committed meanwhile, that is an error.
         """
         base = self.current()
+        if since is not None and since != base:
+            raise RuntimeError(f"{self.path} has version {base} by now, not {since}")
         before = self.marker(base) if base else None
         if before and before["by"] != by:
             raise ValueError(f"the tables of {self.path} are parted by {before['by']}")
