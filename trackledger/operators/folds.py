@@ -80,8 +80,9 @@ def _marked(rows: pa.Table, by: list[str]) -> pa.Table:
 def keep_greedily(df: DataFrame, by: list[str], order: list[str], value: Column, threshold: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``df`` with _kept; ``value`` (not null) and ``threshold`` are whole numbers, rows of a group go in the order of ``order``."""
     rows = df.withColumns({"_value": value.cast("long"), "_threshold": F.coalesce(threshold.cast("long"), F.lit(LEAST))})
-    large = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows))
-    n_large = large.count()
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
+    any_large = not large.isEmpty()
+    large = written(large) if any_large else large
     out = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", _kept boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +105,9 @@ def keep_greedily(df: DataFrame, by: list[str], order: list[str], value: Column,
         if size:
             yield from _marked(pa.Table.from_batches(held), by).combine_chunks().to_batches()
 
-    small = rows.join(large, by, "left_anti") if n_large else rows
+    small = rows.join(large, by, "left_anti") if any_large else rows
     done = small.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(whole, out)
-    if n_large:
+    if any_large:
         done = done.unionByName(_in_ranges(rows.join(large.drop("_n"), by, "left_semi"), by, order, out, slice_rows))
     return done.drop("_value", "_threshold")
 
