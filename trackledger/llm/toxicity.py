@@ -86,16 +86,17 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], groups
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     n = np.diff(np.append(first, len(ranked)))
     known = n >= 3
-    for t in every:
-        known |= np.isin(ranked[first], term_features(t))
+    there = {t: x for t in every if np.isin((x := term_features(t))[0], ranked[first])}  # the word itself, not its beginning alone
+    for x in there.values():
+        known |= np.isin(ranked[first], x)
     keys, n = ranked[first][known], n[known]
     del ranked, first
     if not len(keys):
         return Model(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-    there = keys[at] == flat
-    at, doc = at[there].astype(np.int32), doc[there]
-    del flat, there
+    hit = keys[at] == flat
+    at, doc = at[hit].astype(np.int32), doc[hit]
+    del flat, hit
     ones = np.bincount(at, y[doc], len(keys))
     share = y.mean()
 
@@ -103,7 +104,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], groups
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0)
 
     g = 2 * (part(ones, n * share) + part(n - ones, n * (1 - share)))
-    swaps = {t: np.searchsorted(keys, x) for t in every if len(x := np.intersect1d(term_features(t), keys))}
+    swaps = {t: np.searchsorted(keys, np.unique(x)) for t, x in there.items()}
     keep = np.zeros(len(keys), bool)
     keep[(n >= 3) & (g >= g_least)] = True
     for x in swaps.values():
