@@ -113,9 +113,9 @@ def special_pattern(added: list[str]) -> re.Pattern[bytes] | None:
 
 def pieces_with(data: np.ndarray, offs: np.ndarray, special: re.Pattern[bytes] | None) -> np.ndarray:
     """``piece_starts``, where every added token inside a document is a piece of its own and cuts the text around it."""
-    raw = data.tobytes() if special else b""
-    if not special or not special.search(raw):
+    if not special or not special.search(data):
         return piece_starts(data, offs)
+    raw = data.tobytes()
     spans = np.array([m.span() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in special.finditer(raw, a, b)], np.int64).reshape(-1, 2)
     starts = piece_starts(data, np.unique(np.concatenate([offs, spans.ravel()])))
     at = np.searchsorted(spans[:, 0], starts, "left") - 1  # the last token that begins before
