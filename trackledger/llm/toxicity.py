@@ -80,17 +80,23 @@ def fit(found: list[np.ndarray], y: np.ndarray, mentions: dict[str, int], groups
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(p / (1 - p))))
     size = np.fromiter(map(len, found), np.int64, len(found))
+    if not size.sum():
+        return Model(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     flat, doc = np.concatenate([none, *found]), np.repeat(np.arange(len(found), dtype=np.int32), size)
     found.clear()
     ranked = np.sort(flat)
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     n = np.diff(np.append(first, len(ranked)))
     known = n >= 3
-    there = {t: x for t in every if np.isin((x := term_features(t))[0], ranked[first])}  # the word itself, not its beginning alone
-    for x in there.values():
-        known |= np.isin(ranked[first], x)
-    keys, n = ranked[first][known], n[known]
-    del ranked, first
+    distinct, there = ranked[first], {}
+    for t in every:
+        x = term_features(t)
+        place = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
+        if (distinct[place] == x).all():  # the word itself, not its beginning alone
+            there[t] = x
+            known[place] = True
+    keys, n = distinct[known], n[known]
+    del ranked, first, distinct
     if not len(keys):
         return Model(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
