@@ -287,6 +287,22 @@ def test_links_equal_brute_force_at_edges(spark, cell_points):
     assert got == sorted(expected) and len(got) > 50
 
 
+def test_links_of_full_cells_are_many_tasks(spark):
+    """Few bytes, many pairs: 16,000 points in 8 cells, two seconds each, far apart but for every hundredth."""
+    ids = spark.range(16_000)
+    df = ids.select("id", (F.col("id") % 8).alias("cam_id"), F.timestamp_seconds(F.lit(1_800_000_000) + F.col("id") % 2000 * 0.001).alias("ts"), (F.floor(F.col("id") / 8) * 1000 % 5_000).cast("double").alias("x"), (F.col("id") * 7919 % 8009).cast("double").alias("y"))
+    large = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as on larger tables
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        links = detections.link_candidates(df, speed=2_500.0, gap=4.0)
+        per_task = [r["count"] for r in links.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        for k in large:
+            spark.conf.unset(k)
+    assert len(per_task) >= 3 and max(per_task) < 0.7 * sum(per_task)
+
+
 def walk(rows):
     """Kept rows of one sorted group: (value, threshold or None) in order."""
     kept, last = [], None
