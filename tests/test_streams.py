@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,67 @@ def test_containers_are_cut_in_the_stream(spark, tmp_path, rocks, seed):
     assert got == expected_containers(rows, 60, mark) and len(got) >= 15
 
 
+class _Held:
+    """A value or list of the state, and how many values went to it."""
+
+    def __init__(self):
+        self.held, self.told = [], 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def clear(self):
+        self.held = []
+
+    def get(self):
+        return iter(self.held) if self.many else self.held[0]
+
+    def update(self, value):
+        self.held, self.told = [value], self.told + 1
+
+    def appendList(self, values):  # noqa: N802
+        self.held, self.told = self.held + values, self.told + len(values)
+
+    put = appendList
+
+
+class _Handle:
+    def __init__(self):
+        self.states = []
+
+    def getListState(self, *_):  # noqa: N802
+        self.states.append(_Held())
+        self.states[-1].many = True
+        return self.states[-1]
+
+    def getValueState(self, *_):  # noqa: N802
+        self.states.append(_Held())
+        self.states[-1].many = False
+        return self.states[-1]
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+
+def test_waiting_frames_are_few_values_of_the_state():
+    class Watermark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return int(pd.Timestamp(self.at).value // 1_000_000)
+
+    rows = pd.DataFrame(frames(5, 900, 1), columns=["cam_id", "seq", "frame_ts", "frame_id", "taken"])
+    cut, handle, got = feeds._Containers(60), _Handle(), []
+    cut.init(handle)
+    for i, mark in ((0, BEGIN), (300, rows["taken"][200]), (600, rows["taken"][450]), (900, rows["taken"][899] + dt.timedelta(seconds=100))):
+        part = rows.iloc[i : i + 300]
+        for out in cut.handleInputRows((0,), iter([part[:140], part[140:]]) if len(part) else iter([]), Watermark(mark)) if len(part) else cut.handleExpiredTimer((0,), Watermark(mark), None):
+            got += [tuple(r) for r in out[["cam_id", "container", "first_ts", "last_ts", "n_frames"]].itertuples(index=False, name=None)]
+    assert sorted(got) == expected_containers(rows.itertuples(index=False, name=None), 60, rows["taken"][899] + dt.timedelta(seconds=100))
+    assert sum(s.told for s in handle.states) < 20
+
+
 def test_submitted_days_survive_a_restart(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     parts = [["20260701", "20260702"], ["20260702", None, "20260703"], ["20260701"], ["20260704", "20260704"]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -78,39 +79,63 @@ def stream_monotonic(batch: DataFrame, batch_id: int, out: str, by: list[str], s
 
 
 CONTAINER = "cam_id long, container long, first_ts timestamp, last_ts timestamp, n_frames long"
+_FRAMES = pa.schema([("seq", pa.int64()), ("frame_ts", pa.timestamp("us")), ("frame_id", pa.int64()), ("taken", pa.timestamp("us"))])
+#: Frames in one value of the state.
+CHUNK_FRAMES = 50_000
+
+
+def _packed(frames: pd.DataFrame) -> list[tuple[bytes]]:
+    """Frames as values of the state: Arrow batches of so many rows."""
+    parts = (frames.iloc[i : i + CHUNK_FRAMES] for i in range(0, len(frames), CHUNK_FRAMES))
+    return [(pa.record_batch([pa.array(part[f.name], f.type, from_pandas=True) for f in _FRAMES], schema=_FRAMES).serialize().to_pybytes(),) for part in parts]
+
+
+def _unpacked(values: Iterator[tuple[bytes]]) -> list[pd.DataFrame]:
+    return [pa.ipc.read_record_batch(pa.py_buffer(bytes(v[0])), _FRAMES).to_pandas() for v in values]
 
 
 class _Containers(StatefulProcessor):
-    """State per camera: frames that the watermark has not passed, and the container that is open."""
+    """State per camera: frames that the watermark has not passed, by thousands in one value, and the container that is open.
+
+    The state is told to Spark value by value, which costs far more than the frames do, so a frame is no value of its own.
+    """
 
     def __init__(self, silence_s: float):
         self.silence = pd.Timedelta(seconds=silence_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "seq long, frame_ts timestamp, frame_id long, taken timestamp")
+        self.waiting = handle.getListState("waiting", "frames binary")
+        self.next = handle.getValueState("next", "taken timestamp")  # the first of those that wait
         self.open = handle.getValueState("open", "container long, first_ts timestamp, last_ts timestamp, n_frames long, frame_id long, taken timestamp")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for part in rows:
-            self.waiting.appendList(list(part[["seq", "frame_ts", "frame_id", "taken"]].itertuples(index=False, name=None)))
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), [part[_FRAMES.names] for part in rows])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), [])
 
-    def _settle(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
+    def _settle(self, key: tuple, watermark_ms: int, came: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames that the watermark has passed go on in order; an open container that has been silent for long enough is closed."""
         now = pd.Timestamp(watermark_ms, unit="ms")
-        waiting = pd.DataFrame(list(self.waiting.get()), columns=["seq", "frame_ts", "frame_id", "taken"])
-        if len(waiting):
-            ready = waiting["taken"] <= now
-            rest = waiting[~ready]
-            yield from self._go_on(key, waiting[ready].sort_values("seq"))
+        first = pd.Timestamp(self.next.get()[0]) if self.next.exists() else None
+        came = pd.concat(came, ignore_index=True) if came else pd.DataFrame(columns=_FRAMES.names)
+        if first is not None and first <= now:
+            frames = pd.concat([*_unpacked(self.waiting.get()), *([came] if len(came) else [])], ignore_index=True)
             self.waiting.clear()
+            self.next.clear()
+            first = None
+        else:  # of those that wait none is ready, so they stay where they are
+            frames = came
+        if len(frames):
+            ready = frames["taken"] <= now
+            rest = frames[~ready]
+            yield from self._go_on(key, frames[ready].sort_values("seq"))
             if len(rest):
-                self.waiting.put(list(rest.itertuples(index=False, name=None)))
-                self.handle.registerTimer(_ms(rest["taken"].min()))
+                self.waiting.appendList(_packed(rest))
+                least = rest["taken"].min() if first is None else min(first, rest["taken"].min())
+                self.next.update((least.to_pydatetime(),))
+                self.handle.registerTimer(_ms(least))
         if self.open.exists():
             number, first, last, n, _, taken = self.open.get()
             until = pd.Timestamp(taken) + self.silence
