@@ -278,6 +278,24 @@ def test_reports_without_a_stage_read_so(spark, tmp_path):
     assert snapshots.load_report(spark, str(tmp_path), "2026-07-01T10:00:00")["units"].count() == 1
 
 
+def files_of(path, table):
+    """Files with rows in the newest commit of a versioned folder's table."""
+    newest = max((path / "data" / table).iterdir())
+    return [f for f in newest.rglob("*.parquet") if f.stat().st_size > 0]
+
+
+def test_a_report_of_one_time_is_not_one_task(spark, tmp_path):
+    """All of its rows have one key and compress to nothing: tasks write them where they are, none takes them all."""
+    units = spark.range(0, 40_000, 1, 4).select(F.lit("20260701").alias("day"), F.lit("done").alias("status"))
+    snapshots.save_report(status.progress_report({"detect": units}), str(tmp_path), "2026-07-01T10:00:00")
+    assert len(files_of(tmp_path / "tables", "units")) == 4
+    loaded = snapshots.load_report(spark, str(tmp_path))
+    assert loaded["units"].count() == 40_000 and [r["total"] for r in loaded["by_day"].collect()] == [40_000]
+    assert {r["generated_at"] for r in loaded["summary"].collect()} == {"2026-07-01T10:00:00"}
+    snapshots.write_snapshot(units, str(tmp_path / "snap"), "20260701")
+    assert len(files_of(tmp_path / "snap", "rows")) == 4
+
+
 def test_ledger_entries_are_kept_once(spark, tmp_path):
     path = str(tmp_path / "ledger")
     for run, days in (("0", ["a"]), ("1", ["b", "c"]), ("1", ["b", "c"]), ("2", [])):

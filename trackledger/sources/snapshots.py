@@ -24,8 +24,7 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 def write_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
     """Write one dated snapshot; writing it again replaces it and no other, also by nothing."""
-    rows = df.withColumn("snapshot", F.lit(snapshot))
-    Versioned(df.sparkSession, path).commit({"rows": rows}, ["snapshot"], _one(df.sparkSession, "snapshot", snapshot))
+    Versioned(df.sparkSession, path).commit({"rows": df}, ["snapshot"], key=(snapshot,))
 
 
 def _one(spark: SparkSession, column: str, value: str) -> DataFrame:
@@ -79,8 +78,7 @@ REPORT = ("units", "by_day", "summary")
 def save_report(report: DataFrame, path: str, generated_at: str) -> None:
     """Units, days and summary of one report in one commit, and its line of history; saved again, it replaces what was there, stages left out too."""
     tables = {"units": report, "by_day": by_day(report, "stage"), "summary": stage_summary(report)}
-    stamped = {name: df.withColumn("generated_at", F.lit(generated_at)) for name, df in tables.items()}
-    Versioned(report.sparkSession, f"{path}/tables").commit(stamped, ["generated_at"], _one(report.sparkSession, "generated_at", generated_at))
+    Versioned(report.sparkSession, f"{path}/tables").commit(tables, ["generated_at"], key=(generated_at,))
     append_history(stage_summary(report), f"{path}/history", generated_at)
 
 

@@ -100,10 +100,12 @@ class Versioned:
         return joined.select(change.alias("change"), *[F.when(F.col("b._there"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in columns]).where("change is not null")
 
     # ---------------------------------------------------------------- writing
-    def commit(self, tables: dict[str, DataFrame], by: list[str], replaced: DataFrame | None = None, since: int | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], by: list[str], replaced: DataFrame | None = None, since: int | None = None, key: tuple[str, ...] | None = None) -> int:
         """Replace some keys' rows in all ``tables``; returns the new version.
 
         The keys are those of ``replaced`` (columns ``by``) and those that rows have. A key without rows in a table reads as empty there.
+        With ``key`` all rows are of that one key, whose columns are put to them here: tasks write them as they come, with no
+        shuffle and no sort. (Columns of one value compress to nothing, so a shuffle would look small and go to one task, whatever it sorts.)
         ``since`` is the version that the rows were made from: if another has been committed meanwhile, that is an error.
         """
         base = self.current()
@@ -116,13 +118,21 @@ class Versioned:
         stamp = f"{number:010d}-{uuid.uuid4().hex}"
         schemas, lines = dict(before["schemas"]) if before else {}, []
         for name, rows in tables.items():
+            rows = rows if key is None else rows.withColumns(dict(zip(by, map(F.lit, key), strict=True)))
             schemas[name] = json.loads(rows.schema.json())
             to = f"{self.path}/data/{name}/{stamp}"
+            if key is not None:
+                one = self._one(by, key)
+                folder = f"{to}/_key={one.first()['_key']}"
+                rows.write.parquet(folder)
+                n_rows = self.spark.read.schema(rows.schema).parquet(folder).count()
+                lines.append(one.select(F.lit(name).alias("table"), *by, "_key", F.lit(stamp).alias("stamp"), F.lit(n_rows).cast("long").alias("n_rows")).where("n_rows > 0"))
+                continue
             rows.withColumn("_key", _key(by)).hint("rebalance", "_key").write.partitionBy("_key").parquet(to)
             keyed = StructType.fromJson(schemas[name]).add("_key", "string")
             there = self.spark.read.schema(keyed).parquet(to)
             lines.append(there.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), *by, "_key", F.lit(stamp).alias("stamp"), "n_rows"))
-        wanted = [x.select(*by, "_key") for x in lines] + ([replaced.select(*by).distinct().withColumn("_key", _key(by))] if replaced is not None else [])
+        wanted = [x.select(*by, "_key") for x in lines] + ([self._one(by, key)] if key is not None else []) + ([replaced.select(*by).distinct().withColumn("_key", _key(by))] if replaced is not None else [])
         keys = reduce(DataFrame.unionByName, wanted).dropDuplicates(["_key"])
         named = F.explode(F.array(*map(F.lit, tables)))
         new = reduce(DataFrame.unionByName, lines).select("table", "_key", "stamp", "n_rows")
@@ -135,6 +145,9 @@ class Versioned:
         put_new(self.spark, f"{self.path}/commits/{number:010d}", json.dumps(said))
         return number
 
+    def _one(self, by: list[str], key: tuple[str, ...]) -> DataFrame:
+        return self.spark.createDataFrame([key], ", ".join(f"`{c}` string" for c in by)).withColumn("_key", _key(by))
+
     def vacuum(self, keep: int = 2) -> None:
         """Delete what none of the newest ``keep`` versions reads: older versions, and what commits left that died. Not while one is being made."""
         whole = [n for n in self._numbers() if self.marker(n)]
