@@ -308,6 +308,18 @@ def test_ledger_entries_are_kept_once(spark, tmp_path):
     assert sorted((r["day"], r["run"]) for r in snapshots.read_ledger(spark, path).collect()) == [("a", "0"), ("b", "1"), ("d", "3")]
 
 
+def test_a_run_told_again_is_not_one_task(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    entries = spark.range(0, 40_000, 1, 4).select(F.lit("20260701").alias("day"))
+    snapshots.append_ledger(entries, path, "0")
+    assert len(files_of(tmp_path / "ledger", "entries")) == 4
+    snapshots.append_ledger(entries.limit(10), path, "1")
+    snapshots.compact_ledger(spark, path)
+    snapshots.append_ledger(entries, path, "0")  # told again, beside what the compacted part holds of other runs
+    assert len(files_of(tmp_path / "ledger", "entries")) >= 4
+    assert {(r["run"], r["count"]) for r in snapshots.read_ledger(spark, path).groupBy("run").count().collect()} == {("0", 40_000), ("1", 10)}
+
+
 def test_deeper_check_lists_days_again(spark, tmp_path):
     root, catalog = tmp_path / "videos", str(tmp_path / "catalog")
     tree(root, n=3)

@@ -27,10 +27,6 @@ def write_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
     Versioned(df.sparkSession, path).commit({"rows": df}, ["snapshot"], key=(snapshot,))
 
 
-def _one(spark: SparkSession, column: str, value: str) -> DataFrame:
-    return spark.createDataFrame([(value,)], f"{column} string")
-
-
 def read_snapshots(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
     """Rows of all snapshots, or of those that a condition on ``snapshot`` chooses; folders of others are not read."""
     return Versioned(spark, path).read("rows", where)
@@ -92,17 +88,16 @@ def load_report(spark: SparkSession, path: str, generated_at: str | None = None)
 def append_ledger(df: DataFrame, path: str, run: str) -> None:
     """Add a run's (or batch's) entries; a run that is told again replaces its own entries, also where they were compacted meanwhile."""
     table, spark = Versioned(spark=df.sparkSession, path=path), df.sparkSession
-    rows = df.withColumns({"run": F.lit(run), "part": F.lit(run)})
+    rows = df.withColumn("run", F.lit(run))
     if table.current():
         held = table.read("runs").where(F.col("run") == run).select("part").distinct().collect()  # one row
         if held:
             part = held[0]["part"]
-            same = table.read("entries", F.col("part") == part).where(F.col("run") != run)
-            rows = written(same.unionByName(rows.withColumn("part", F.lit(part))))
+            same = table.read("entries", F.col("part") == part).where(F.col("run") != run).drop("part")
             known = table.read("runs", F.col("part") == part)
-            table.commit({"entries": rows, "runs": written(known)}, ["part"], _one(spark, "part", part))
+            table.commit({"entries": same.unionByName(rows), "runs": known}, ["part"], key=(part,))
             return
-    table.commit({"entries": rows, "runs": spark.createDataFrame([(run, run)], "run string, part string")}, ["part"], _one(spark, "part", run))
+    table.commit({"entries": rows, "runs": spark.createDataFrame([(run,)], "run string")}, ["part"], key=(run,))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -114,8 +109,8 @@ def compact_ledger(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Put the entries of all runs into one part and delete what the newest ``keep`` versions don't need; every run stays known."""
     table = Versioned(spark, path)
     parts = table.manifest().select("part").distinct()
-    both = {name: written(table.read(name).withColumn("part", F.lit("compacted"))) for name in ("entries", "runs")}
-    table.commit(both, ["part"], written(parts))
+    both = {name: table.read(name) for name in ("entries", "runs")}
+    table.commit(both, ["part"], written(parts), key=("compacted",))
     table.vacuum(keep)
 
 
