@@ -382,6 +382,20 @@ def test_long_texts_are_cut_into_blocks(monkeypatch):
     assert windows() == (whole, n) and len(whole) == n == sum(max(0, int(s) - 39) for s in np.diff(offs))
 
 
+def test_a_common_phrase_brings_no_runs_together():
+    """Texts that share a few words, not a window, have no run in common; those that share a window have."""
+    rnd = random.Random(6)
+    phrase = "a phrase that many texts hold somewhere "
+    texts = ["".join(rnd.choices("abcdefgh", k=400)) + phrase + "".join(rnd.choices("abcdefgh", k=400)) for _ in range(30)]
+    seen = collections.Counter()
+    for t in texts:
+        seen.update(set(window_runs(*text_buffer(pa.array([t])), 200)[2].tolist()))
+    assert max(seen.values()) == 1
+    for t in texts:
+        again = window_runs(*text_buffer(pa.array(["zz" + t[230:640] + "yy"])), 200)[2].tolist()
+        assert len(set(again) & set(seen)) >= 3
+
+
 def test_lines_and_words_beyond_the_usual(spark, tmp_path):
     long = "w" * 5000
     docs = table(spark, tmp_path, [f"{long}\n{long}x", f"{long.upper()} ", f"{long}y", " ".join([long] * 6), " ".join([long] * 6) + " z"])

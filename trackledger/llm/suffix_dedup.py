@@ -1,14 +1,17 @@
 """Suffix-array dedup (10): bytes covered by a string of ``length`` bytes that starts anywhere else too.
 
-1. *Routing.* Every window of ``length`` bytes belongs to the gram (16 bytes) of least hash in it; neighbouring windows
-   with the same least gram are a run. Equal windows have equal least grams, so only runs whose gram occurs again can
-   hold repeats: a twice-seen filter drops most others before anything is shuffled, and an exact count the rest.
+1. *Routing.* Every window of ``length`` bytes belongs to the gram (16 bytes) of least hash in it, which lies in its
+   first or in its second half. Neighbouring windows with one such gram in one half are a run; what they all hold (the
+   gram and half a window beside it) is the run's core. Equal windows have equal cores, so only runs whose core occurs
+   again can hold repeats: a twice-seen filter drops most others before anything is shuffled, and an exact count the
+   rest. The gram alone would occur again by chance, in prose the more often the more text there is.
    Equal runs (128 bits) are counted, and one of each kind is kept.
-2. *Shards.* Runs of different kinds under one gram go, with their bytes, to the gram's shard. A shard is sorted by
+2. *Shards.* Runs of different kinds with one core go, with their bytes, to the core's shard, unless each of these kinds
+   occurs twice as a whole and so is repeats throughout. A shard is sorted by
    Larsson-Sadakane refinement in numpy (8 bytes first, then doubling, unsorted groups only, up to ``length``), and
    Kasai's scan, over all runs of the shard side by side, gives common prefixes with the suffix before. Neighbours that
    share ``length`` bytes are repeats.
-3. *Merging.* A gram with more than ``SHARD_RUNS`` kinds is dealt over several shards. Each of them passes on one sorted
+3. *Merging.* A core with more than ``SHARD_RUNS`` kinds is dealt over several shards. Each of them passes on one sorted
    list of its distinct windows (128 bits); lists meet by hash range and are merged by binary search.
 4. Repeats go back to all runs of their kind and, merged to spans, to their documents.
 
@@ -27,30 +30,38 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import U64, bloom_has, cut, mix, pieces, small_batches, span_hashes, table, with_row_id
+from trackledger.llm.common import U64, bloom_has, cut, partitions, pieces, small_batches, span_hashes, table, with_row_id
 from trackledger.llm.twice import filter_size, twice_filter
 
-SHARD_RUNS = 2_000
+#: Kinds of runs in a shard, and shards that one task is meant to sort.
+SHARD_RUNS, TASK_SHARDS = 2_000, 4
 GRAM = 16
-BLOCK = 1 << 23
+#: Bytes that are looked at together: few enough for their hashes to stay in a core's cache.
+BLOCK = 1 << 18
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from every position (the last ones are not whole and 0)."""
+    """A 64-bit hash of the ``GRAM`` bytes from every position (the last ones are not whole and 0); it only orders them."""
     n = len(data)
     out = np.zeros(n, U64)
     if n >= GRAM:
         raw = np.ascontiguousarray(data)
         word = np.ndarray(n - 7, "<u8", raw, strides=(1,))
-        out[: n - GRAM + 1] = mix(word[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15) ^ mix(word[8 : n - GRAM + 9] + U64(0xD6E8FEB86659FD93)))
+        late = word[8 : n - GRAM + 9] * U64(0xD6E8FEB86659FD93)
+        late ^= late >> U64(29)
+        x = np.multiply(word[: n - GRAM + 1], U64(0x9E3779B97F4A7C15), out=out[: n - GRAM + 1])
+        x ^= late
+        x ^= x >> U64(32)
+        x *= U64(0xBF58476D1CE4E5B9)
     return out
 
 
 def window_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ``length``-byte windows of all documents, in runs whose windows have one least gram at one place.
+    """All ``length``-byte windows of all documents, in runs whose windows have one least gram at one place, in the same half of each.
 
-    Returns first window, windows and gram hash of every run. Of equal least grams in a window the first counts, so equal
-    windows lie at the same distance from equal grams, and two windows of one run are never equal.
+    Returns first window, windows and core hash of every run. Of equal least grams in a window the first counts, so equal
+    windows lie at the same distance from equal grams, and two windows of one run are never equal. The core is what any window
+    with that gram in that half holds, wherever its run begins and ends: the gram, and what is left of a window whose gram lies at the half's far end.
     """
     parts = []
     for a in range(0, max(1, len(data) - length + 1), BLOCK):
@@ -81,11 +92,18 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     inside = np.cumsum(room)[: len(least)] > 0
     edge = np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]))
     edge[first[fits]] = True
+    # a run is cut where its gram passes from the windows' second half into the first
+    half, at = (width + 1) // 2, np.flatnonzero(edge)
+    turn = least[at] - half + 1
+    edge[turn[(turn > at) & (turn < np.append(at[1:], len(least)))]] = True
     at = np.flatnonzero(edge)
     count = np.diff(np.append(at, len(least)))
     keep = inside[at]
     at, count = at[keep], count[keep]
-    return at, count, grams[least[at]]
+    place = least[at]
+    early = place - at < half
+    core = np.where(early, place, place - half), np.where(early, place - half + 1 + length, place + GRAM)
+    return at, count, span_hashes(data, *core, False, 3)
 
 
 def repeats_the_last(data: np.ndarray, at: np.ndarray, count: np.ndarray, v: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
@@ -188,7 +206,7 @@ def kasai(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.nd
 
 
 def _shard(length: int):
-    """The work on one shard: rows (v, s, hot, bytes) -> covered windows, and for hot grams the shard's distinct windows."""
+    """The work on one shard: rows (v, s, hot, bytes) -> covered windows, and for hot cores the shard's distinct windows."""
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("v", "ascending"), ("s", "ascending")])
@@ -275,10 +293,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int | None =
             })
 
     found = cut(texts.mapInArrow(runs, "v long, s long, rid long, at long, n int, times long"))
-    kinds = found.groupBy("v", "s").agg(F.sum("times").alias("copies"), F.min(F.struct("rid", "at", "n")).alias("one"))
-    grams = kinds.groupBy("v").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
-    kinds = cut(kinds.join(grams, "v").select("v", "s", "copies", "kinds", "one.*"))
-    many = kinds.where("kinds > 1")
+    # any one of equal runs will do; first() of one row's columns is hashed, the least struct would be sorted
+    kinds = found.groupBy("v", "s").agg(F.sum("times").alias("copies"), *(F.first(x).alias(x) for x in ("rid", "at", "n")))
+    cores = kinds.groupBy("v").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where(F.col("all") > 1)
+    kinds = cut(kinds.join(cores, "v").select("v", "s", "copies", "kinds", "single", "rid", "at", "n"))
+    many = kinds.where("kinds > 1 and single > 0")
     shards = max(1, -(-many.count() // shard_runs))
     hot = F.col("kinds") > shard_runs
     salt = F.when(hot, F.pmod(F.xxhash64("s"), F.ceil(F.col("kinds") / shard_runs))).otherwise(0)
@@ -295,7 +314,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, filter_bits: int | None =
             raw = data.tobytes()
             yield pa.record_batch({c: flat.field(c) for c in ("v", "s", "hot", "shard")} | {"bytes": pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())})
 
-    sent = texts.join(listed.hint("shuffle_hash"), F.col("_rid") == F.col("rid")).select("text", "_runs").mapInArrow(take, item)
+    # the work is in the sort, not in the bytes: a task gets few shards, where Spark would go by megabytes
+    sent = texts.join(listed.hint("shuffle_hash"), F.col("_rid") == F.col("rid")).select("text", "_runs").mapInArrow(take, item).repartition(partitions(docs, -(-shards // TASK_SHARDS)), "shard")
     cover = cut(sent.groupBy("shard").applyInArrow(_shard(length), COVER))
     merged = cover.where("d1 is not null").groupBy(F.pmod("d1", F.lit(shards)).alias("range")).applyInArrow(_merge, "v long, s long, t0 long, t1 long")
     whole = kinds.where("copies > 1").select("v", "s", F.lit(0).cast("long").alias("t0"), F.col("n").cast("long").alias("t1"))
