@@ -303,6 +303,30 @@ def test_links_of_full_cells_are_many_tasks(spark):
     assert len(per_task) >= 3 and max(per_task) < 0.7 * sum(per_task)
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_points_among_many_cells_are_shuffled_a_few_times(spark):
+    """40,000 points in 20 x 20 cells of place and 10 of time, all of them taken: each went to 18 cells as an earlier point."""
+    ids = spark.range(40_000)
+    df = ids.select("id", (F.col("id") % 1).alias("cam_id"), F.timestamp_seconds(F.lit(1_800_000_000) + F.col("id") % 10 * 4 + F.col("id") % 7 * 0.5).alias("ts"), (F.floor(F.col("id") / 10) % 20 * 10.0 + F.col("id") % 9).alias("x"), (F.floor(F.col("id") / 200) % 20 * 10.0 + F.col("id") % 8).alias("y"))
+    before = shuffled_rows(spark)
+    n = detections.link_candidates(df, speed=2.5, gap=4.0).agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.sum("dt"), F.sum("dist")).first()[0]
+    assert shuffled_rows(spark) - before < 5 * 40_000
+    rows = df.select("id", F.unix_micros("ts").alias("us"), "x", "y").toPandas()
+    us, x, y = (rows[c].to_numpy() for c in ("us", "x", "y"))
+    expected = 0
+    for at in range(0, len(us), 500):
+        part = slice(at, at + 500)
+        dt_s = (us[None, :] - us[part, None]) / 1e6
+        expected += int(((dt_s > 0) & (dt_s <= 4) & ((x[None, :] - x[part, None]) ** 2 + (y[None, :] - y[part, None]) ** 2 <= (2.5 * dt_s) ** 2)).sum())
+    assert n == expected > 100_000
+
+
 def walk(rows):
     """Kept rows of one sorted group: (value, threshold or None) in order."""
     kept, last = [], None
